@@ -8,7 +8,14 @@ from spokeworks.functions.numbers import (
 )
 from spokeworks.functions.payload import contract_violation, json_field, strict_json
 from spokeworks.functions.text import count_label, iso_instant, xml_escape
-from spokeworks.functions.urls import file_extension, object_key, trailing_slash
+from spokeworks.functions.urls import (
+    file_extension,
+    object_key,
+    trailing_slash,
+    url_host,
+    url_path,
+    url_query,
+)
 
 __all__ = [
     "contract_violation",
@@ -25,5 +32,8 @@ __all__ = [
     "strict_json",
     "tenths_text",
     "trailing_slash",
+    "url_host",
+    "url_path",
+    "url_query",
     "xml_escape",
 ]

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 # White space skipped before a number: ASCII, Unicode separators, byte-order mark.
 _SPACE = r"^[\s\x0B\p{Z}\x{FEFF}]*"
-_DECIMAL_INT = _SPACE + r"([+-]?[0-9]+)"
-_HEX_INT = _SPACE + r"[+-]?0[xX]([0-9a-fA-F]+)"
-_NEGATIVE = _SPACE + r"-"
+_INT = _SPACE + r"([+-]?[0-9]+)"
 _FLOAT = _SPACE + r"([+-]?(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?))"
 
 # Fractions count in units of 2^-57: exact for every double from 1/32 up to 1.
@@ -18,29 +16,25 @@ _UNIT_BITS = 57
 _WHOLE_LIMIT = 9.0e17
 
 
-def _present(col: Column, default: str) -> Column:
-    return F.coalesce(F.nullif(col, F.lit("")), F.lit(default))
+def _leading_number(col: Column, plain: str, pattern: str, default: str) -> Column:
+    """Cast texts made of `plain` characters only; search the others for `pattern`."""
+    text = F.when(F.length(col) > 0, col).otherwise(F.lit(default))
+    cast = F.when(F.ltrim(text, F.lit(plain)) == "", text.try_cast("double"))
+    return F.coalesce(cast, F.regexp_extract(text, pattern, 1).try_cast("double"))
 
 
 def parse_int(col: Column, default: str = "0") -> Column:
-    """Longest leading integer as a double; NULL where there is none.
+    """Longest leading decimal integer as a double; NULL where there is none.
 
     NULL and '' take `default` first. Doubles hold any integer the input can
-    spell, so nothing overflows. A 0x prefix reads hexadecimal digits.
+    spell, so nothing overflows.
     """
-    text = _present(col, default)
-    digits = F.regexp_extract(text, _DECIMAL_INT, 1)
-    hexed = F.regexp_extract(text, _HEX_INT, 1)
-    sign = F.when(F.regexp_like(text, F.lit(_NEGATIVE)), -1.0).otherwise(1.0)
-    return F.when(hexed != "", sign * F.conv(hexed, 16, 10).cast("double")).otherwise(
-        F.nullif(digits, F.lit("")).try_cast("double")
-    )
+    return _leading_number(col, "0123456789", _INT, default)
 
 
 def parse_float(col: Column, default: str = "0") -> Column:
     """Longest leading decimal number as a double; NULL where there is none."""
-    found = F.regexp_extract(_present(col, default), _FLOAT, 1)
-    return F.nullif(found, F.lit("")).try_cast("double")
+    return _leading_number(col, "0123456789.", _FLOAT, default)
 
 
 def parse_flag(col: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Path-level URL expressions built from native string functions."""
+"""URL expressions.
+
+Each refers to its input once. Spark copies an expression into every filter it
+pushes below the projection, so repeated inputs would multiply there.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def url_host(url: Column) -> Column:
+    """Lower-case host (and port) of an http(s) URL, '' for anything else."""
+    return F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/?#]*)", 1))
+
+
+def url_path(url: Column) -> Column:
+    """Path of an http(s) URL, '' where it has none."""
+    return F.regexp_extract(url, r"^(?i:https?)://[^/?#]*([^?#]*)", 1)
+
+
+def url_query(url: Column) -> Column:
+    """Query with its '?', '' where there is none."""
+    return F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+
+
 def trailing_slash(path: Column) -> Column:
     """End extension-less paths in '/', leave 'name.ext' alone."""
-    leaf = F.substring_index(path, "/", -1)
-    return F.when((leaf == "") | F.contains(leaf, F.lit(".")), path).otherwise(F.concat(path, F.lit("/")))
+    return F.regexp_replace(path, r"(^|/[^/.]+)$", "$1/")
 
 
 def object_key(path: Column, index: str = "index.html") -> Column:
     """Storage key of a request path; directories get the index document."""
-    key = F.when(F.startswith(path, F.lit("/")), F.substr(path, F.lit(2))).otherwise(path)
-    return F.when((key == "") | F.endswith(key, F.lit("/")), F.concat(key, F.lit(index))).otherwise(key)
+    return F.regexp_replace(F.regexp_replace(path, "^/", ""), "(^|/)$", f"$1{index}")
 
 
 def file_extension(path: Column) -> Column:

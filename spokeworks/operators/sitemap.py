@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spokeworks.functions import iso_instant, xml_escape
+from spokeworks.functions import iso_instant, url_host, xml_escape
 from spokeworks.operators.joins import MAX_BROADCAST_ROWS, lookup_join
 from spokeworks.operators.ordinal import add_ordinal
 from spokeworks.operators.urls import with_canonical_url, with_url_parts
@@ -26,8 +26,9 @@ def page_locations(
 
     Only the location itself is shuffled; its parts are taken from it afterwards.
     """
-    canonical = with_canonical_url(pages, url, "loc", apex, prefer)
-    return with_url_parts(canonical.filter(F.col("host").isNotNull()).select("loc").distinct(), "loc")
+    web_pages = pages.filter(url_host(F.col(url)) != "")
+    locations = with_canonical_url(web_pages, url, "loc", apex, prefer).select("loc").distinct()
+    return with_url_parts(locations, "loc")
 
 
 def _page(path: Column) -> Column:
@@ -40,7 +41,7 @@ def exclude_paths(locations: DataFrame, excluded: Sequence[str] | DataFrame = EX
     A list becomes a filter. A DataFrame with column `path` may be of any size.
     """
     if isinstance(excluded, DataFrame):
-        listed = excluded.select(_page(F.col("path")).alias("_page"))
+        listed = excluded.select(_page(F.col("path")).alias("_page")).distinct()
         return lookup_join(
             locations.withColumn("_page", _page(F.col("path"))), listed, ["_page"], "left_anti"
         ).drop("_page")

@@ -5,33 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spokeworks.functions import trailing_slash
+from spokeworks.functions import trailing_slash, url_host, url_path, url_query
 
 
 def with_url_parts(df: DataFrame, url: str) -> DataFrame:
     """Add `host`, `path` and `query` ('?' included) of http(s) URLs; the fragment is dropped.
 
-    `host` and `path` are NULL for anything else. The steps are separate
-    projections, so each part is computed once.
+    All three are '' for anything else.
     """
-    secure = F.startswith(F.lower(F.substring(url, 1, 8)), F.lit("https://"))
-    plain = F.startswith(F.lower(F.substring(url, 1, 7)), F.lit("http://"))
-    rest = F.when(secure, F.substr(url, F.lit(9))).when(plain, F.substr(url, F.lit(8)))
-    base = F.substring_index("_rest", "?", 1)
-    authority = F.substring_index("_base", "/", 1)
-    return (
-        df.withColumn("_rest", F.substring_index(rest, "#", 1))
-        .withColumn("_base", base)
-        .withColumn("_authority", authority)
-        .withColumns(
-            {
-                "host": F.lower("_authority"),
-                "path": F.substr("_base", F.length("_authority") + 1),
-                "query": F.substr("_rest", F.length("_base") + 1),
-            }
-        )
-        .drop("_rest", "_base", "_authority")
-    )
+    whole = F.col(url)
+    return df.withColumns({"host": url_host(whole), "path": url_path(whole), "query": url_query(whole)})
 
 
 def fold_host(host: Column, apex: Column | None = None, prefer: str = "www") -> Column:
@@ -41,10 +24,11 @@ def fold_host(host: Column, apex: Column | None = None, prefer: str = "www") ->
     """
     if prefer not in ("www", "bare"):
         raise ValueError("prefer is 'www' or 'bare'")
-    bare = F.when(F.startswith(host, F.lit("www.")), F.substr(host, F.lit(5))).otherwise(host)
-    target = bare if apex is None else apex
-    folded = F.concat(F.lit("www."), target) if prefer == "www" else target
-    return F.when(bare == target, folded).otherwise(host)
+    prefix = "www." if prefer == "www" else ""
+    if apex is None:
+        return F.regexp_replace(host, r"^(?:www\.)?(?=.)", prefix)
+    pair = (host == apex) | (host == F.concat(F.lit("www."), apex))
+    return F.when(pair, F.concat(F.lit(prefix), apex)).otherwise(host)
 
 
 def with_canonical_url(
@@ -52,12 +36,11 @@ def with_canonical_url(
 ) -> DataFrame:
     """Add the https form with folded host, trailing slash, query kept and no fragment.
 
-    Replaces `host`, `path` and `query`, too. What is no http(s) URL stays as it is.
+    Adds its `host`, `path` and `query`, too. What is no http(s) URL stays as it
+    is, with an empty host.
     """
-    parts = with_url_parts(df, url)
-    rooted = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
-    canonical = parts.withColumns(
-        {"host": fold_host(F.col("host"), apex, prefer), "path": trailing_slash(rooted)}
+    parts = with_url_parts(df, url).withColumns(
+        {"host": fold_host(F.col("host"), apex, prefer), "path": trailing_slash(F.col("path"))}
     )
     joined = F.concat(F.lit("https://"), F.col("host"), F.col("path"), F.col("query"))
-    return canonical.withColumn(name, F.coalesce(joined, F.col(url)))
+    return parts.withColumn(name, F.when(F.col("host") == "", F.col(url)).otherwise(joined))

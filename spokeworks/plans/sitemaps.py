@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeworks.operators import sitemap
-from spokeworks.plans.web import CANONICAL_SQL
+from spokeworks.plans.web import CANONICAL_SQL, canonical_pages
 from spokeworks.sources import (
     publish_index,
     publish_robots,
@@ -25,14 +25,10 @@ _SITE_SIZE = 40
 _SPAM = "(pills|spam)"
 
 
-def _locations(spark: SparkSession, folder: str) -> DataFrame:
-    return sitemap.page_locations(read_table(spark, folder, "pages"), prefer="bare")
-
-
 def _kept(spark: SparkSession, folder: str) -> DataFrame:
     """Locations on paths that no spam host uses."""
-    locations = _locations(spark, folder)
-    spam = locations.filter(F.regexp_like("host", F.lit(_SPAM))).select("path")
+    locations = sitemap.page_locations(read_table(spark, folder, "pages"), prefer="bare")
+    spam = canonical_pages(spark, folder).filter(F.regexp_like("host", F.lit(_SPAM)))
     return sitemap.exclude_paths(locations, spam)
 
 

@@ -15,8 +15,9 @@ from spokeworks.workspace import scratch_table
 
 # Fixed values of the sitemap documents.
 XML_DECLARATION = '<?xml version="1.0" encoding="UTF-8"?>'
+PLAIN_URLSET = 'urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 URLSET = (
-    'urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    f"{PLAIN_URLSET}"
     ' xmlns:news="http://www.google.com/schemas/sitemap-news/0.9"'
     ' xmlns:xhtml="http://www.w3.org/1999/xhtml"'
     ' xmlns:mobile="http://www.google.com/schemas/sitemap-mobile/1.0"'
@@ -27,14 +28,17 @@ SITEMAP_INDEX = 'sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9
 
 
 def write_sitemap_xml(shards: DataFrame, path: str) -> None:
-    """`host=.../shard=N/` with one XML file per shard, through Spark's own XML writer."""
+    """`host=.../shard=N/` with one XML file per shard, through Spark's own XML writer.
+
+    That writer takes no prefixed attributes, so only the default namespace is declared.
+    """
     (
         shards.repartition("host", "shard")
         .sortWithinPartitions("host", "shard", "loc")
         .select("host", "shard", "loc", "lastmod", "changefreq", "priority")
         .write.partitionBy("host", "shard")
         .format("xml")
-        .option("rootTag", URLSET)
+        .option("rootTag", PLAIN_URLSET)
         .option("rowTag", "url")
         .option("declaration", XML_DECLARATION.removeprefix("<?xml ").removesuffix("?>"))
         .save(path)
