@@ -6,7 +6,7 @@ from spokeworks.functions.numbers import (
     parse_int,
     tenths_text,
 )
-from spokeworks.functions.payload import contract_violation, json_field, strict_json
+from spokeworks.functions.payload import contract_verdict, json_field, strict_json
 from spokeworks.functions.text import count_label, iso_instant, xml_escape
 from spokeworks.functions.urls import (
     file_extension,
@@ -18,7 +18,7 @@ from spokeworks.functions.urls import (
 )
 
 __all__ = [
-    "contract_violation",
+    "contract_verdict",
     "count_label",
     "file_extension",
     "fixed1_tenths",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER_TYPES = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+# Variant type names that JSON numbers get.
+_NUMBER = r"^(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL).*"
+_REASONS = "pass|unparseable|missing"
 
 
 def strict_json(body: Column) -> Column:
@@ -13,11 +15,13 @@ def strict_json(body: Column) -> Column:
 
     The variant parser stops after the first value and ignores what follows.
     Text that closes one kind of bracket early breaks the other, so parsing
-    inside both an object and an array accepts whole values only.
+    inside both an object and an array accepts whole values only. A flat object
+    has its one closing brace at the end and cannot close anything early.
     """
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}")))
     in_array = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    return F.when(in_array.isNotNull(), in_object)
+    flat = F.startswith(body, F.lit("{")) & (F.instr(body, "}") == F.length(body))
+    return F.when(flat | in_array.isNotNull(), in_object)
 
 
 def _path(field: str) -> str:
@@ -29,13 +33,14 @@ def json_field(body: Column, field: str, as_type: str) -> Column:
     return F.try_variant_get(strict_json(body), _path(field), as_type)
 
 
-def contract_violation(status: Column, body: Column, field: str) -> Column:
-    """NULL where status is 200 and `field` is a JSON number, else the reason."""
+def contract_verdict(status: Column, body: Column, field: str) -> Column:
+    """'pass' where status is 200 and `field` is a JSON number, else the reason.
+
+    Payloads with the field are parsed once; the others again for the reason.
+    """
     doc = strict_json(body)
     kind = F.schema_of_variant(F.try_variant_get(doc, _path(field), "variant"))
-    return (
-        F.when(status.isNull() | (status != 200), "bad_status")
-        .when(doc.isNull(), "unparseable")
-        .when(kind.isNull(), "missing")
-        .when(~F.regexp_like(kind, F.lit(_NUMBER_TYPES)), "not_numeric")
-    )
+    reason = F.when(doc.isNull(), "unparseable").otherwise("missing")
+    found = F.regexp_replace(F.coalesce(kind, reason), _NUMBER, "pass")
+    verdict = F.regexp_replace(found, rf"^(?!(?:{_REASONS})$)(?s:.*)$", "not_numeric")
+    return F.when(status == 200, verdict).otherwise("bad_status")

@@ -5,32 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spokeworks.functions import contract_violation
+from spokeworks.functions import contract_verdict
 
 
 def check_payloads(payloads: DataFrame, field: str, status: str = "status", body: str = "body") -> DataFrame:
-    """Add `violation`: NULL for payloads that keep the contract, else the reason."""
-    return payloads.withColumn("violation", contract_violation(F.col(status), F.col(body), field))
+    """Add `verdict`: 'pass', 'bad_status', 'unparseable', 'missing' or 'not_numeric'."""
+    return payloads.withColumn("verdict", contract_verdict(F.col(status), F.col(body), field))
 
 
 def passing(checked: DataFrame) -> DataFrame:
-    return checked.filter(F.col("violation").isNull()).drop("violation")
+    return checked.filter(F.col("verdict") == "pass").drop("verdict")
 
 
 def quarantined(checked: DataFrame) -> DataFrame:
-    return checked.filter(F.col("violation").isNotNull())
+    return checked.filter(F.col("verdict") != "pass")
 
 
-def violation_counts(checked: DataFrame) -> DataFrame:
-    """Payloads per outcome; 'pass' is an outcome too."""
-    outcome = F.coalesce("violation", F.lit("pass")).alias("violation")
-    return checked.groupBy(outcome).agg(F.count("*").alias("payloads"))
+def verdict_counts(checked: DataFrame) -> DataFrame:
+    """Payloads per verdict."""
+    return checked.groupBy("verdict").agg(F.count("*").alias("payloads"))
 
 
 def write_gated(checked: DataFrame, path: str) -> None:
-    """Write all payloads partitioned by outcome in one pass: 'violation=pass' is the good set."""
-    (
-        checked.withColumn("violation", F.coalesce("violation", F.lit("pass")))
-        .write.partitionBy("violation")
-        .parquet(path)
-    )
+    """Write all payloads in one pass, in a folder per verdict; `verdict=pass` is the good set."""
+    checked.write.partitionBy("verdict").parquet(path)

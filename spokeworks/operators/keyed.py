@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spokeworks.operators.ordinal import add_ordinal
+from spokeworks.workspace import scratch_table
 
 
 def keyed_records(df: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
@@ -40,7 +41,8 @@ def unique_key_maps(
     A group of any size is returned whole: keys are numbered in order and every
     `max_entries` of them make one row (`part` 0, 1, ...). Duplicate keys fail.
     """
-    numbered = add_ordinal(require_unique(df, group, key, value), [key], group, "_no")
+    checked = scratch_table(require_unique(df, group, key, value), "unique")
+    numbered = add_ordinal(checked, [key], group, "_no")
     part = F.call_function("div", F.col("_no") - 1, F.lit(max_entries)).alias("part")
     entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))
     return numbered.groupBy(*group, part).agg(entries.alias("entries"))

@@ -16,6 +16,9 @@ _SHIFT = "__shift"
 # monotonically_increasing_id keeps the row's position in its partition in the low 33 bits.
 _POSITION_BITS = (1 << 33) - 1
 
+# Keys of up to this many rows are left to one task.
+HOT_KEY_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class PlacedRows:
@@ -88,8 +91,38 @@ def number_rows(placed: PlacedRows, name: str = "ordinal", start: DataFrame | No
     )
 
 
+def hot_keys(df: DataFrame, within: Sequence[str], least_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Keys with more rows than an average shuffle partition and than `least_rows`.
+
+    There are fewer of them than shuffle partitions, whatever the data.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*within).agg(F.count("*").alias("n"))
+    share = counts.agg(F.sum("n") / partitions).scalar()
+    return counts.filter((F.col("n") > least_rows) & (F.col("n") > share)).select(*within)
+
+
 def add_ordinal(
-    df: DataFrame, order_by: Sequence[str], within: Sequence[str] = (), name: str = "ordinal"
+    df: DataFrame,
+    order_by: Sequence[str],
+    within: Sequence[str] = (),
+    name: str = "ordinal",
+    hot_key_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
-    """`row_number` over `order_by`, per `within` or over the whole table."""
-    return number_rows(place_rows(df, order_by, within), name)
+    """`row_number` over `order_by`, per `within` or over the whole table.
+
+    Hot keys go through `place_rows`, which may use many tasks for one key. For
+    all others a window does the same with a single shuffle. `df` is read for
+    counting and for numbering, so pass a table or a cheap plan.
+    """
+    if not within:
+        return number_rows(place_rows(df, order_by), name)
+    ordinal = F.row_number().over(Window.partitionBy(*within).orderBy(*order_by)).cast("bigint")
+    hot = scratch_table(hot_keys(df, within, hot_key_rows), "hot")
+    if hot.isEmpty():
+        return df.withColumn(name, ordinal)
+    # Fewer keys than shuffle partitions: safe to broadcast.
+    same = _same_key(df, hot, within)
+    heavy = df.join(F.broadcast(hot), same, "left_semi")
+    light = df.join(F.broadcast(hot), same, "left_anti")
+    return number_rows(place_rows(heavy, order_by, within), name).unionByName(light.withColumn(name, ordinal))

@@ -11,6 +11,7 @@ from spokeworks.functions import iso_instant, url_host, xml_escape
 from spokeworks.operators.joins import MAX_BROADCAST_ROWS, lookup_join
 from spokeworks.operators.ordinal import add_ordinal
 from spokeworks.operators.urls import with_canonical_url, with_url_parts
+from spokeworks.workspace import scratch_table
 
 # Fixed values of the sitemap settings.
 SITEMAP_SIZE = 5000
@@ -66,7 +67,7 @@ def with_sitemap_fields(
 
 def with_shard(entries: DataFrame, size: int = SITEMAP_SIZE, per_host: bool = True) -> DataFrame:
     """Number the entries by ascending location and cut them into shards of `size`."""
-    numbered = add_ordinal(entries, ["loc"], ["host"] if per_host else [], "_no")
+    numbered = add_ordinal(scratch_table(entries, "entries"), ["loc"], ["host"] if per_host else [], "_no")
     return numbered.withColumn("shard", F.call_function("div", F.col("_no") - 1, F.lit(size))).drop("_no")
 
 

@@ -39,11 +39,11 @@ def _checked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def json_contract(spark: SparkSession, folder: str) -> DataFrame:
-    return contract.violation_counts(_checked(spark, folder))
+    return contract.verdict_counts(_checked(spark, folder))
 
 
 def json_quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    return contract.quarantined(_checked(spark, folder)).select("event_id", "status", "body", "violation")
+    return contract.quarantined(_checked(spark, folder)).select("event_id", "status", "body", "verdict")
 
 
 def json_passing(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,8 +75,8 @@ checked AS (
     CASE WHEN status <> 200 THEN 'bad_status'
          WHEN NOT ok THEN 'unparseable'
          WHEN json_type(doc, '$.k') IS NULL THEN 'missing'
-         WHEN json_type(doc, '$.k') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'not_numeric' END
-      AS violation
+         WHEN json_type(doc, '$.k') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'not_numeric'
+         ELSE 'pass' END AS verdict
   FROM typed)
 """
 
@@ -84,8 +84,8 @@ SQL = {
     "json_field": _PAYLOAD_SQL
     + "SELECT event_id, TRY_CAST(json_extract_string(doc, '$.k') AS DOUBLE) AS k FROM checked",
     "json_contract": _PAYLOAD_SQL
-    + "SELECT COALESCE(violation, 'pass') AS violation, count(*) AS payloads FROM checked GROUP BY 1",
+    + "SELECT verdict, count(*) AS payloads FROM checked GROUP BY verdict",
     "json_quarantine": _PAYLOAD_SQL
-    + "SELECT event_id, status, body, violation FROM checked WHERE violation IS NOT NULL",
-    "json_passing": _PAYLOAD_SQL + "SELECT event_id, body FROM checked WHERE violation IS NULL",
+    + "SELECT event_id, status, body, verdict FROM checked WHERE verdict <> 'pass'",
+    "json_passing": _PAYLOAD_SQL + "SELECT event_id, body FROM checked WHERE verdict = 'pass'",
 }

@@ -20,7 +20,7 @@ from spokeworks.workspace import scratch_path
 _BUILD_TIME = "2025-01-31 08:05:09.070"
 _STAMP = "2025-01-31T08:05:09.070Z"
 # Small shards, so that the test tables fill more than one.
-_HOST_SIZE = 3
+_HOST_SIZE = 20
 _SITE_SIZE = 40
 _SPAM = "(pills|spam)"
 

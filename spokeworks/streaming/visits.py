@@ -46,7 +46,13 @@ def read_visit_totals(spark: SparkSession, out: str, keys: Sequence[str]) -> Dat
 
 
 def start_visit_ordinals(
-    visits: DataFrame, keys: Sequence[str], order_by: Sequence[str], out: str, checkpoint: str, **trigger
+    visits: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    out: str,
+    checkpoint: str,
+    snapshot_every: int = SNAPSHOT_EVERY,
+    **trigger,
 ) -> StreamingQuery:
     """Number every hit of the stream with the count it raised its key to.
 
@@ -61,25 +67,29 @@ def start_visit_ordinals(
         [StructField(k, visits.schema[k].dataType) for k in keys] + [StructField("n", LongType())]
     )
 
-    def totals_before(spark: SparkSession, batch_id: int) -> DataFrame:
-        first_delta = batch_id - batch_id % SNAPSHOT_EVERY
+    def counts_before(spark: SparkSession, batch_id: int) -> DataFrame:
+        first_delta = batch_id - batch_id % snapshot_every
         folders = [_batch_folder(deltas, i) for i in range(first_delta, batch_id)]
         if first_delta:
             folders.append(_batch_folder(snapshots, first_delta - 1))
         if not folders:
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(*folders).groupBy(*keys).agg(F.sum("n").alias("n"))
+        return spark.read.schema(schema).parquet(*folders)
+
+    def total(counted: DataFrame) -> DataFrame:
+        return counted.groupBy(*keys).agg(F.sum("n").alias("n"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = totals_before(spark, batch_id)
+        before = counts_before(batch.sparkSession, batch_id)
         placed = place_rows(batch, order_by, keys, folder=f"{checkpoint}/work")
-        numbered = number_rows(placed, "visit_no", before.withColumnRenamed("n", "start"))
+        # Only the batch's own keys need a starting point.
+        seen = before.join(placed.runs, [before[k].eqNullSafe(placed.runs[k]) for k in keys], "left_semi")
+        numbered = number_rows(placed, "visit_no", total(seen).withColumnRenamed("n", "start"))
         numbered.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
-        placed.totals().write.mode("overwrite").parquet(_batch_folder(deltas, batch_id))
-        if (batch_id + 1) % SNAPSHOT_EVERY == 0:
-            everything = before.unionByName(placed.totals()).groupBy(*keys).agg(F.sum("n").alias("n"))
-            everything.write.mode("overwrite").parquet(_batch_folder(snapshots, batch_id))
+        counted = placed.totals()
+        counted.write.mode("overwrite").parquet(_batch_folder(deltas, batch_id))
+        if (batch_id + 1) % snapshot_every == 0:
+            total(before.unionByName(counted)).write.mode("overwrite").parquet(_batch_folder(snapshots, batch_id))
 
     return (
         visits.writeStream.option("checkpointLocation", f"{checkpoint}/stream")

@@ -1,0 +1,74 @@
+"""Skewed lookups: AQE must split the hot key, and results stay whole."""
+
+import pytest
+from conftest import settings
+from pyspark.sql import functions as F
+
+from spokeworks.operators import routing, sitemap
+from spokeworks.operators.joins import lookup_join
+
+SHUFFLED = {
+    "spark__sql__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "20KB",
+    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "20KB",
+    "spark__sql__shuffle__partitions": "32",
+}
+
+
+def executed_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def requests(spark):
+    """A third of all requests ask for one object, a third for nothing stored."""
+    i = F.col("id")
+    key = F.when(i % 3 == 0, "hot").when(i % 3 == 1, F.concat(F.lit("gone"), i)).otherwise(F.concat(F.lit("k"), i % 999))
+    return spark.range(0, 60_000, 1, 8).select("id", key.alias("object_key"), F.sha2(i.cast("string"), 256).alias("pad"))
+
+
+@pytest.fixture(scope="module")
+def objects(spark):
+    return spark.range(3000).select(F.when(F.col("id") < 1500, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 999)).alias("object_key"))
+
+
+def test_hot_request_is_split(spark, requests, objects):
+    with settings(spark, **SHUFFLED):
+        routed = routing.resolve_routes(requests, objects)
+        plan = executed_plan(routed)
+        assert "SortMergeJoin(skew=true)" in plan
+        outcome = {r.found: r["count"] for r in routed.groupBy("found").count().collect()}
+    assert outcome == {True: 40_000, False: 20_000}
+
+
+def test_missing_objects_get_the_error_document(requests, objects):
+    routed = routing.resolve_routes(requests, objects, error_key="error.html")
+    served = routed.groupBy("found").agg(F.collect_set(F.col("served_key") == "error.html").alias("error"))
+    assert {r.found: r.error for r in served.collect()} == {True: [False], False: [True]}
+
+
+def test_hot_path_is_split_when_excluding(spark, requests, objects):
+    locations = requests.select(F.concat(F.lit("/"), "object_key", F.lit("/")).alias("path"), "pad")
+    listed = objects.select(F.concat(F.lit("/"), "object_key").alias("path"))
+    with settings(spark, **SHUFFLED):
+        kept = sitemap.exclude_paths(locations, listed)
+        assert "skew=true" in executed_plan(kept)
+        assert kept.count() == 20_000
+
+
+def test_small_table_is_broadcast(requests, objects):
+    assert "BroadcastHashJoin" in executed_plan(routing.resolve_routes(requests, objects))
+
+
+def test_key_types_must_agree(spark):
+    with pytest.raises(ValueError, match="join column a"):
+        lookup_join(spark.range(1).select(F.lit(1).alias("a")), spark.range(1).select(F.lit("1").alias("a")), ["a"], "left")
+
+
+def test_content_types(spark):
+    rows = {"a/index.html": "text/html", "s.css": "text/css", "x.min.js": "text/javascript", "b": None, "p.png": None}
+    table = spark.createDataFrame([(k,) for k in rows], "object_key string")
+    assert {r.object_key: r.content_type for r in routing.with_content_type(table).collect()} == rows

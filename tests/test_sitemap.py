@@ -1,0 +1,169 @@
+"""URLs, sitemap shards, and the files written from them."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from spokeworks.functions import iso_instant, object_key, trailing_slash, xml_escape
+from spokeworks.operators import sitemap
+from spokeworks.operators.urls import with_canonical_url
+from spokeworks.sources import publish_index, publish_robots, publish_sitemaps, read_sitemap, write_sitemap_xml
+
+# url, canonical form for the site example.com with its www host preferred
+URLS = [
+    ("http://example.com", "https://www.example.com/"),
+    ("https://www.example.com/resume", "https://www.example.com/resume/"),
+    ("HTTP://WWW.Example.com/resume/#top", "https://www.example.com/resume/"),
+    ("https://example.com/a/b.html?x=1#y", "https://www.example.com/a/b.html?x=1"),
+    ("https://example.com?x=/1", "https://www.example.com/?x=/1"),
+    ("https://example.com/v1.2/notes", "https://www.example.com/v1.2/notes/"),
+    ("https://example.com/a#?b", "https://www.example.com/a/"),
+    ("https://blog.example.com/a", "https://blog.example.com/a/"),
+    ("https://other.org:8080/a", "https://other.org:8080/a/"),
+    ("mailto:someone@example.com", "mailto:someone@example.com"),
+    ("/relative", "/relative"),
+    (None, None),
+]
+
+
+def test_canonical_urls(spark):
+    table = spark.createDataFrame([(u,) for u, _ in URLS], "url string")
+    canonical = with_canonical_url(table, "url", apex=F.lit("example.com"))
+    assert {(r.url, r.canonical_url) for r in canonical.collect()} == set(URLS)
+    again = with_canonical_url(canonical.select("canonical_url"), "canonical_url", "again", F.lit("example.com"))
+    assert again.filter(~F.col("again").eqNullSafe(F.col("canonical_url"))).isEmpty()
+
+
+def test_own_twin_is_folded_without_an_apex(spark):
+    table = spark.createDataFrame([("https://www.a.org/x/",), ("https://a.org/x/",)], "url string")
+    for prefer, host in (("www", "www.a.org"), ("bare", "a.org")):
+        found = with_canonical_url(table, "url", prefer=prefer).select("canonical_url").distinct().collect()
+        assert [r[0] for r in found] == [f"https://{host}/x/"]
+    with pytest.raises(ValueError):
+        with_canonical_url(table, "url", prefer="apex")
+
+
+def test_paths_and_keys(spark):
+    rows = [
+        ("", "/", "index.html"),
+        ("/", "/", "index.html"),
+        ("/a", "/a/", "a"),
+        ("/a/", "/a/", "a/index.html"),
+        ("/a/b.css", "/a/b.css", "a/b.css"),
+        ("/a//b", "/a//b/", "a//b"),
+    ]
+    table = spark.createDataFrame([(r[0],) for r in rows], "p string")
+    found = table.select("p", trailing_slash(F.col("p")), object_key(F.col("p"))).collect()
+    assert [tuple(r) for r in found] == rows
+
+
+def test_instants(spark):
+    table = spark.sql(
+        "SELECT timestamp_ntz'2025-04-27 17:45:46.35' AS t UNION ALL SELECT timestamp_ntz'2025-03-30 02:30:00'"
+        " UNION ALL SELECT timestamp_ntz'2024-01-01 00:00:07.179975'"
+    )
+    assert {r[0] for r in table.select(iso_instant(F.col("t"))).collect()} == {
+        "2025-04-27T17:45:46.350Z",
+        "2025-03-30T02:30:00.000Z",
+        "2024-01-01T00:00:07.179Z",
+    }
+
+
+def test_escape(spark):
+    row = spark.range(1).select(xml_escape(F.lit("""a&b<c>"d'&amp;"""))).first()
+    assert row[0] == "a&amp;b&lt;c&gt;&quot;d&apos;&amp;amp;"
+
+
+@pytest.fixture(scope="module")
+def entries(spark):
+    urls = [f"http://example.com/p{i:02d}?a={i}&b=<'{i}'>" for i in range(7)]
+    urls += ["https://www.example.com/p00?a=0&b=<'0'>", "https://example.com/404", "https://example.com/4040"]
+    urls += ["https://example.com/bikeride/secret-test/", "https://other.org/", "not a url"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    kept = sitemap.exclude_paths(sitemap.page_locations(pages))
+    return sitemap.with_sitemap_fields(kept, "2025-04-27 17:45:46.35")
+
+
+def test_entries(entries):
+    rows = sorted(entries.collect())
+    assert len(rows) == 9
+    assert rows[0].loc == "https://www.example.com/4040/"
+    assert rows[-1].loc == "https://www.other.org/"
+    assert {(r.lastmod, r.changefreq, r.priority) for r in rows} == {("2025-04-27T17:45:46.350Z", "weekly", 0.7)}
+
+
+def test_excluding_by_table_equals_excluding_by_list(spark, entries):
+    pages = spark.createDataFrame([("https://a.org/x",), ("https://a.org/y/",), ("https://a.org/",)], "url string")
+    locations = sitemap.page_locations(pages)
+    listed = spark.createDataFrame([("/x/",), ("/",), ("/",)], "path string")
+    for excluded in (["/x", "/"], listed):
+        assert [r.loc for r in sitemap.exclude_paths(locations, excluded).collect()] == ["https://www.a.org/y/"]
+
+
+def test_shards_are_full_and_ordered(entries):
+    shards = sitemap.with_shard(entries, 3).groupBy("host", "shard").agg(F.sort_array(F.collect_list("loc")).alias("l"))
+    found = {(r.host, r.shard): r.l for r in shards.collect()}
+    assert {k: len(v) for k, v in found.items()} == {
+        ("www.example.com", 0): 3, ("www.example.com", 1): 3, ("www.example.com", 2): 2, ("www.other.org", 0): 1,
+    }
+    assert found["www.example.com", 0][-1] < found["www.example.com", 1][0]
+    index = {r.loc for r in sitemap.sitemap_index(entries, 3).collect()}
+    assert index == {f"https://{host}/sitemap-{shard}.xml" for host, shard in found}
+
+
+def test_default_size_makes_one_shard(entries):
+    assert sitemap.with_shard(entries).select("shard").distinct().count() == 1
+
+
+def test_xml_round_trip(spark, entries, tmp_path):
+    shards = sitemap.with_shard(entries, 3)
+    path = str(tmp_path / "xml")
+    write_sitemap_xml(shards, path)
+    columns = ["loc", "lastmod", "changefreq", "priority"]
+    back, sent = read_sitemap(spark, path).select(columns), shards.select(columns)
+    assert back.exceptAll(sent).isEmpty() and sent.exceptAll(back).isEmpty()
+    assert len(list((tmp_path / "xml").glob("host=*/shard=*/part-*.xml"))) == 4
+
+
+def test_published_files(spark, entries, tmp_path):
+    root = str(tmp_path / "site")
+    shards = sitemap.with_shard(entries, 3)
+    manifest = {r.file: r.lines for r in publish_sitemaps(shards, root).collect()}
+    assert manifest == {
+        "www.example.com/sitemap-0.xml": 3, "www.example.com/sitemap-1.xml": 3,
+        "www.example.com/sitemap-2.xml": 2, "www.other.org/sitemap-0.xml": 1,
+    }
+    publish_index(entries, root, 3)
+    publish_robots(entries, root)
+    site = tmp_path / "site" / "www.example.com"
+    assert sorted(f.name for f in site.iterdir()) == [
+        "robots.txt", "sitemap-0.xml", "sitemap-1.xml", "sitemap-2.xml", "sitemap.xml",
+    ]
+    other = tmp_path / "site" / "www.other.org"
+    assert (other / "sitemap-0.xml").read_text().splitlines()[2:] == [
+        "<url><loc>https://www.other.org/</loc><lastmod>2025-04-27T17:45:46.350Z</lastmod>"
+        "<changefreq>weekly</changefreq><priority>0.7</priority></url>",
+        "</urlset>",
+    ]
+    assert (site / "sitemap.xml").read_text().splitlines() == [
+        '<?xml version="1.0" encoding="UTF-8"?>',
+        '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">',
+        *(f"<sitemap><loc>https://www.example.com/sitemap-{i}.xml</loc></sitemap>" for i in range(3)),
+        "</sitemapindex>",
+    ]
+    assert (site / "robots.txt").read_text().splitlines() == [
+        "# *", "User-agent: *", "Allow: /", "", "# Host", "Host: https://www.example.com",
+        "", "# Sitemaps", "Sitemap: https://www.example.com/sitemap.xml",
+    ]
+    # The entries read back from the published files are the ones sent.
+    back = read_sitemap(spark, f"{root}/*/sitemap-*.xml").select("loc")
+    assert back.exceptAll(entries.select("loc")).isEmpty() and back.count() == 9
+
+
+def test_publishing_again_replaces_the_files(entries, tmp_path):
+    root = str(tmp_path / "site")
+    shards = sitemap.with_shard(entries)
+    publish_sitemaps(shards, root)
+    first = (tmp_path / "site/www.example.com/sitemap-0.xml").read_bytes()
+    publish_sitemaps(shards, root)
+    assert (tmp_path / "site/www.example.com/sitemap-0.xml").read_bytes() == first
+    assert len(list((tmp_path / "site/www.example.com").iterdir())) == 1
