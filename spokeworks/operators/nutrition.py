@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spokeworks.functions import fixed1_tenths, fixed1_text
+from spokeworks.functions import fixed1_tenths, tenths_text
 
 # Fixed values of the nutrition rule: pounds per gram, grams per piece.
 POUNDS_PER_GRAM = 3
@@ -45,16 +45,18 @@ def food_equivalents(planned: DataFrame, foods: dict[str, int] = FOOD_CARBS) ->
     )
 
 
-def carb_message(weight: Column, carbs_tenths: Column) -> Column:
-    """The sentence shown to the rider; 'NaN' stands for an unusable weight."""
+def with_carb_message(planned: DataFrame, weight: str = "weight") -> DataFrame:
+    """Add `message`, the sentence shown to the rider; 'NaN' stands for an unusable weight."""
+    carbs = F.col("carbs_tenths")
 
-    def shown(x: Column) -> Column:
-        return F.coalesce(fixed1_text(x), F.lit("NaN"))
+    def shown(tenths: Column, negative: Column) -> Column:
+        return F.coalesce(tenths_text(tenths, negative), F.lit("NaN"))
 
-    def food(name: str) -> Column:
-        return shown(pieces(carbs_tenths, F.lit(float(FOOD_CARBS[name]))))
-
-    return F.concat(
-        F.lit(_CARBS), shown(weight / POUNDS_PER_GRAM), F.lit(_BANANAS), food("banana"), F.lit(_GELS),
-        food("gel"), F.lit(_TACOS), food("taco"), F.lit(_CLOSING),
+    # Rounded counts get columns of their own, as each appears several times in its text.
+    counts = {f"_{food}": fixed1_tenths(pieces(carbs, F.lit(float(each)))) for food, each in FOOD_CARBS.items()}
+    food = {name: shown(F.col(f"_{name}"), carbs < 0) for name in FOOD_CARBS}
+    message = F.concat(
+        F.lit(_CARBS), shown(carbs, F.col(weight) < 0), F.lit(_BANANAS), food["banana"], F.lit(_GELS),
+        food["gel"], F.lit(_TACOS), food["taco"], F.lit(_CLOSING),
     )
+    return planned.withColumns(counts).withColumn("message", message).drop(*counts)

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spokeworks.functions import iso_instant, url_host, xml_escape
+from spokeworks.functions import iso_instant, xml_escape
 from spokeworks.operators.joins import MAX_BROADCAST_ROWS, lookup_join
 from spokeworks.operators.ordinal import add_ordinal
-from spokeworks.operators.urls import with_canonical_url, with_url_parts
+from spokeworks.operators.urls import distinct_locations
 from spokeworks.workspace import scratch_table
 
 # Fixed values of the sitemap settings.
@@ -23,13 +23,8 @@ EXCLUDED_PATHS = ("/404", "/bikeride/secret-test")
 def page_locations(
     pages: DataFrame, url: str = "url", apex: Column | None = None, prefer: str = "www"
 ) -> DataFrame:
-    """Distinct canonical locations with their host and path.
-
-    Only the location itself is shuffled; its parts are taken from it afterwards.
-    """
-    web_pages = pages.filter(url_host(F.col(url)) != "")
-    locations = with_canonical_url(web_pages, url, "loc", apex, prefer).select("loc").distinct()
-    return with_url_parts(locations, "loc")
+    """Distinct canonical locations with their host and path."""
+    return distinct_locations(pages, url, "loc", apex, prefer)
 
 
 def _page(path: Column) -> Column:

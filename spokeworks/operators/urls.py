@@ -24,11 +24,23 @@ def fold_host(host: Column, apex: Column | None = None, prefer: str = "www") ->
     """
     if prefer not in ("www", "bare"):
         raise ValueError("prefer is 'www' or 'bare'")
-    prefix = "www." if prefer == "www" else ""
-    if apex is None:
-        return F.regexp_replace(host, r"^(?:www\.)?(?=.)", prefix)
-    pair = (host == apex) | (host == F.concat(F.lit("www."), apex))
-    return F.when(pair, F.concat(F.lit(prefix), apex)).otherwise(host)
+    if apex is not None:
+        pair = (host == apex) | (host == F.concat(F.lit("www."), apex))
+        return F.when(pair, F.concat(F.lit("www." if prefer == "www" else ""), apex)).otherwise(host)
+    has_www = F.startswith(host, F.lit("www."))
+    if prefer == "bare":
+        return F.when(has_www, F.substr(host, F.lit(5))).otherwise(host)
+    return F.when(has_www | (host == ""), host).otherwise(F.concat(F.lit("www."), host))
+
+
+def _with_canonical_parts(df: DataFrame, url: str, apex: Column | None, prefer: str) -> DataFrame:
+    return with_url_parts(df, url).withColumns(
+        {"host": fold_host(F.col("host"), apex, prefer), "path": trailing_slash(F.col("path"))}
+    )
+
+
+def _joined() -> Column:
+    return F.concat(F.lit("https://"), F.col("host"), F.col("path"), F.col("query"))
 
 
 def with_canonical_url(
@@ -39,8 +51,17 @@ def with_canonical_url(
     Adds its `host`, `path` and `query`, too. What is no http(s) URL stays as it
     is, with an empty host.
     """
-    parts = with_url_parts(df, url).withColumns(
-        {"host": fold_host(F.col("host"), apex, prefer), "path": trailing_slash(F.col("path"))}
-    )
-    joined = F.concat(F.lit("https://"), F.col("host"), F.col("path"), F.col("query"))
-    return parts.withColumn(name, F.when(F.col("host") == "", F.col(url)).otherwise(joined))
+    parts = _with_canonical_parts(df, url, apex, prefer)
+    return parts.withColumn(name, F.when(F.col("host") == "", F.col(url)).otherwise(_joined()))
+
+
+def distinct_locations(
+    df: DataFrame, url: str, name: str = "loc", apex: Column | None = None, prefer: str = "www"
+) -> DataFrame:
+    """Distinct canonical forms of all http(s) URLs, with their parts.
+
+    The parts are deduplicated and joined afterwards, so nothing is parsed twice.
+    """
+    web = df.filter(url_host(F.col(url)) != "")
+    parts = _with_canonical_parts(web, url, apex, prefer).select("host", "path", "query")
+    return parts.distinct().withColumn(name, _joined())

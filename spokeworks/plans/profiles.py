@@ -83,8 +83,7 @@ def carb_food_equivalents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def carb_message(spark: SparkSession, folder: str) -> DataFrame:
-    message = nutrition.carb_message(F.col("weight"), F.col("carbs_tenths"))
-    return _planned(spark, folder).select("c_custkey", message.alias("message"))
+    return nutrition.with_carb_message(_planned(spark, folder)).select("c_custkey", "message")
 
 
 QUERIES = {

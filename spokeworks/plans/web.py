@@ -77,7 +77,7 @@ _ROUTE_SQL = (
     + """, links AS (
   SELECT page_id, host, list_concat([raw_path], regexp_extract_all(html, 'href="([^"]*)"', 1)) AS paths FROM located),
 asked AS (
-  SELECT page_id, host, i - 1 AS link_no, paths[i] AS path
+  SELECT page_id, host, CAST(i - 1 AS INTEGER) AS link_no, paths[i] AS path
   FROM (SELECT *, unnest(range(1, len(paths) + 1)) AS i FROM links)),
 keyed AS (
   SELECT page_id, host, link_no,

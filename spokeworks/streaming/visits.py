@@ -7,7 +7,8 @@ never expire and no hit is dropped as late.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from spokeworks.operators.ordinal import number_rows, place_rows
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Batches between two full snapshots of the running totals.
 SNAPSHOT_EVERY = 50
 
@@ -24,6 +28,19 @@ def _batch_folder(root: str, batch_id: int) -> str:
     return f"{root}/batch_id={batch_id}"
 
 
+@contextmanager
+def _rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Keep state on disk, which suits many keys, unless the session names a provider."""
+    named = spark.conf.get(_PROVIDER, None)
+    if named is None:
+        spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if named is None:
+            spark.conf.unset(_PROVIDER)
+
+
 def start_visit_totals(visits: DataFrame, keys: Sequence[str], out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Running hits per key, held in Spark's state store; writes the keys each batch changed."""
 
@@ -31,13 +48,15 @@ def start_visit_totals(visits: DataFrame, keys: Sequence[str], out: str, checkpo
         batch.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
     totals = visits.groupBy(*keys).agg(F.count("*").alias("visits"))
-    return (
-        totals.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
-        .trigger(**trigger)
-        .start()
-    )
+    # A query keeps the settings it started with.
+    with _rocksdb_state(visits.sparkSession):
+        return (
+            totals.writeStream.outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(write)
+            .trigger(**trigger)
+            .start()
+        )
 
 
 def read_visit_totals(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:

@@ -93,12 +93,14 @@ def test_rounding_leaves_out_what_has_no_tenths(spark):
     [
         # 150 / 3 = 50.0; 50 / 27 = 1.85, 50 / 23 = 2.17, 50 / 14 = 3.57
         (150.0, "50.0. You could get this amount of nutrition from 1.9 bananas, 2.2 Gu gel packets, or 3.6 tacos"),
+        (-0.1, "-0.0. You could get this amount of nutrition from 0.0 bananas, 0.0 Gu gel packets, or 0.0 tacos"),
+        (-0.3, "-0.1. You could get this amount of nutrition from -0.0 bananas, -0.0 Gu gel packets, or -0.0 tacos"),
         (0.0, "0.0. You could get this amount of nutrition from 0.0 bananas, 0.0 Gu gel packets, or 0.0 tacos"),
         (None, "NaN. You could get this amount of nutrition from NaN bananas, NaN Gu gel packets, or NaN tacos"),
     ],
 )
 def test_carb_message(spark, weight, text):
     riders = nutrition.with_carbs(spark.createDataFrame([(weight,)], "weight double"))
-    message = riders.select(nutrition.carb_message(F.col("weight"), F.col("carbs_tenths"))).first()[0]
+    message = nutrition.with_carb_message(riders).first().message
     assert message.startswith(f"Your recommended number of carbs per hour is {text} per hour. (Don't forget")
     assert message.endswith("sports drink or other supplements.)")
