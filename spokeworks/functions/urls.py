@@ -15,8 +15,11 @@ def _part(url: Column, pattern: str) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    """Lower-case host (and port) of an http(s) URL, '' for anything else."""
-    return F.lower(_part(url, r"^(?i:https?)://([^/?#]*)"))
+    """Lower-case host (and port) of an http(s) URL, '' for anything else.
+
+    '.' and '..' are no hosts; as folder names they would lead elsewhere.
+    """
+    return F.lower(_part(url, r"^(?i:https?)://(?!\.*(?:[/?#]|$))([^/?#]*)"))
 
 
 def url_path(url: Column) -> Column:

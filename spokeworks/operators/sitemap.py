@@ -62,7 +62,10 @@ def with_sitemap_fields(
 
 def with_shard(entries: DataFrame, size: int = SITEMAP_SIZE, per_host: bool = True) -> DataFrame:
     """Number the entries by ascending location and cut them into shards of `size`."""
-    numbered = add_ordinal(scratch_table(entries, "entries"), ["loc"], ["host"] if per_host else [], "_no")
+    if per_host:
+        numbered = add_ordinal(scratch_table(entries, "entries"), ["loc"], ["host"], "_no")
+    else:
+        numbered = add_ordinal(entries, ["loc"], name="_no")
     return numbered.withColumn("shard", F.call_function("div", F.col("_no") - 1, F.lit(size))).drop("_no")
 
 

@@ -34,7 +34,8 @@ def read_payloads(spark: SparkSession, path: str, whole_file: bool = False) -> D
     return spark.read.option("wholetext", whole_file).text(path).withColumnRenamed("value", "body")
 
 
-def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all shard files below `path`; partition folders become columns."""
-    reader = spark.read.format("xml").option("rowTag", "url").schema(ENTRY_SCHEMA)
+def read_sitemap(spark: SparkSession, path: str, partitioned: bool = False) -> DataFrame:
+    """Entries of all shard files at `path`; `partitioned` adds the folder columns host and shard."""
+    schema = f"{ENTRY_SCHEMA}, host string, shard bigint" if partitioned else ENTRY_SCHEMA
+    reader = spark.read.format("xml").option("rowTag", "url").schema(schema)
     return reader.load(path).withColumn("source_file", F.input_file_name())

@@ -35,6 +35,17 @@ def test_per_key(skewed, hot_key_rows):
     assert same(add_ordinal(skewed, ["at", "id"], ["key"], "n", hot_key_rows), expected)
 
 
+def test_shuffled_join_of_places(spark, skewed):
+    """Without broadcasts, as for more keys than fit in one."""
+    window = Window.partitionBy("key").orderBy("at", "id")
+    expected = skewed.withColumn("n", F.row_number().over(window).cast("bigint"))
+    off = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1"}
+    with settings(spark, **off):
+        numbered = number_rows(place_rows(skewed, ["at", "id"], ["key"]), "n")
+        assert "SortMergeJoin" in numbered._jdf.queryExecution().executedPlan().toString()
+        assert same(numbered, expected)
+
+
 def test_whole_table(skewed):
     expected = skewed.withColumn("n", F.row_number().over(Window.orderBy("at", "id")).cast("bigint"))
     assert same(add_ordinal(skewed, ["at", "id"], name="n"), expected)

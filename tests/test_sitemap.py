@@ -19,6 +19,8 @@ URLS = [
     ("https://example.com/a#?b", "https://www.example.com/a/"),
     ("https://blog.example.com/a", "https://blog.example.com/a/"),
     ("https://other.org:8080/a", "https://other.org:8080/a/"),
+    ("https://../../a", "https://../../a"),
+    ("https:///a", "https:///a"),
     ("mailto:someone@example.com", "mailto:someone@example.com"),
     ("/relative", "/relative"),
     (None, None),
@@ -77,7 +79,7 @@ def test_escape(spark):
 def entries(spark):
     urls = [f"http://example.com/p{i:02d}?a={i}&b=<'{i}'>" for i in range(7)]
     urls += ["https://www.example.com/p00?a=0&b=<'0'>", "https://example.com/404", "https://example.com/4040"]
-    urls += ["https://example.com/bikeride/secret-test/", "https://other.org/", "not a url"]
+    urls += ["https://example.com/bikeride/secret-test/", "https://other.org/", "not a url", "https://../x"]
     pages = spark.createDataFrame([(u,) for u in urls], "url string")
     kept = sitemap.exclude_paths(sitemap.page_locations(pages))
     return sitemap.with_sitemap_fields(kept, "2025-04-27 17:45:46.35")
@@ -118,8 +120,8 @@ def test_xml_round_trip(spark, entries, tmp_path):
     shards = sitemap.with_shard(entries, 3)
     path = str(tmp_path / "xml")
     write_sitemap_xml(shards, path)
-    columns = ["loc", "lastmod", "changefreq", "priority"]
-    back, sent = read_sitemap(spark, path).select(columns), shards.select(columns)
+    columns = ["host", "shard", "loc", "lastmod", "changefreq", "priority"]
+    back, sent = read_sitemap(spark, path, partitioned=True).select(columns), shards.select(columns)
     assert back.exceptAll(sent).isEmpty() and sent.exceptAll(back).isEmpty()
     assert len(list((tmp_path / "xml").glob("host=*/shard=*/part-*.xml"))) == 4
 
