@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeworks.operators.sitemap import SITEMAP_SIZE, index_element, shard_file, sitemap_index, url_element
@@ -45,6 +46,14 @@ def write_sitemap_xml(shards: DataFrame, path: str) -> None:
     )
 
 
+def _store_uri(spark: SparkSession, root: str) -> str:
+    """`root` as tasks address it: on Spark's default file system unless it names one."""
+    if "://" not in root and not root.startswith("file:"):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+        root = default.rstrip("/") + root
+    return re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]://", "s3://", root))
+
+
 def _file_writer(root: str, header: str, footer: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Task that streams lines sorted by file into `<root>/<file>`.
 
@@ -84,7 +93,8 @@ def _file_writer(root: str, header: str, footer: str) -> Callable[[Iterator[pd.D
 def _publish(lines: DataFrame, root: str, header: str, footer: str, label: str) -> DataFrame:
     """Write (file, seq, line) rows as files; returns the list of files with line counts."""
     ordered = lines.repartition("file").sortWithinPartitions("file", "seq").select("file", "line")
-    written = ordered.mapInPandas(_file_writer(root, header, footer), "file string, lines bigint")
+    store = _store_uri(lines.sparkSession, root)
+    written = ordered.mapInPandas(_file_writer(store, header, footer), "file string, lines bigint")
     return scratch_table(written, label)
 
 
@@ -93,7 +103,7 @@ def _document(tag: str) -> tuple[str, str]:
 
 
 def publish_sitemaps(shards: DataFrame, root: str) -> DataFrame:
-    """Write `<host>/sitemap-N.xml` below the URI `root`, entries in ascending order."""
+    """Write `<host>/sitemap-N.xml` below the path or URI `root`, entries in ascending order."""
     lines = shards.select(
         F.concat("host", F.lit("/"), shard_file(F.col("shard"))).alias("file"),
         F.col("loc").alias("seq"),

@@ -7,6 +7,7 @@ from spokeworks.functions import iso_instant, object_key, trailing_slash, xml_es
 from spokeworks.operators import sitemap
 from spokeworks.operators.urls import with_canonical_url
 from spokeworks.sources import publish_index, publish_robots, publish_sitemaps, read_sitemap, write_sitemap_xml
+from spokeworks.sources.sinks import _store_uri
 
 # url, canonical form for the site example.com with its www host preferred
 URLS = [
@@ -169,3 +170,16 @@ def test_publishing_again_replaces_the_files(entries, tmp_path):
     publish_sitemaps(shards, root)
     assert (tmp_path / "site/www.example.com/sitemap-0.xml").read_bytes() == first
     assert len(list((tmp_path / "site/www.example.com").iterdir())) == 1
+
+
+@pytest.mark.parametrize(
+    ("root", "uri"),
+    [
+        ("/data/site", "file:///data/site"),
+        ("file:/data/site", "file:///data/site"),
+        ("s3a://bucket/site", "s3://bucket/site"),
+        ("hdfs://names:8020/site", "hdfs://names:8020/site"),
+    ],
+)
+def test_store_addresses(spark, root, uri):
+    assert _store_uri(spark, root) == uri
