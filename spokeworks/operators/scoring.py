@@ -45,9 +45,12 @@ def weight_band(total: Column, light_below: float = LIGHT_BELOW, heavy_above: fl
     return F.when(total < light_below, "light").when(total > heavy_above, "heavy").otherwise("medium")
 
 
-def with_band(profiles: DataFrame) -> DataFrame:
+def with_band(
+    profiles: DataFrame, light_below: float = LIGHT_BELOW, heavy_above: float = HEAVY_ABOVE
+) -> DataFrame:
     """Add the total weight's band to coerced profiles."""
-    return profiles.withColumn("band", weight_band(F.col("riderweight") + F.col("bikeweight")))
+    total = F.col("riderweight") + F.col("bikeweight")
+    return profiles.withColumn("band", weight_band(total, light_below, heavy_above))
 
 
 def adjustment_table(spark: SparkSession, adjustments: Adjustments = PSI_ADJUSTMENTS) -> DataFrame:
@@ -85,9 +88,13 @@ def score_profiles(
     adjustments: Adjustments | DataFrame = PSI_ADJUSTMENTS,
     baseline: int = BASELINE_PSI,
     tubeless_drop: int = TUBELESS_DROP,
+    default: int = 0,
+    light_below: float = LIGHT_BELOW,
+    heavy_above: float = HEAVY_ABOVE,
 ) -> DataFrame:
     """Recommended pressure per raw profile, as bigint column `psi`."""
-    scored = with_adjustment(with_band(coerce_profile(profiles)), adjustments)
+    banded = with_band(coerce_profile(profiles), light_below, heavy_above)
+    scored = with_adjustment(banded, adjustments, default)
     drop = F.when(F.col("tubeless"), F.lit(tubeless_drop)).otherwise(F.lit(0))
     return scored.withColumn("psi", (F.lit(baseline) + F.col("adjustment") - drop).cast("bigint"))
 

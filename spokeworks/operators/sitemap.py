@@ -11,7 +11,6 @@ from spokeworks.functions import iso_instant, xml_escape
 from spokeworks.operators.joins import MAX_BROADCAST_ROWS, lookup_join
 from spokeworks.operators.ordinal import add_ordinal
 from spokeworks.operators.urls import distinct_locations
-from spokeworks.workspace import scratch_table
 
 # Fixed values of the sitemap settings.
 SITEMAP_SIZE = 5000
@@ -61,11 +60,11 @@ def with_sitemap_fields(
 
 
 def with_shard(entries: DataFrame, size: int = SITEMAP_SIZE, per_host: bool = True) -> DataFrame:
-    """Number the entries by ascending location and cut them into shards of `size`."""
-    if per_host:
-        numbered = add_ordinal(scratch_table(entries, "entries"), ["loc"], ["host"], "_no")
-    else:
-        numbered = add_ordinal(entries, ["loc"], name="_no")
+    """Number the entries by ascending location and cut them into shards of `size`.
+
+    Per host the entries are read more than once, so pass a table (`scratch_table`).
+    """
+    numbered = add_ordinal(entries, ["loc"], ["host"] if per_host else [], "_no")
     return numbered.withColumn("shard", F.call_function("div", F.col("_no") - 1, F.lit(size))).drop("_no")
 
 

@@ -82,7 +82,9 @@ SELECT o_custkey, part, string_agg(name || '=' || value, ',' ORDER BY name) AS e
 """,
     "flatten_sections": """
 WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-sections AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS section_no, l[i] AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM lines)),
+sections AS (
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS section_no, l[i] AS line
+  FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM lines)),
 split AS (
   SELECT doc_id, section_no, string_split(line, ' ')[1] AS title,
     list_filter(string_split(line, '. '), lambda x: x <> '') AS items

@@ -15,7 +15,7 @@ from spokeworks.sources import (
     read_table,
     write_sitemap_xml,
 )
-from spokeworks.workspace import scratch_path
+from spokeworks.workspace import scratch_path, scratch_table
 
 _BUILD_TIME = "2025-01-31 08:05:09.070"
 _STAMP = "2025-01-31T08:05:09.070Z"
@@ -36,6 +36,10 @@ def _entries(spark: SparkSession, folder: str) -> DataFrame:
     return sitemap.with_sitemap_fields(_kept(spark, folder), _BUILD_TIME)
 
 
+def _host_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sitemap.with_shard(scratch_table(_entries(spark, folder), "entries"), _HOST_SIZE)
+
+
 def sitemap_exclude(spark: SparkSession, folder: str) -> DataFrame:
     return _kept(spark, folder).select("loc")
 
@@ -45,7 +49,7 @@ def sitemap_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sitemap_shards(spark: SparkSession, folder: str) -> DataFrame:
-    return sitemap.with_shard(_entries(spark, folder), _HOST_SIZE).select("host", "shard", "loc")
+    return _host_shards(spark, folder).select("host", "shard", "loc")
 
 
 def sitemap_shards_site(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +63,7 @@ def sitemap_index(spark: SparkSession, folder: str) -> DataFrame:
 def sitemap_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Entries read back from the XML data set, with the folder they came from."""
     path = scratch_path(spark, "sitemap-xml")
-    write_sitemap_xml(sitemap.with_shard(_entries(spark, folder), _HOST_SIZE), path)
+    write_sitemap_xml(_host_shards(spark, folder), path)
     return read_sitemap(spark, path, partitioned=True).drop("source_file")
 
 
@@ -73,7 +77,7 @@ def _published_lines(spark: SparkSession, root: str) -> DataFrame:
 def sitemap_publish(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of all published sitemap files."""
     root = scratch_path(spark, "sitemap-files")
-    publish_sitemaps(sitemap.with_shard(_entries(spark, folder), _HOST_SIZE), root)
+    publish_sitemaps(_host_shards(spark, folder), root)
     return _published_lines(spark, root)
 
 

@@ -1,9 +1,16 @@
 from spokeworks.sources.readers import read_payloads, read_profiles, read_sitemap, read_table, stream_table
-from spokeworks.sources.sinks import publish_index, publish_robots, publish_sitemaps, write_sitemap_xml
+from spokeworks.sources.sinks import (
+    publish_index,
+    publish_robots,
+    publish_site,
+    publish_sitemaps,
+    write_sitemap_xml,
+)
 
 __all__ = [
     "publish_index",
     "publish_robots",
+    "publish_site",
     "publish_sitemaps",
     "read_payloads",
     "read_profiles",

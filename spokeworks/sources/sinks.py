@@ -11,7 +11,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.operators.sitemap import SITEMAP_SIZE, index_element, shard_file, sitemap_index, url_element
+from spokeworks.operators.sitemap import (
+    SITEMAP_SIZE,
+    index_element,
+    shard_file,
+    sitemap_index,
+    url_element,
+    with_shard,
+)
 from spokeworks.workspace import scratch_table
 
 # Fixed values of the sitemap documents.
@@ -26,6 +33,9 @@ URLSET = (
     ' xmlns:video="http://www.google.com/schemas/sitemap-video/1.1"'
 )
 SITEMAP_INDEX = 'sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+# Fixed lines of robots.txt around the site's address.
+ROBOTS_POLICY = "# *\nUser-agent: *\nAllow: /\n\n# Host\nHost: "
+ROBOTS_SITEMAP = "\n\n# Sitemaps\nSitemap: "
 
 
 def write_sitemap_xml(shards: DataFrame, path: str) -> None:
@@ -125,13 +135,18 @@ def publish_index(entries: DataFrame, root: str, size: int = SITEMAP_SIZE) -> Da
 def publish_robots(entries: DataFrame, root: str) -> DataFrame:
     """Write `<host>/robots.txt`, which allows everything and points to the index."""
     site = F.concat(F.lit("https://"), F.col("host"))
-    text = F.concat(
-        F.lit("# *\nUser-agent: *\nAllow: /\n\n# Host\nHost: "), site,
-        F.lit("\n\n# Sitemaps\nSitemap: "), site, F.lit("/sitemap.xml"),
-    )
+    text = F.concat(F.lit(ROBOTS_POLICY), site, F.lit(ROBOTS_SITEMAP), site, F.lit("/sitemap.xml"))
     lines = (
         entries.select("host")
         .distinct()
         .select(F.concat("host", F.lit("/robots.txt")).alias("file"), F.lit(0).alias("seq"), text.alias("line"))
     )
     return _publish(lines, root, "", "", "robots")
+
+
+def publish_site(entries: DataFrame, root: str, size: int = SITEMAP_SIZE) -> None:
+    """Write the sitemaps, index and robots.txt of every host; the entries are computed once."""
+    kept = scratch_table(entries, "entries")
+    publish_sitemaps(with_shard(kept, size), root)
+    publish_index(kept, root, size)
+    publish_robots(kept, root)

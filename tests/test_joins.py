@@ -26,13 +26,16 @@ def executed_plan(df):
 def requests(spark):
     """A third of all requests ask for one object, a third for nothing stored."""
     i = F.col("id")
-    key = F.when(i % 3 == 0, "hot").when(i % 3 == 1, F.concat(F.lit("gone"), i)).otherwise(F.concat(F.lit("k"), i % 999))
-    return spark.range(0, 60_000, 1, 8).select("id", key.alias("object_key"), F.sha2(i.cast("string"), 256).alias("pad"))
+    cold = F.concat(F.lit("k"), i % 999)
+    key = F.when(i % 3 == 0, "hot").when(i % 3 == 1, F.concat(F.lit("gone"), i)).otherwise(cold)
+    pad = F.sha2(i.cast("string"), 256)
+    return spark.range(0, 60_000, 1, 8).select("id", key.alias("object_key"), pad.alias("pad"))
 
 
 @pytest.fixture(scope="module")
 def objects(spark):
-    return spark.range(3000).select(F.when(F.col("id") < 1500, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 999)).alias("object_key"))
+    key = F.when(F.col("id") < 1500, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 999))
+    return spark.range(3000).select(key.alias("object_key"))
 
 
 def test_hot_request_is_split(spark, requests, objects):
@@ -64,8 +67,9 @@ def test_small_table_is_broadcast(requests, objects):
 
 
 def test_key_types_must_agree(spark):
+    number, text = (spark.range(1).select(F.lit(v).alias("a")) for v in (1, "1"))
     with pytest.raises(ValueError, match="join column a"):
-        lookup_join(spark.range(1).select(F.lit(1).alias("a")), spark.range(1).select(F.lit("1").alias("a")), ["a"], "left")
+        lookup_join(number, text, ["a"], "left")
 
 
 def test_content_types(spark):

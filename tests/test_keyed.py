@@ -39,7 +39,8 @@ def test_maps_are_whole_and_bounded(spark):
 
 
 def test_duplicate_key_fails(spark):
-    pairs = spark.createDataFrame([("z", "a", "1"), ("z", "b", "1"), ("z", "a", "1")], "zone string, name string, value string")
+    rows = [("z", "a", "1"), ("z", "b", "1"), ("z", "a", "1")]
+    pairs = spark.createDataFrame(rows, "zone string, name string, value string")
     with pytest.raises(Exception, match="duplicate key: a"):
         keyed.unique_key_maps(pairs, ["zone"], "name", "value").collect()
     other_zone = pairs.withColumn("zone", F.monotonically_increasing_id().cast("string"))

@@ -1,5 +1,8 @@
 """Contract gate, strictness of the parser, payload files."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +56,55 @@ def test_verdicts(checked):
     assert not wrong
 
 
+def _random_value(rng, depth=0):
+    kind = rng.randrange(9 if depth < 3 else 6)
+    if kind < 6:
+        text = "s" + rng.choice(["", "}", "]", '"', "\\", "\n", "é", ","])
+        return [None, True, rng.randint(-(10**6), 10**6), rng.random() * 1e9, text, 5][kind]
+    if kind == 6:
+        return [_random_value(rng, depth + 1) for _ in range(rng.randrange(3))]
+    return {rng.choice(["count", "a", "b}"]): _random_value(rng, depth + 1) for _ in range(rng.randrange(3))}
+
+
+def _damaged(rng, text):
+    for _ in range(rng.randrange(4)):
+        at, char = rng.randrange(len(text) + 1), rng.choice('{}[],:"0123456789.eE+-\\ tfn\n\t/x')
+        text = text[:at] + rng.choice([char, "", ""]) + text[at + rng.randrange(2):]
+    return text
+
+
+def _strict_verdict(text):
+    """What a strict parser says; None for repeated keys, which parsers treat differently."""
+    repeated = []
+
+    def pairs(items):
+        repeated.extend([True] if len(dict(items)) < len(items) else [])
+        return dict(items)
+
+    def constant(name):
+        raise ValueError(name)
+
+    try:
+        value = json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+    except ValueError:
+        return None if repeated else "unparseable"
+    if repeated:
+        return None
+    if not isinstance(value, dict) or "count" not in value:
+        return "missing"
+    return "pass" if type(value["count"]) in (int, float) else "not_numeric"
+
+
+def test_damaged_payloads_get_the_verdict_of_a_strict_parser(spark):
+    rng = random.Random(7)
+    texts = [_damaged(rng, json.dumps(_random_value(rng), ensure_ascii=rng.random() < 0.5)) for _ in range(20_000)]
+    rows = [(200, text, verdict) for text in texts if (verdict := _strict_verdict(text))]
+    table = spark.createDataFrame(rows, "status int, body string, expected string")
+    wrong = contract.check_payloads(table, "count").filter("verdict <> expected").collect()
+    assert not wrong
+    assert {r[2] for r in rows} == {"pass", "missing", "not_numeric", "unparseable"}
+
+
 def test_split_keeps_every_row(checked, tmp_path, spark):
     good, bad = contract.passing(checked), contract.quarantined(checked)
     assert good.count() == 5 and good.count() + bad.count() == len(ROWS)

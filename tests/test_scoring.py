@@ -70,6 +70,18 @@ def test_edges(spark, rider, bike, width, psi):
     assert scoring.score_profiles(table).first().psi == psi
 
 
+def test_other_rule(spark):
+    rows = [("90", "25", "true"), ("110", "25", "false"), ("90", "26", "false")]
+    table = spark.createDataFrame(
+        [(r, "0", w, t) for r, w, t in rows], "riderweight string, bikeweight string, tirewidth string, tubeless string"
+    )
+    rule = {25: {"light": 1, "medium": 2, "heavy": 3}}
+    scored = scoring.score_profiles(
+        table, rule, baseline=50, tubeless_drop=5, default=-7, light_below=100, heavy_above=105
+    )
+    assert sorted(r.psi for r in scored.collect()) == [43, 46, 53]
+
+
 def test_message(spark):
     assert spark.range(1).select(scoring.psi_message(F.lit(85))).first()[0] == "Your recommended tire PSI is 85."
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spokeworks.functions import iso_instant, object_key, trailing_slash, xml_escape
 from spokeworks.operators import sitemap
 from spokeworks.operators.urls import with_canonical_url
-from spokeworks.sources import publish_index, publish_robots, publish_sitemaps, read_sitemap, write_sitemap_xml
+from spokeworks.sources import publish_site, publish_sitemaps, read_sitemap, write_sitemap_xml
 from spokeworks.sources.sinks import _store_uri
 
 # url, canonical form for the site example.com with its www host preferred
@@ -130,13 +130,12 @@ def test_xml_round_trip(spark, entries, tmp_path):
 def test_published_files(spark, entries, tmp_path):
     root = str(tmp_path / "site")
     shards = sitemap.with_shard(entries, 3)
-    manifest = {r.file: r.lines for r in publish_sitemaps(shards, root).collect()}
+    manifest = {r.file: r.lines for r in publish_sitemaps(shards, str(tmp_path / "maps")).collect()}
     assert manifest == {
         "www.example.com/sitemap-0.xml": 3, "www.example.com/sitemap-1.xml": 3,
         "www.example.com/sitemap-2.xml": 2, "www.other.org/sitemap-0.xml": 1,
     }
-    publish_index(entries, root, 3)
-    publish_robots(entries, root)
+    publish_site(entries, root, 3)
     site = tmp_path / "site" / "www.example.com"
     assert sorted(f.name for f in site.iterdir()) == [
         "robots.txt", "sitemap-0.xml", "sitemap-1.xml", "sitemap-2.xml", "sitemap.xml",
