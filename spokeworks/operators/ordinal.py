@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spokeworks.workspace import scratch_table
+from spokeworks.workspace import scratch_table, shuffle_partitions
 
 _PART = "__part"
 _POS = "__pos"
@@ -71,6 +71,8 @@ def number_rows(placed: PlacedRows, name: str = "ordinal", start: DataFrame | No
     runs = placed.runs
     base = F.lit(1)
     if start is not None:
+        if not keys:
+            raise ValueError("a start needs key columns")
         begun = runs.join(start, _same_key(runs, start, keys), "left")
         runs = begun.select(*(runs[c] for c in runs.columns), start["start"])
         base = base + F.coalesce("start", F.lit(0))
@@ -96,9 +98,8 @@ def hot_keys(df: DataFrame, within: Sequence[str], least_rows: int = HOT_KEY_ROW
 
     There are fewer of them than shuffle partitions, whatever the data.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*within).agg(F.count("*").alias("n"))
-    share = counts.agg(F.sum("n") / partitions).scalar()
+    share = counts.agg(F.sum("n") / shuffle_partitions(df.sparkSession)).scalar()
     return counts.filter((F.col("n") > least_rows) & (F.col("n") > share)).select(*within)
 
 

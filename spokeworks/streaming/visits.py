@@ -20,6 +20,9 @@ from spokeworks.operators.ordinal import number_rows, place_rows
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Stands in for the key where there is none.
+_ALL = "__all"
+
 # Batches between two full snapshots of the running totals.
 SNAPSHOT_EVERY = 50
 
@@ -79,8 +82,11 @@ def start_visit_ordinals(
     in order of arrival. A batch is numbered like a batch table, so a hot key is
     spread over tasks instead of queueing in one state-store partition. Totals
     are kept as one small table per batch and a full snapshot now and then, all
-    below `checkpoint`, which every executor must reach.
+    below `checkpoint`, which every executor must reach. A checkpoint keeps the
+    `snapshot_every` it began with. Without `keys` all hits are counted together.
     """
+    if not keys:
+        visits, keys = visits.withColumn(_ALL, F.lit(0)), [_ALL]
     deltas, snapshots = f"{checkpoint}/key_counts", f"{checkpoint}/key_totals"
     schema = StructType(
         [StructField(k, visits.schema[k].dataType) for k in keys] + [StructField("n", LongType())]
@@ -104,7 +110,7 @@ def start_visit_ordinals(
         # Only the batch's own keys need a starting point.
         seen = before.join(placed.runs, [before[k].eqNullSafe(placed.runs[k]) for k in keys], "left_semi")
         numbered = number_rows(placed, "visit_no", total(seen).withColumnRenamed("n", "start"))
-        numbered.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+        numbered.drop(_ALL).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
         counted = placed.totals()
         counted.write.mode("overwrite").parquet(_batch_folder(deltas, batch_id))
         if (batch_id + 1) % snapshot_every == 0:

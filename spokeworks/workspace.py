@@ -19,6 +19,10 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path; everything one application writes lies under its application id."""
     app = spark.sparkContext.applicationId

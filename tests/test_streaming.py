@@ -95,3 +95,18 @@ def test_ordinals_continue_after_restart(spark, feed, expected, tmp_path):
         os.utime(half / f"{n}.parquet", (1_000_000 + n, 1_000_000 + n))
     run_ordinals(spark, str(half), tmp_path)
     assert same(spark.read.parquet(f"{tmp_path}/out").drop("batch_id"), expected)
+
+
+def test_one_counter_for_all(spark, feed, events, tmp_path):
+    query = streams.start_visit_ordinals(
+        source(spark, feed), [], ["ts", "event_id"], f"{tmp_path}/out", f"{tmp_path}/ck", availableNow=True
+    )
+    query.awaitTermination()
+    window = Window.orderBy(F.floor(F.col("event_id") / 300), "ts", "event_id")
+    expected = events.withColumn("visit_no", F.row_number().over(window).cast("bigint"))
+    assert same(spark.read.parquet(f"{tmp_path}/out").drop("batch_id"), expected)
+    totals = streams.start_visit_totals(
+        source(spark, feed), [], f"{tmp_path}/totals", f"{tmp_path}/totals-ck", availableNow=True
+    )
+    totals.awaitTermination()
+    assert streams.read_visit_totals(spark, f"{tmp_path}/totals", []).first().visits == 2100
