@@ -19,7 +19,7 @@ from spokeworks.operators.sitemap import (
     url_element,
     with_shard,
 )
-from spokeworks.workspace import scratch_table
+from spokeworks.workspace import scratch_table, shuffle_partitions
 
 # Fixed values of the sitemap documents.
 XML_DECLARATION = '<?xml version="1.0" encoding="UTF-8"?>'
@@ -43,8 +43,10 @@ def write_sitemap_xml(shards: DataFrame, path: str) -> None:
 
     That writer takes no prefixed attributes, so only the default namespace is declared.
     """
+    # A fixed number of tasks: the work lies in the files, and AQE would merge tasks by bytes.
+    tasks = shuffle_partitions(shards.sparkSession)
     (
-        shards.repartition("host", "shard")
+        shards.repartition(tasks, "host", "shard")
         .sortWithinPartitions("host", "shard", "loc")
         .select("host", "shard", "loc", "lastmod", "changefreq", "priority")
         .write.partitionBy("host", "shard")
@@ -102,8 +104,10 @@ def _file_writer(root: str, header: str, footer: str) -> Callable[[Iterator[pd.D
 
 def _publish(lines: DataFrame, root: str, header: str, footer: str, label: str) -> DataFrame:
     """Write (file, seq, line) rows as files; returns the list of files with line counts."""
-    ordered = lines.repartition("file").sortWithinPartitions("file", "seq").select("file", "line")
-    store = _store_uri(lines.sparkSession, root)
+    spark = lines.sparkSession
+    placed = lines.repartition(shuffle_partitions(spark), "file").sortWithinPartitions("file", "seq")
+    ordered = placed.select("file", "line")
+    store = _store_uri(spark, root)
     written = ordered.mapInPandas(_file_writer(store, header, footer), "file string, lines bigint")
     return scratch_table(written, label)
 
