@@ -1,5 +1,7 @@
 """URLs, sitemap shards, and the files written from them."""
 
+from xml.etree import ElementTree
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,7 +126,10 @@ def test_xml_round_trip(spark, entries, tmp_path):
     columns = ["host", "shard", "loc", "lastmod", "changefreq", "priority"]
     back, sent = read_sitemap(spark, path, partitioned=True).select(columns), shards.select(columns)
     assert back.exceptAll(sent).isEmpty() and sent.exceptAll(back).isEmpty()
-    assert len(list((tmp_path / "xml").glob("host=*/shard=*/part-*.xml"))) == 4
+    files = list((tmp_path / "xml").glob("host=*/shard=*/part-*.xml"))
+    assert len(files) == 4
+    namespace = "{http://www.sitemaps.org/schemas/sitemap/0.9}"
+    assert {ElementTree.parse(file).getroot().tag for file in files} == {f"{namespace}urlset"}
 
 
 def test_published_files(spark, entries, tmp_path):
@@ -156,6 +161,11 @@ def test_published_files(spark, entries, tmp_path):
         "# *", "User-agent: *", "Allow: /", "", "# Host", "Host: https://www.example.com",
         "", "# Sitemaps", "Sitemap: https://www.example.com/sitemap.xml",
     ]
+    for file in (tmp_path / "site").glob("*/*.xml"):
+        ElementTree.parse(file)
+    first = ElementTree.parse(site / "sitemap-0.xml").getroot()
+    assert first.tag == "{http://www.sitemaps.org/schemas/sitemap/0.9}urlset"
+    assert first[1][0].text == "https://www.example.com/p00/?a=0&b=<'0'>"
     # The entries read back from the published files are the ones sent.
     back = read_sitemap(spark, f"{root}/*/sitemap-*.xml").select("loc")
     assert back.exceptAll(entries.select("loc")).isEmpty() and back.count() == 9
