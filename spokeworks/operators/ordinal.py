@@ -13,6 +13,8 @@ from spokeworks.workspace import scratch_table, shuffle_partitions
 _PART = "__part"
 _POS = "__pos"
 _SHIFT = "__shift"
+_WEIGHT = "__weight"
+_EARLIER = "__earlier"
 # monotonically_increasing_id keeps the row's position in its partition in the low 33 bits.
 _POSITION_BITS = (1 << 33) - 1
 
@@ -33,10 +35,6 @@ class PlacedRows:
     within: tuple[str, ...]
     folder: str | None
 
-    def totals(self) -> DataFrame:
-        """Row count per key."""
-        return self.runs.groupBy(*self.within).agg(F.sum("n").alias("n"))
-
 
 def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Column]:
     return [left[key].eqNullSafe(right[key]) for key in keys]
@@ -93,37 +91,65 @@ def number_rows(placed: PlacedRows, name: str = "ordinal", start: DataFrame | No
     )
 
 
-def hot_keys(df: DataFrame, within: Sequence[str], least_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def key_counts(df: DataFrame, within: Sequence[str]) -> DataFrame:
+    """Rows per key, as column `n`."""
+    return df.groupBy(*within).agg(F.count("*").alias("n"))
+
+
+def hot_keys(counts: DataFrame, within: Sequence[str], least_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Keys with more rows than an average shuffle partition and than `least_rows`.
 
     There are fewer of them than shuffle partitions, whatever the data.
     """
-    counts = df.groupBy(*within).agg(F.count("*").alias("n"))
-    share = counts.agg(F.sum("n") / shuffle_partitions(df.sparkSession)).scalar()
+    share = counts.agg(F.sum("n") / shuffle_partitions(counts.sparkSession)).scalar()
     return counts.filter((F.col("n") > least_rows) & (F.col("n") > share)).select(*within)
 
 
+def _window_ordinal(
+    df: DataFrame, order_by: Sequence[str], within: Sequence[str], name: str, start: DataFrame | None
+) -> DataFrame:
+    window = Window.partitionBy(*within)
+    if start is None:
+        return df.withColumn(name, F.row_number().over(window.orderBy(*order_by)).cast("bigint"))
+    # An earlier count comes first in its key's window, as one row that weighs that much.
+    counted = df.withColumns({_WEIGHT: F.lit(1).cast("bigint"), _EARLIER: F.lit(False)})
+    earlier = start.select(*within, F.col("start").alias(_WEIGHT), F.lit(True).alias(_EARLIER))
+    running = window.orderBy(F.desc(_EARLIER), *order_by).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        counted.unionByName(earlier, allowMissingColumns=True)
+        .withColumn(name, F.sum(_WEIGHT).over(running))
+        .filter(~F.col(_EARLIER))
+        .drop(_WEIGHT, _EARLIER)
+    )
+
+
 def add_ordinal(
     df: DataFrame,
     order_by: Sequence[str],
     within: Sequence[str] = (),
     name: str = "ordinal",
     hot_key_rows: int = HOT_KEY_ROWS,
+    counts: DataFrame | None = None,
+    start: DataFrame | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """`row_number` over `order_by`, per `within` or over the whole table.
 
     Hot keys go through `place_rows`, which may use many tasks for one key. For
     all others a window does the same with a single shuffle. `df` is read for
-    counting and for numbering, so pass a table or a cheap plan.
+    counting, unless its `counts` per key are known, and for numbering, so pass
+    a table or a cheap plan. `start` and `folder` are those of `number_rows` and
+    `place_rows`.
     """
     if not within:
-        return number_rows(place_rows(df, order_by), name)
-    ordinal = F.row_number().over(Window.partitionBy(*within).orderBy(*order_by)).cast("bigint")
-    hot = scratch_table(hot_keys(df, within, hot_key_rows), "hot")
+        return number_rows(place_rows(df, order_by, folder=folder), name, start)
+    counts = key_counts(df, within) if counts is None else counts
+    hot = scratch_table(hot_keys(counts, within, hot_key_rows), "hot", folder)
     if hot.isEmpty():
-        return df.withColumn(name, ordinal)
+        return _window_ordinal(df, order_by, within, name, start)
     # Fewer keys than shuffle partitions: safe to broadcast.
     same = _same_key(df, hot, within)
     heavy = df.join(F.broadcast(hot), same, "left_semi")
     light = df.join(F.broadcast(hot), same, "left_anti")
-    return number_rows(place_rows(heavy, order_by, within), name).unionByName(light.withColumn(name, ordinal))
+    numbered = number_rows(place_rows(heavy, order_by, within, folder), name, start)
+    return numbered.unionByName(_window_ordinal(light, order_by, within, name, start))

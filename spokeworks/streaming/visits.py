@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from spokeworks.operators.ordinal import number_rows, place_rows
+from spokeworks.operators.ordinal import HOT_KEY_ROWS, add_ordinal, key_counts
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -74,6 +74,7 @@ def start_visit_ordinals(
     out: str,
     checkpoint: str,
     snapshot_every: int = SNAPSHOT_EVERY,
+    hot_key_rows: int = HOT_KEY_ROWS,
     **trigger,
 ) -> StreamingQuery:
     """Number every hit of the stream with the count it raised its key to.
@@ -105,14 +106,17 @@ def start_visit_ordinals(
         return counted.groupBy(*keys).agg(F.sum("n").alias("n"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = counts_before(batch.sparkSession, batch_id)
-        placed = place_rows(batch, order_by, keys, folder=f"{checkpoint}/work")
+        spark = batch.sparkSession
+        before = counts_before(spark, batch_id)
+        key_counts(batch, keys).write.mode("overwrite").parquet(_batch_folder(deltas, batch_id))
+        counted = spark.read.schema(schema).parquet(_batch_folder(deltas, batch_id))
         # Only the batch's own keys need a starting point.
-        seen = before.join(placed.runs, [before[k].eqNullSafe(placed.runs[k]) for k in keys], "left_semi")
-        numbered = number_rows(placed, "visit_no", total(seen).withColumnRenamed("n", "start"))
+        seen = before.join(counted, [before[k].eqNullSafe(counted[k]) for k in keys], "left_semi")
+        start = total(seen).withColumnRenamed("n", "start")
+        numbered = add_ordinal(
+            batch, order_by, keys, "visit_no", hot_key_rows, counted, start, f"{checkpoint}/work"
+        )
         numbered.drop(_ALL).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
-        counted = placed.totals()
-        counted.write.mode("overwrite").parquet(_batch_folder(deltas, batch_id))
         if (batch_id + 1) % snapshot_every == 0:
             total(before.unionByName(counted)).write.mode("overwrite").parquet(_batch_folder(snapshots, batch_id))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spokeworks.operators import counts
-from spokeworks.operators.ordinal import add_ordinal, hot_keys, number_rows, place_rows
+from spokeworks.operators.ordinal import add_ordinal, hot_keys, key_counts, number_rows, place_rows
 
 
 @pytest.fixture(autouse=True, scope="module")
@@ -65,7 +65,7 @@ def test_empty_table(spark):
 
 
 def test_hot_keys_are_few(spark, skewed):
-    found = {r.key for r in hot_keys(skewed, ["key"], 1).collect()}
+    found = {r.key for r in hot_keys(key_counts(skewed, ["key"]), ["key"], 1).collect()}
     assert found == {"hot", None}
     assert len(found) < int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -78,12 +78,15 @@ def test_hot_key_uses_several_tasks(skewed):
     assert max(hot) < 10_000
 
 
-def test_continues_from_a_start(spark, skewed):
-    start = spark.createDataFrame([("hot", 100), (None, 7)], "key string, start bigint")
-    numbered = number_rows(place_rows(skewed, ["id"], ["key"]), "n", start)
-    firsts = {r.key: r.first for r in numbered.groupBy("key").agg(F.min("n").alias("first")).collect()}
-    assert firsts["hot"] == 101 and firsts[None] == 8
-    assert {v for k, v in firsts.items() if k not in ("hot", None)} == {1}
+@pytest.mark.parametrize("hot_key_rows", [1, 1_000_000], ids=["split", "window"])
+def test_continues_from_a_start(spark, skewed, hot_key_rows):
+    starts = {"hot": 100, None: 7, "2": 5, "absent": 9}
+    start = spark.createDataFrame(list(starts.items()), "key string, start bigint")
+    numbered = add_ordinal(skewed, ["at", "id"], ["key"], "n", hot_key_rows, start=start)
+    window = Window.partitionBy("key").orderBy("at", "id")
+    earlier = F.when(F.col("key").isNull(), 7).when(F.col("key") == "hot", 100).when(F.col("key") == "2", 5)
+    expected = skewed.withColumn("n", F.row_number().over(window) + F.coalesce(earlier, F.lit(0)).cast("bigint"))
+    assert same(numbered, expected)
 
 
 def test_no_window_gathers_the_rows(skewed):

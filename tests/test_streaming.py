@@ -47,10 +47,10 @@ def expected(events):
     return events.withColumn("visit_no", F.row_number().over(window).cast("bigint"))
 
 
-def run_ordinals(spark, feed, folder):
+def run_ordinals(spark, feed, folder, hot_key_rows=50):
     query = streams.start_visit_ordinals(
         source(spark, feed), ["key"], ["ts", "event_id"], f"{folder}/out", f"{folder}/ck",
-        snapshot_every=3, availableNow=True,
+        snapshot_every=3, hot_key_rows=hot_key_rows, availableNow=True,
     )
     query.awaitTermination()
 
@@ -70,8 +70,9 @@ def test_totals(spark, events, feed, tmp_path):
     assert same(found, events.groupBy("key").agg(F.count("*").alias("visits")))
 
 
-def test_ordinals_and_repeated_batch(spark, feed, expected, tmp_path):
-    run_ordinals(spark, feed, tmp_path)
+@pytest.mark.parametrize("hot_key_rows", [50, 1_000_000], ids=["split", "window"])
+def test_ordinals_and_repeated_batch(spark, feed, expected, tmp_path, hot_key_rows):
+    run_ordinals(spark, feed, tmp_path, hot_key_rows)
     read = lambda: spark.read.parquet(f"{tmp_path}/out").drop("batch_id")
     assert same(read(), expected)
     assert len(list((tmp_path / "out").glob("batch_id=*"))) == BATCHES
