@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spokeworks.llm import decontaminate
+from spokeworks.llm import decontaminate, neardup
 from spokeworks.llm.tables import table
 
 
@@ -46,6 +46,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(h), 0) AS BI
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN span USING (r)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document: 3-word shingles, similarity of 0.85 or more."""
+    return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op8_near_duplicates": op8_near_duplicates,
+}
 
 SQL = {"op1_decontamination": OP1_SQL}
