@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spokeworks.llm import decontaminate, neardup
-from spokeworks.llm.tables import table
+from spokeworks.llm import attention, decontaminate, neardup
+from spokeworks.llm.tables import held_out, table
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +48,13 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN span USING
 """
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document by attention over its passages."""
+    docs = table(spark, folder, "documents")
+    scored = attention.score(docs, attention.train(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate class of every document: 3-word shingles, similarity of 0.85 or more."""
     return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
@@ -54,6 +62,7 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_quality": op3_quality,
     "op8_near_duplicates": op8_near_duplicates,
 }
 
