@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.llm import attention, decontaminate, neardup
+from spokeworks.llm import attention, decontaminate, neardup, severity
 from spokeworks.llm.tables import held_out, table
 
 
@@ -60,10 +60,18 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity of every document, its grade, and whether it is toxic."""
+    docs = table(spark, folder, "documents")
+    scored = severity.score(docs, severity.train(docs, table(spark, folder, "labels")))
+    return scored.withColumn("held_out", held_out("doc_id"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_quality": op3_quality,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL = {"op1_decontamination": OP1_SQL}
