@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.llm import attention, decontaminate, neardup, severity
+from spokeworks.llm import attention, decontaminate, neardup, severity, sharding
 from spokeworks.llm.tables import held_out, table
 
 
@@ -67,11 +67,18 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("held_out", held_out("doc_id"))
 
 
+def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document: 24 shards of equal counts with the corpus's mixture."""
+    placed = sharding.interleave(table(spark, folder, "documents"), 24)
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_quality": op3_quality,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
+    "op10_shards": op10_shards,
 }
 
 SQL = {"op1_decontamination": OP1_SQL}
