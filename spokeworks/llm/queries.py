@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.llm import attention, decontaminate, neardup, severity, sharding
+from spokeworks.llm import attention, decontaminate, divergence, neardup, severity, sharding
 from spokeworks.llm.tables import held_out, table
 
 
@@ -48,6 +48,11 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN span USING
 """
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, distances from the language's references, and verdict for every document."""
+    return divergence.quality_rules(table(spark, folder, "documents"))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document by attention over its passages."""
     docs = table(spark, folder, "documents")
@@ -75,6 +80,7 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality_rules": op2_quality_rules,
     "op3_quality": op3_quality,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
