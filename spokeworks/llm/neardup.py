@@ -301,13 +301,10 @@ def near_duplicates(
     classes = nodes.select("digest", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("digest", "n", F.coalesce("label", "rep").alias("component"))
     own = F.coalesce("component", "id")
-    return (
-        sketches.select("id", "n", "digest")
-        .join(classes, ["digest", "n"], "left")
-        .select(
-            F.col("id").alias(doc_id),
-            F.col("n").alias("n_shingles"),
-            own.alias("component_id"),
-            F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"),
-        )
+    # Equal sets may be many: a join that can split them.
+    return lookup_join(sketches.select("id", "n", "digest"), classes, ["digest", "n"], "left").select(
+        F.col("id").alias(doc_id),
+        F.col("n").alias("n_shingles"),
+        own.alias("component_id"),
+        F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"),
     )
