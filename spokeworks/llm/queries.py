@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.llm import attention, chat, decontaminate, divergence, neardup, severity, sharding
+from spokeworks.llm import attention, chat, decontaminate, divergence, neardup, packing, severity, sharding
 from spokeworks.llm.tables import held_out, table
 
 
@@ -92,6 +92,18 @@ FROM sized GROUP BY conv_id
 """
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """Vocabulary file; the ranks form has the ids of byte_bpe_50k.json."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate class of every document: 3-word shingles, similarity of 0.85 or more."""
     return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
@@ -115,6 +127,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality": op3_quality,
     "op5_chat": op5_chat,
+    "op7_packing": op7_packing,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_shards": op10_shards,

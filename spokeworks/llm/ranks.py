@@ -1,0 +1,34 @@
+"""Exact ranks within keys of any size, by uniform hashes."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from spokeworks.operators.joins import lookup_join
+
+# Rows that one window is meant to hold.
+STRETCH_ROWS = 5_000
+
+
+def rank_by_stretch(df: DataFrame, keys: Sequence[str], stretch: str, order: Sequence[str], name: str) -> DataFrame:
+    """0-based rank within `keys` by (stretch, order).
+
+    `stretch` cuts a key's rows into ordered parts of bounded size. Rows are
+    numbered inside their part and shifted by the sizes of the parts before it,
+    so no task holds more than a part, however hot the key.
+    """
+    sizes = df.groupBy(*keys, stretch).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*keys, stretch, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*keys, stretch).orderBy(*order)
+    numbered = df.withColumn("_no", F.row_number().over(inside) - 1)
+    return lookup_join(numbered, shifts, [*keys, stretch], "inner").withColumn(name, F.col("_no") + F.col("_shift")).drop("_no", "_shift")
+
+
+def hash_stretch(h: str, parts: str) -> Column:
+    """Which of `parts` equal ranges, in ascending order, a signed 64-bit hash lies in."""
+    spot = (F.col(h).cast("double") / 2.0**64 + 0.5) * F.col(parts)
+    return F.least(spot.cast("bigint"), F.col(parts) - 1)

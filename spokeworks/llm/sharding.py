@@ -11,27 +11,13 @@ and shifted by the sizes of the stretches before it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spokeworks.llm.ranks import STRETCH_ROWS, hash_stretch, rank_by_stretch
 from spokeworks.llm.tables import written
 from spokeworks.operators.joins import lookup_join
 
-# Rows that one window is meant to hold.
-STRETCH_ROWS = 5_000
-
-
-def _ranked(df: DataFrame, keys: Sequence[str], stretch: str, order: Sequence[str], name: str) -> DataFrame:
-    """0-based rank within `keys` by (stretch, order); a stretch is the unit of one window."""
-    sizes = df.groupBy(*keys, stretch).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*keys, stretch, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*keys, stretch).orderBy(*order)
-    numbered = df.withColumn("_no", F.row_number().over(inside) - 1)
-    return lookup_join(numbered, shifts, [*keys, stretch], "inner").withColumn(name, F.col("_no") + F.col("_shift")).drop("_no", "_shift")
-
 
 def interleave(
     docs: DataFrame,
@@ -63,16 +49,14 @@ def interleave(
     totals = rows.groupBy("src", "no_src").agg(F.count("*").alias("total"))
     stretches = F.greatest(F.ceil(F.col("total") / stretch_rows), F.lit(1)).cast("bigint")
     placed = lookup_join(rows, totals.withColumn("parts", stretches), ["src", "no_src"], "inner")
-    # Signed hashes over 2^64, cut into equal stretches in the order of the hash.
-    spot = (F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("parts")
-    placed = placed.withColumn("part", F.least(spot.cast("bigint"), F.col("parts") - 1))
-    ranked = _ranked(placed, ["src", "no_src"], "part", ["h", "id", "crc", "size"], "rank")
+    placed = placed.withColumn("part", hash_stretch("h", "parts"))
+    ranked = rank_by_stretch(placed, ["src", "no_src"], "part", ["h", "id", "crc", "size"], "rank")
     ranked = ranked.withColumn("fraction", (F.col("rank") + 0.5) / F.col("total"))
     everything = written(ranked.select("id", "src", "no_src", "size", "crc", "h", "fraction"), "fractions")
     n = everything.count()
     parts = max(-(-n // stretch_rows), 1)
     cut = everything.withColumns({"all": F.lit(0), "part": F.least((F.col("fraction") * parts).cast("bigint"), F.lit(parts - 1))})
-    ordered = _ranked(cut, ["all"], "part", ["fraction", "src", "no_src", "h", "id", "crc", "size"], "g")
+    ordered = rank_by_stretch(cut, ["all"], "part", ["fraction", "src", "no_src", "h", "id", "crc", "size"], "g")
     # Row g of n goes to the shard whose run holds it; the runs differ by one row at most.
     place = F.col("g").cast("bigint")
     n = max(n, 1)
