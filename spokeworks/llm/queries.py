@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.llm import attention, chat, decontaminate, divergence, neardup, packing, severity, sharding
+from spokeworks.llm import attention, chat, decontaminate, divergence, langid, neardup, packing, severity, sharding
 from spokeworks.llm.tables import held_out, table
 
 
@@ -92,6 +92,12 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document by character models."""
+    docs = table(spark, folder, "documents")
+    return langid.identify(docs, langid.train(docs)).withColumn("held_out", held_out("doc_id"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     """Vocabulary file; the ranks form has the ids of byte_bpe_50k.json."""
     import public_tokenizers
@@ -127,6 +133,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality": op3_quality,
     "op5_chat": op5_chat,
+    "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
