@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.llm import attention, chat, decontaminate, divergence, langid, neardup, packing, severity, sharding
+from spokeworks.llm import attention, backoff, chat, decontaminate, divergence, langid, neardup, packing, severity, sharding
 from spokeworks.llm.tables import held_out, table
 
 
@@ -60,6 +60,11 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op4_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Stupid-backoff score of every document under the counts of all others."""
+    return backoff.lm_scores(table(spark, folder, "documents"))
+
+
 def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation and one with control strings in its texts, formatted and read back."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -132,6 +137,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality": op3_quality,
+    "op4_lm_scores": op4_lm_scores,
     "op5_chat": op5_chat,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
