@@ -9,6 +9,7 @@ and reads them back for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spokeworks.llm import attention, decontaminate, neardup, packing, severity
 from spokeworks.llm.queries import tokenizer_path
@@ -20,7 +21,9 @@ def _chosen(docs: DataFrame, verdicts: DataFrame, condition: str, doc_id: str =
 
     Only ids that go are joined, and repeated rows share their verdict.
     """
-    out = verdicts.filter(f"NOT ({condition})").select(doc_id).filter(f"{doc_id} IS NOT NULL").distinct()
+    out = written(verdicts.filter(f"NOT ({condition})").select(doc_id).filter(f"{doc_id} IS NOT NULL").distinct(), "gone")
+    if out.count() <= neardup.BROADCAST_IDS:
+        out = F.broadcast(out)
     return docs.join(out, doc_id, "left_anti").select(*docs.columns)
 
 
