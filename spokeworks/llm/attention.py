@@ -75,7 +75,9 @@ def encode_passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(data):
         kind = _KIND[data].astype(np.int32)
         pair = owner[1:] * (_KINDS * _KINDS) + kind[:-1] * _KINDS + kind[1:]
-        grid = np.bincount(pair, minlength=total * _KINDS * _KINDS)[: total * _KINDS * _KINDS].reshape(total, -1)
+        inside = np.ones(len(data) + 1, dtype=bool)
+        inside[offsets] = False  # no pair reaches over from the text before
+        grid = np.bincount(pair[inside[1:-1]], minlength=total * _KINDS * _KINDS)[: total * _KINDS * _KINDS].reshape(total, -1)
         size = np.maximum(grid.sum(axis=1, keepdims=True), 1)
         out[:, : _KINDS * _KINDS] = np.sqrt(grid / size)
     if len(starts):
@@ -97,7 +99,7 @@ def encode_passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         out[:, at + 4] = np.repeat(_repeats(row_of_word, words, texts_n), passages)
         out[:, at + 5] = np.repeat(_repeats(row_of_word[: len(trigrams)][same], trigrams[same], texts_n), passages)
         out[:, at + 6] = np.repeat(np.log1p(counts) / 10, passages)
-        again = np.concatenate([[False], words[1:] == words[:-1]])
+        again = np.concatenate([[False], (words[1:] == words[:-1]) & (row_of_word[1:] == row_of_word[:-1])])
         out[:, at + 7] = np.bincount(passage, again, total) / np.maximum(n, 1)
     return out, passages
 
@@ -230,7 +232,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, at, 1 << 20):
-                found = sent.value.scores(*encode_passages(part.column(at))).astype(np.float64)
+                # Rounded, as sums depend on what shares a batch in the last digits.
+                found = np.round(sent.value.scores(*encode_passages(part.column(at))).astype(np.float64), 9)
                 if keep:
                     yield part.filter(pa.array(found >= cut))
                 else:

@@ -83,6 +83,7 @@ class Model:
     log_p: list[np.ndarray] = field(default_factory=list)
     log_back: list[np.ndarray] = field(default_factory=list)
     log_floor: float = -11.0
+    log_root: np.ndarray | None = None
     scale: float = 0.05
     limits: np.ndarray | None = None
     common: int = 0
@@ -103,6 +104,8 @@ class Model:
             if n > 1:
                 place, seen = _look_up(lost >> np.uint64(16), self.hashes[n - 2])
                 shorter += np.where(seen[:, None], self.log_back[n - 2][place], 0) if len(self.hashes[n - 2]) else 0
+            else:
+                shorter += self.log_root
             out[missing] = shorter
         return out
 
@@ -130,6 +133,7 @@ def build_model(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray
             grams[lang][n] = np.unique(keys & np.uint64((1 << (16 * n)) - 1), return_counts=True)
     alphabet = np.unique(np.concatenate([grams[x][1][0] for x in langs])) if langs else np.zeros(0, np.uint64)
     model.log_floor = float(-np.log(len(alphabet) + 1))
+    model.log_root = np.array([np.log(DISCOUNT * len(k) / c.sum()) for k, c in (grams[x][1] for x in langs)])
     for n in range(1, ORDER + 1):
         own = [grams[x][n][0] for x in langs]
         if n < ORDER:  # contexts need a place too

@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     grades = values if graded else grade_by_evidence(bags, values > 0)
     model = fit(bags, grades, max(int(grades.max(initial=1)), 1))
     real = labels.filter(F.col(label).isNotNull()).agg(F.avg((F.col(label) > 0).cast("double"))).first()[0]
-    if real and 0 < (values > 0).mean() < 1 and real < 1:
+    if real and real < 1 and 0 < (values > 0).sum() < len(values):
         there = (values > 0).mean()
         model.thresholds = model.thresholds + np.log(there / (1 - there)) - np.log(real / (1 - real))
     return model
