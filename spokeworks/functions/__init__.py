@@ -1,13 +1,14 @@
 from spokeworks.functions.numbers import (
     fixed1_tenths,
     fixed1_text,
+    fixed1_value,
     parse_flag,
     parse_float,
     parse_int,
     tenths_text,
 )
-from spokeworks.functions.payload import contract_verdict, json_field, strict_json
-from spokeworks.functions.text import count_label, iso_instant, xml_escape
+from spokeworks.functions.payload import contract_verdict, json_field, keep_last_key, strict_json
+from spokeworks.functions.text import count_label, iso_instant, utc_instant, with_iso_instant, xml_escape
 from spokeworks.functions.urls import (
     file_extension,
     object_key,
@@ -23,8 +24,10 @@ __all__ = [
     "file_extension",
     "fixed1_tenths",
     "fixed1_text",
+    "fixed1_value",
     "iso_instant",
     "json_field",
+    "keep_last_key",
     "object_key",
     "parse_flag",
     "parse_float",
@@ -35,5 +38,7 @@ __all__ = [
     "url_host",
     "url_path",
     "url_query",
+    "utc_instant",
+    "with_iso_instant",
     "xml_escape",
 ]

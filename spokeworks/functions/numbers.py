@@ -14,6 +14,10 @@ _FLOAT = _SPACE + r"([+-]?(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0
 _UNIT_BITS = 57
 # Whole parts up to here keep ten times the value inside a bigint.
 _WHOLE_LIMIT = 9.0e17
+# From here on the rounded text is the number's own, with an exponent.
+_EXPONENT_FROM = 1.0e21
+# Tenths up to here are whole doubles.
+_EXACT_TENTHS = 1 << 53
 
 
 def _leading_number(col: Column, plain: str, pattern: str, default: str) -> Column:
@@ -48,9 +52,10 @@ def fixed1_tenths(x: Column) -> Column:
     Rounds the exact binary value, which `round` and `format_string` do not:
     they start from the shortest decimal text. The fraction becomes an integer
     count of 2^-57, and the rest is integer arithmetic; fractions below 1/32
-    may lose bits there, but round to zero anyway. NULL for NULL, NaN and
-    magnitudes of 9e17 and more. `x` appears several times in the result, so
-    give it a column of its own when it is costly.
+    may lose bits there, but round to zero anyway. NULL for NULL and NaN, and
+    where tenths exceed a bigint (9e17 and more); `fixed1_text` and
+    `fixed1_value` go on there. `x` appears several times in the result, so give
+    it a column of its own when it is costly.
     """
     size = F.abs(x)
     whole = F.floor(size)
@@ -68,6 +73,36 @@ def tenths_text(tenths: Column, negative: Column | None = None) -> Column:
     return F.concat(sign, whole.cast("string"), F.lit("."), (size % 10).cast("string"))
 
 
+def _large_text(x: Column) -> Column:
+    """Text of what has no bigint tenths: whole doubles digit by digit, then exponents and infinities."""
+    size = F.abs(x)
+    # A double splits exactly into a multiple of 2^32 and a rest.
+    high = F.floor(size / float(1 << 32))
+    low = (size - high * float(1 << 32)).cast("bigint").cast("decimal(20,0)")
+    whole = high.cast("bigint").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low
+    # JavaScript writes 1e+21 where Java has 1.0E21.
+    exponent = F.replace(F.replace(size.cast("string"), F.lit(".0E"), F.lit("E")), F.lit("E"), F.lit("e+"))
+    text = (
+        F.when(size == float("inf"), "Infinity")
+        .when(size >= _EXPONENT_FROM, exponent)
+        .otherwise(F.concat(whole.cast("string"), F.lit(".0")))
+    )
+    return F.concat(F.when(x < 0, "-").otherwise(""), text)
+
+
 def fixed1_text(x: Column) -> Column:
-    """`x` as text with exactly one decimal; small negatives print '-0.0'."""
-    return tenths_text(fixed1_tenths(x), negative=x < 0)
+    """`x` as text with exactly one decimal; small negatives print '-0.0'.
+
+    All finite numbers below 1e21 print in full, larger ones with an exponent,
+    infinities as 'Infinity'; NULL for NULL and NaN.
+    """
+    small = tenths_text(fixed1_tenths(x), negative=x < 0)
+    return F.when(F.isnan(x), F.lit(None)).when(F.abs(x) < _WHOLE_LIMIT, small).otherwise(_large_text(x))
+
+
+def fixed1_value(x: Column) -> Column:
+    """The number that `fixed1_text` spells, as a double."""
+    tenths = fixed1_tenths(x)
+    exact = F.when(F.abs(tenths) < _EXACT_TENTHS, tenths / F.lit(10.0)).otherwise(fixed1_text(x).try_cast("double"))
+    # Numbers from 2^53 on are whole.
+    return F.when(F.isnan(x), F.lit(None)).when(F.abs(x) >= float(_EXACT_TENTHS), x).otherwise(exact)

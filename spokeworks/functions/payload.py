@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+_REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
 # Variant type names that JSON numbers get.
 _NUMBERS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE", "DECIMAL")
 _REASONS = ("unparseable", "missing")
 
 
+@contextmanager
+def keep_last_key(spark: SparkSession) -> Iterator[None]:
+    """Let frames built in this block keep the last value of a key that an object repeats.
+
+    The parser takes the setting when a frame is built, so the caller's own
+    setting is untouched afterwards. Without it such objects are unparseable.
+    """
+    before = spark.conf.get(_REPEATED_KEYS, None)
+    spark.conf.set(_REPEATED_KEYS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_REPEATED_KEYS) if before is None else spark.conf.set(_REPEATED_KEYS, before)
+
+
 def strict_json(body: Column) -> Column:
     """`{"v": body}` as a variant, NULL unless `body` is exactly one JSON value.
 
@@ -25,11 +45,17 @@ def strict_json(body: Column) -> Column:
 
 
 def _path(field: str) -> str:
-    return f'$.v["{field}"]'
+    quote = "'" if '"' in field else '"'
+    if quote in field:
+        raise ValueError(f"a field name with both kinds of quotes has no path: {field}")
+    return f"$.v[{quote}{field}{quote}]"
 
 
 def json_field(body: Column, field: str, as_type: str) -> Column:
-    """Top-level `field` as `as_type`; NULL for broken payloads and missing fields."""
+    """Top-level `field` as `as_type`; NULL for broken payloads and missing fields.
+
+    Objects that repeat a key need `keep_last_key` or the session's setting.
+    """
     return F.try_variant_get(strict_json(body), _path(field), as_type)
 
 

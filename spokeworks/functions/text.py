@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed wording of the visit counter.
@@ -28,6 +28,19 @@ def iso_instant(ts: Column) -> Column:
     )
 
 
+def utc_instant(ts: Column) -> Column:
+    """A `timestamp` as yyyy-MM-ddTHH:mm:ss.SSSZ in UTC, whatever the session's time zone."""
+    seconds = (F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return iso_instant(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds))
+
+
+def with_iso_instant(df: DataFrame, ts: str, name: str) -> DataFrame:
+    """Add column `name`: date-time column `ts` as an instant; `timestamp_ntz` and `date` count as UTC."""
+    kind = df.schema[ts].dataType.typeName()
+    text = utc_instant(F.col(ts)) if kind == "timestamp" else iso_instant(F.col(ts).cast("timestamp_ntz"))
+    return df.withColumn(name, text)
+
+
 def xml_escape(col: Column) -> Column:
     """The five XML entities, ampersand first."""
     for char, entity in (

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spokeworks.functions import fixed1_tenths, fixed1_text, parse_flag, parse_float, parse_int
+from spokeworks.functions import fixed1_tenths, fixed1_text, fixed1_value, parse_flag, parse_float, parse_int
 from spokeworks.operators import nutrition
 
 decimal.getcontext().prec = 400
@@ -83,9 +83,29 @@ def test_rounding_of_any_double(spark, values):
     check_rounding(spark, values)
 
 
-def test_rounding_leaves_out_what_has_no_tenths(spark):
-    table = spark.createDataFrame([(float("nan"),), (None,), (1e18,), (float("inf"),)], "x double")
-    assert {r[0] for r in table.select(fixed1_tenths(F.col("x"))).collect()} == {None}
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.floats(9e17, 9.99e20), min_size=1, max_size=100))
+def test_text_of_large_doubles(spark, values):
+    table = spark.createDataFrame(pa.table({"x": pa.array([*values, *(-v for v in values)], pa.float64())}))
+    for row in table.select("x", fixed1_text(F.col("x")).alias("t"), fixed1_value(F.col("x")).alias("v")).collect():
+        assert row.t == f"{int(row.x)}.0" and row.v == row.x
+
+
+def test_text_beyond_plain_digits(spark):
+    cases = {1e21: "1e+21", 1.5e300: "1.5e+300", float("inf"): "Infinity", float("-inf"): "-Infinity", -2e22: "-2e+22"}
+    rows = spark.createDataFrame([(x,) for x in cases], "x double").select("x", fixed1_text(F.col("x")).alias("t"), fixed1_value(F.col("x")).alias("v")).collect()
+    assert {r.x: r.t for r in rows} == cases and all(r.v == r.x for r in rows)
+    none = spark.createDataFrame([(float("nan"),), (None,)], "x double").select(fixed1_text(F.col("x")), fixed1_value(F.col("x")), fixed1_tenths(F.col("x")))
+    assert {tuple(r) for r in none.collect()} == {(None, None, None)}
+    # Tenths themselves end where a bigint does.
+    big = spark.createDataFrame([(1e18,), (float("inf"),)], "x double")
+    assert {r[0] for r in big.select(fixed1_tenths(F.col("x"))).collect()} == {None}
+
+
+def test_value_of_rounded_text(spark):
+    values = [i / 7 for i in range(2000)] + [2.0**k / 3 for k in range(40, 62)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(fixed1_text(F.col("x")), fixed1_value(F.col("x"))).collect()
+    assert all(float(text) == value for text, value in rows)
 
 
 @pytest.mark.parametrize(
@@ -96,6 +116,9 @@ def test_rounding_leaves_out_what_has_no_tenths(spark):
         (-0.1, "-0.0. You could get this amount of nutrition from 0.0 bananas, 0.0 Gu gel packets, or 0.0 tacos"),
         (-0.3, "-0.1. You could get this amount of nutrition from -0.0 bananas, -0.0 Gu gel packets, or -0.0 tacos"),
         (0.0, "0.0. You could get this amount of nutrition from 0.0 bananas, 0.0 Gu gel packets, or 0.0 tacos"),
+        (float("inf"), "Infinity. You could get this amount of nutrition from Infinity bananas, Infinity Gu gel packets, or Infinity tacos"),
+        (3e18, f"{10**18}.0. You could get this amount of nutrition from {int(1e18 / 27)}.0 bananas, {int(1e18 / 23)}.0 Gu gel packets, or {int(1e18 / 14)}.0 tacos"),
+        (6e30, f"{6e30 / 3!r}. You could get this amount of nutrition from {6e30 / 3 / 27!r} bananas, {6e30 / 3 / 23!r} Gu gel packets, or {6e30 / 3 / 14!r} tacos"),
         (None, "NaN. You could get this amount of nutrition from NaN bananas, NaN Gu gel packets, or NaN tacos"),
     ],
 )
