@@ -8,16 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a table given as Python values may have and still be broadcast.
+# Rows up to which a table given as Python values is marked for broadcast.
 MAX_BROADCAST_ROWS = 10_000
 
 
 def bounded_table(spark: SparkSession, columns: Mapping[str, tuple[pa.DataType, Sequence]]) -> DataFrame:
-    """A lookup given as Python values, marked for broadcast once its size is checked."""
+    """A lookup given as Python values; marked for broadcast if it is small, else a table like any other."""
     table = pa.table({name: pa.array(values, dtype) for name, (dtype, values) in columns.items()})
-    if table.num_rows > MAX_BROADCAST_ROWS:
-        raise ValueError(f"{table.num_rows} rows is too many to broadcast; pass a DataFrame")
-    return F.broadcast(spark.createDataFrame(table))
+    frame = spark.createDataFrame(table)
+    return F.broadcast(frame) if table.num_rows <= MAX_BROADCAST_ROWS else frame
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:

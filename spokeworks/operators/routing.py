@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spokeworks.functions import file_extension
-from spokeworks.operators.joins import bounded_table, lookup_join
+from spokeworks.operators.joins import MAX_BROADCAST_ROWS, bounded_table, lookup_join
 
 # Fixed values of the extension table.
 CONTENT_TYPES = {
@@ -20,14 +20,22 @@ CONTENT_TYPES = {
 
 
 def with_content_type(
-    objects: DataFrame, key: str = "object_key", types: Mapping[str, str] = CONTENT_TYPES
+    objects: DataFrame, key: str = "object_key", types: Mapping[str, str] | DataFrame = CONTENT_TYPES
 ) -> DataFrame:
-    """Add `content_type` by extension, NULL for extensions not listed."""
-    table = bounded_table(
-        objects.sparkSession,
-        {"_ext": (pa.string(), list(types)), "content_type": (pa.string(), list(types.values()))},
-    )
-    return objects.withColumn("_ext", file_extension(F.col(key))).join(table, "_ext", "left").drop("_ext")
+    """Add `content_type` by extension, NULL for extensions not listed.
+
+    `types` is a mapping or a table (ext, content_type) with one row per
+    extension, of any size.
+    """
+    if isinstance(types, DataFrame):
+        table = types.select(F.col("ext").alias("_ext"), "content_type")
+    else:
+        columns = {"_ext": (pa.string(), list(types)), "content_type": (pa.string(), list(types.values()))}
+        table = bounded_table(objects.sparkSession, columns)
+    keyed = objects.withColumn("_ext", file_extension(F.col(key)))
+    if not isinstance(types, DataFrame) and len(types) <= MAX_BROADCAST_ROWS:
+        return keyed.join(table, "_ext", "left").drop("_ext")
+    return lookup_join(keyed, table, ["_ext"], "left").drop("_ext")
 
 
 def resolve_routes(

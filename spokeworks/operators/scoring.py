@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeworks.functions import parse_flag, parse_int
-from spokeworks.operators.joins import bounded_table, lookup_join
+from spokeworks.operators.joins import MAX_BROADCAST_ROWS, bounded_table, lookup_join
 
 # Fixed values of the tyre-pressure rule, in pounds and psi.
 LIGHT_BELOW = 180
@@ -72,14 +72,16 @@ def with_adjustment(
 ) -> DataFrame:
     """Look up (tirewidth, band); pairs the table lacks get `default`.
 
-    A mapping is broadcast. A DataFrame, with at most one row per pair, may be
-    of any size.
+    A mapping is broadcast if it is small. A DataFrame, with at most one row
+    per pair, may be of any size.
     """
     keys = ["tirewidth", "band"]
     if isinstance(adjustments, DataFrame):
         joined = lookup_join(banded, adjustments, keys, "left")
-    else:
+    elif sum(map(len, adjustments.values())) <= MAX_BROADCAST_ROWS:
         joined = banded.join(adjustment_table(banded.sparkSession, adjustments), keys, "left")
+    else:
+        joined = lookup_join(banded, adjustment_table(banded.sparkSession, adjustments), keys, "left")
     return joined.withColumn("adjustment", F.coalesce("adjustment", F.lit(default).cast("bigint")))
 
 

@@ -72,6 +72,15 @@ def test_key_types_must_agree(spark):
         lookup_join(number, text, ["a"], "left")
 
 
+def test_content_types_of_any_number(spark):
+    types = {f".x{i}": f"type/{i}" for i in range(10_001)}
+    listed = spark.createDataFrame(list(types.items()), "ext string, content_type string")
+    table = spark.createDataFrame([("a.x0",), ("b.x10000",), ("c.y",)], "object_key string")
+    for given in (types, listed):
+        found = {r.object_key: r.content_type for r in routing.with_content_type(table, types=given).collect()}
+        assert found == {"a.x0": "type/0", "b.x10000": "type/10000", "c.y": None}
+
+
 def test_content_types(spark):
     rows = {"a/index.html": "text/html", "s.css": "text/css", "x.min.js": "text/javascript", "b": None, "p.png": None}
     table = spark.createDataFrame([(k,) for k in rows], "object_key string")

@@ -86,8 +86,15 @@ def test_message(spark):
     assert spark.range(1).select(scoring.psi_message(F.lit(85))).first()[0] == "Your recommended tire PSI is 85."
 
 
-def test_broadcast_is_bounded(spark):
+def test_large_mappings_are_tables(spark):
+    """A mapping beyond the broadcast bound gives the rows that the same table gives."""
     import pyarrow as pa
 
-    with pytest.raises(ValueError, match="too many to broadcast"):
-        bounded_table(spark, {"a": (pa.int64(), range(MAX_BROADCAST_ROWS + 1))})
+    small, large = (bounded_table(spark, {"a": (pa.int64(), range(n))}) for n in (MAX_BROADCAST_ROWS, MAX_BROADCAST_ROWS + 1))
+    plans = [t._jdf.queryExecution().analyzed().toString() for t in (small, large)]
+    assert ["strategy=broadcast" in p for p in plans] == [True, False]
+    widths = MAX_BROADCAST_ROWS // 2 + 1
+    adjustments = {w: {"light": w % 7, "heavy": -w % 5} for w in range(widths)}
+    banded = spark.range(0, widths + 3).selectExpr("CAST(id AS INT) AS tirewidth", "IF(id % 2 = 0, 'light', 'heavy') AS band")
+    found = {r.tirewidth: r.adjustment for r in scoring.with_adjustment(banded, adjustments, default=99).collect()}
+    assert found == {w: adjustments.get(w, {}).get("heavy" if w % 2 else "light", 99) for w in range(widths + 3)}
