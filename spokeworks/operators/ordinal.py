@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spokeworks.workspace import scratch_table, shuffle_partitions
+from spokeworks.workspace import scratch_table
 
 _PART = "__part"
 _POS = "__pos"
@@ -97,12 +97,8 @@ def key_counts(df: DataFrame, within: Sequence[str]) -> DataFrame:
 
 
 def hot_keys(counts: DataFrame, within: Sequence[str], least_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Keys with more rows than an average shuffle partition and than `least_rows`.
-
-    There are fewer of them than shuffle partitions, whatever the data.
-    """
-    share = counts.agg(F.sum("n") / shuffle_partitions(counts.sparkSession)).scalar()
-    return counts.filter((F.col("n") > least_rows) & (F.col("n") > share)).select(*within)
+    """Keys with more than `least_rows` rows, the number one task is left to sort."""
+    return counts.filter(F.col("n") > least_rows).select(*within)
 
 
 def _window_ordinal(
@@ -135,8 +131,11 @@ def add_ordinal(
 ) -> DataFrame:
     """`row_number` over `order_by`, per `within` or over the whole table.
 
-    Hot keys go through `place_rows`, which may use many tasks for one key. For
-    all others a window does the same with a single shuffle. `df` is read for
+    Keys of more than `hot_key_rows` go through `place_rows`, which may use many
+    tasks for one key; the bound is what a task can sort and depends on no
+    setting. For all others a window does the same with a single shuffle. The
+    order has to be unique within a key: then both give the same numbers, while
+    rows that tie may get theirs in any order. `df` is read for
     counting, unless its `counts` per key are known, and for numbering, so pass
     a table or a cheap plan. `start` and `folder` are those of `number_rows` and
     `place_rows`.
@@ -147,9 +146,9 @@ def add_ordinal(
     hot = scratch_table(hot_keys(counts, within, hot_key_rows), "hot", folder)
     if hot.isEmpty():
         return _window_ordinal(df, order_by, within, name, start)
-    # Fewer keys than shuffle partitions: safe to broadcast.
+    # The written list's size decides whether Spark broadcasts it; a hot key's rows split otherwise.
     same = _same_key(df, hot, within)
-    heavy = df.join(F.broadcast(hot), same, "left_semi")
-    light = df.join(F.broadcast(hot), same, "left_anti")
+    heavy = df.join(hot, same, "left_semi")
+    light = df.join(hot, same, "left_anti")
     numbered = number_rows(place_rows(heavy, order_by, within, folder), name, start)
     return numbered.unionByName(_window_ordinal(light, order_by, within, name, start))

@@ -38,11 +38,26 @@ def test_maps_are_whole_and_bounded(spark):
     assert back.exceptAll(pairs).isEmpty() and pairs.exceptAll(back).isEmpty()
 
 
+def test_one_whole_map_per_group(spark):
+    rows = [("z", "b", 2), ("z", "a", 1), ("y", "a", 3), (None, "k", 4)]
+    maps = keyed.unique_key_maps(spark.createDataFrame(rows, "zone string, name string, value int"), ["zone"], "name", "value")
+    assert {r.zone: r.entries for r in maps.collect()} == {"z": {"a": 1, "b": 2}, "y": {"a": 3}, None: {"k": 4}}
+
+
 def test_duplicate_key_fails(spark):
     rows = [("z", "a", "1"), ("z", "b", "1"), ("z", "a", "1")]
     pairs = spark.createDataFrame(rows, "zone string, name string, value string")
     with pytest.raises(Exception, match="duplicate key: a"):
         keyed.unique_key_maps(pairs, ["zone"], "name", "value").collect()
+    with pytest.raises(Exception, match="duplicate key: a"):
+        keyed.unique_key_maps(pairs, ["zone"], "name", "value", max_entries=1).collect()
+    checked = keyed.require_unique(pairs, ["zone"], "name", "value")
+    for reader in (checked.count, checked.select("zone").collect, checked.select("value").collect):
+        with pytest.raises(Exception, match="duplicate key: a"):
+            reader()
+    for reader in (keyed.unique_key_maps(pairs, ["zone"], "name", "value").count,):
+        with pytest.raises(Exception, match="duplicate key: a"):
+            reader()
     other_zone = pairs.withColumn("zone", F.monotonically_increasing_id().cast("string"))
     assert keyed.unique_key_maps(other_zone, ["zone"], "name", "value").count() == 3
 

@@ -64,10 +64,16 @@ def test_empty_table(spark):
     assert add_ordinal(empty, ["id"]).isEmpty()
 
 
-def test_hot_keys_are_few(spark, skewed):
-    found = {r.key for r in hot_keys(key_counts(skewed, ["key"]), ["key"], 1).collect()}
-    assert found == {"hot", None}
-    assert len(found) < int(spark.conf.get("spark.sql.shuffle.partitions"))
+@pytest.mark.parametrize("partitions", ["2", "8"])
+def test_hot_keys_do_not_depend_on_the_session(spark, skewed, partitions):
+    """With two partitions no key has an average share, and the hot ones still go to several tasks."""
+    with settings(spark, spark__sql__shuffle__partitions=partitions):
+        assert {r.key for r in hot_keys(key_counts(skewed, ["key"]), ["key"], 100).collect()} == {"hot", None}
+        assert {r.key for r in hot_keys(key_counts(skewed, ["key"]), ["key"], 9_999).collect()} == {"hot", None}
+        assert hot_keys(key_counts(skewed, ["key"]), ["key"], 10_000).isEmpty()
+        placed = place_rows(skewed, ["at", "id"], ["key"])
+        tasks = placed.runs.filter("key = 'hot'").count()
+        assert tasks > 1 or partitions == "2" and placed.runs.select("__part").distinct().count() == 2
 
 
 def test_hot_key_uses_several_tasks(skewed):
