@@ -1,0 +1,114 @@
+"""A table of one number per key that micro-batches update in place of history.
+
+Rows lie in buckets by the hash of their key. A batch reads and rewrites only
+the buckets its keys fall in; a manifest per batch names each bucket's current
+version. The version and manifest before the last one are kept, so that a
+repeated batch finds what it began with, and older ones are deleted.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructField, StructType
+
+BUCKETS = 256
+
+
+class KeyLedger:
+    """Ledger below `root`, a folder all executors reach; `kinds` are the types of `keys`."""
+
+    def __init__(
+        self, spark: SparkSession, root: str, keys: Sequence[str], kinds: Sequence[DataType], buckets: int = BUCKETS
+    ) -> None:
+        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), list(keys), buckets
+        fields = [StructField(key, kind) for key, kind in zip(keys, kinds, strict=True)]
+        self.schema = StructType([*fields, StructField("n", LongType())])
+
+    def _path(self, *parts: object):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join(map(str, (self.root, *parts))))
+
+    def _store(self):
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _batches(self) -> list[int]:
+        """Batches with a manifest, oldest first."""
+        store, folder = self._store(), self._path("manifest")
+        if not store.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in store.listStatus(folder)]
+        return sorted(int(name.removesuffix(".json")) for name in names if name[0].isdigit() and name.endswith(".json"))
+
+    def _manifest(self, batch_id: int | None) -> dict[int, int]:
+        """Version of every bucket as of a batch."""
+        if batch_id is None:
+            return {}
+        file = self._path("manifest", f"{batch_id}.json").toString()
+        told = json.loads("".join(row[0] for row in self.spark.read.text(file).collect()))
+        if told["buckets"] != self.buckets:
+            raise ValueError(f"this ledger has {told['buckets']} buckets, not {self.buckets}")
+        return {int(bucket): version for bucket, version in told["versions"].items()}
+
+    def _write_manifest(self, batch_id: int, versions: dict[int, int]) -> None:
+        store = self._store()
+        private, file = self._path("manifest", f"_{batch_id}"), self._path("manifest", f"{batch_id}.json")
+        out = store.create(private, True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "versions": versions}).encode()))
+        out.close()
+        store.delete(file, False)
+        if not store.rename(private, file):
+            raise OSError(f"cannot write {file.toString()}")
+
+    def _bucket(self) -> Column:
+        hashed = F.xxhash64(*self.keys) if self.keys else F.lit(0)
+        return F.pmod(hashed, F.lit(self.buckets)).cast("int")
+
+    def _read(self, versions: dict[int, int]) -> DataFrame:
+        paths = [self._path(f"version={v}", f"bucket={b}").toString() for b, v in sorted(versions.items())]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def current(self) -> DataFrame:
+        """All rows as of the last batch: one for each key."""
+        return self._read(self._manifest(max(self._batches(), default=None)))
+
+    def _before(self, batch_id: int) -> dict[int, int]:
+        return self._manifest(max((b for b in self._batches() if b < batch_id), default=None))
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        """Buckets of some rows; there are as many as the ledger has at most."""
+        return [row[0] for row in rows.select(self._bucket().alias("b")).distinct().collect()]
+
+    def starts(self, batch_id: int, rows: DataFrame) -> DataFrame:
+        """Rows of earlier batches for the keys in `rows`, from those keys' buckets alone."""
+        versions = self._before(batch_id)
+        before = self._read({b: versions[b] for b in self._touched(rows) if b in versions})
+        return before.join(rows, [before[k].eqNullSafe(rows[k]) for k in self.keys], "left_semi")
+
+    def merge(self, batch_id: int, rows: DataFrame, total: str = "sum") -> None:
+        """Combine `rows` (keys, n) into the ledger by `sum` or `max`; repeating a batch changes nothing."""
+        versions, touched = self._before(batch_id), self._touched(rows)
+        before = self._read({b: versions[b] for b in touched if b in versions})
+        combined = before.unionByName(rows.select(*self.keys, F.col("n").cast("bigint")))
+        merged = combined.groupBy(*self.keys).agg(F.expr(f"{total}(n)").alias("n")).withColumn("bucket", self._bucket())
+        target = self._path(f"version={batch_id}").toString()
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        after = versions | dict.fromkeys(touched, batch_id)
+        self._write_manifest(batch_id, after)
+        self._delete_unused(batch_id, set(versions.items()) | set(after.items()))
+
+    def _delete_unused(self, batch_id: int, used: set[tuple[int, int]]) -> None:
+        store, batches = self._store(), [b for b in self._batches() if b < batch_id]
+        for old in batches[:-1]:
+            for bucket, version in set(self._manifest(old).items()) - used:
+                store.delete(self._path(f"version={version}", f"bucket={bucket}"), True)
+            store.delete(self._path("manifest", f"{old}.json"), False)
+        live = {version for _, version in used}
+        for status in store.listStatus(self._path()):
+            name = status.getPath().getName()
+            if name.startswith("version=") and int(name.split("=")[1]) not in live:
+                store.delete(status.getPath(), True)

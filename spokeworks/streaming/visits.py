@@ -1,8 +1,10 @@
 """Visit counting on a stream.
 
-Both jobs write each micro-batch to its own `batch_id=N` folder and overwrite it
-when the batch is repeated, so results count every hit exactly once. Counts
-never expire and no hit is dropped as late.
+Ordinals of each micro-batch go to its own `batch_id=N` folder, which a repeated
+batch overwrites; totals and the counts that ordinals continue from lie in a
+ledger by key (`streaming/ledger.py`). So every hit counts exactly once, and the
+work of a batch follows its own keys, however old the stream is. Counts never
+expire and no hit is dropped as late.
 """
 
 from __future__ import annotations
@@ -13,9 +15,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from spokeworks.operators.ordinal import HOT_KEY_ROWS, add_ordinal, key_counts
+from spokeworks.streaming.ledger import BUCKETS, KeyLedger
+from spokeworks.workspace import scratch_table
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,9 +26,6 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 # Stands in for the key where there is none.
 _ALL = "__all"
 
-# Batches between two full snapshots of the running totals.
-SNAPSHOT_EVERY = 50
-
 
 def _batch_folder(root: str, batch_id: int) -> str:
     return f"{root}/batch_id={batch_id}"
@@ -44,27 +44,35 @@ def _rocksdb_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(_PROVIDER)
 
 
-def start_visit_totals(visits: DataFrame, keys: Sequence[str], out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Running hits per key, held in Spark's state store; writes the keys each batch changed."""
+def _ledger(frame: DataFrame, root: str, keys: Sequence[str], buckets: int) -> KeyLedger:
+    return KeyLedger(frame.sparkSession, root, keys, [frame.schema[key].dataType for key in keys], buckets)
+
+
+def start_visit_totals(
+    visits: DataFrame, keys: Sequence[str], out: str, checkpoint: str, buckets: int = BUCKETS, **trigger
+) -> StreamingQuery:
+    """Running hits per key, held in Spark's state store; `out` is a ledger of the latest totals."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+        # Totals only grow, so the latest is the largest.
+        changed = scratch_table(batch.withColumnRenamed("visits", "n"), "changed", f"{checkpoint}/work")
+        _ledger(changed, out, keys, buckets).merge(batch_id, changed, "max")
 
     totals = visits.groupBy(*keys).agg(F.count("*").alias("visits"))
     # A query keeps the settings it started with.
     with _rocksdb_state(visits.sparkSession):
         return (
             totals.writeStream.outputMode("update")
-            .option("checkpointLocation", checkpoint)
+            .option("checkpointLocation", f"{checkpoint}/stream")
             .foreachBatch(write)
             .trigger(**trigger)
             .start()
         )
 
 
-def read_visit_totals(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
-    """Latest total per key; totals only grow, so the latest is the largest."""
-    return spark.read.parquet(out).groupBy(*keys).agg(F.max("visits").alias("visits"))
+def read_visit_totals(visits: DataFrame, out: str, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Latest total per key; `visits` lends its session and the keys' types. Reads one row per key."""
+    return _ledger(visits, out, keys, buckets).current().withColumnRenamed("n", "visits")
 
 
 def start_visit_ordinals(
@@ -73,7 +81,7 @@ def start_visit_ordinals(
     order_by: Sequence[str],
     out: str,
     checkpoint: str,
-    snapshot_every: int = SNAPSHOT_EVERY,
+    buckets: int = BUCKETS,
     hot_key_rows: int = HOT_KEY_ROWS,
     **trigger,
 ) -> StreamingQuery:
@@ -81,44 +89,23 @@ def start_visit_ordinals(
 
     Within a micro-batch hits are numbered in `order_by` order, across batches
     in order of arrival. A batch is numbered like a batch table, so a hot key is
-    spread over tasks instead of queueing in one state-store partition. Totals
-    are kept as one small table per batch and a full snapshot now and then, all
-    below `checkpoint`, which every executor must reach. A checkpoint keeps the
-    `snapshot_every` it began with. Without `keys` all hits are counted together.
+    spread over tasks instead of queueing in one state-store partition. Counts
+    per key lie in a ledger below `checkpoint`, which every executor must reach;
+    another number of `buckets` than it began with is refused. Without `keys`
+    all hits are counted together.
     """
     if not keys:
         visits, keys = visits.withColumn(_ALL, F.lit(0)), [_ALL]
-    deltas, snapshots = f"{checkpoint}/key_counts", f"{checkpoint}/key_totals"
-    schema = StructType(
-        [StructField(k, visits.schema[k].dataType) for k in keys] + [StructField("n", LongType())]
-    )
-
-    def counts_before(spark: SparkSession, batch_id: int) -> DataFrame:
-        first_delta = batch_id - batch_id % snapshot_every
-        folders = [_batch_folder(deltas, i) for i in range(first_delta, batch_id)]
-        if first_delta:
-            folders.append(_batch_folder(snapshots, first_delta - 1))
-        if not folders:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(*folders)
-
-    def total(counted: DataFrame) -> DataFrame:
-        return counted.groupBy(*keys).agg(F.sum("n").alias("n"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = counts_before(spark, batch_id)
-        key_counts(batch, keys).write.mode("overwrite").parquet(_batch_folder(deltas, batch_id))
-        counted = spark.read.schema(schema).parquet(_batch_folder(deltas, batch_id))
-        # Only the batch's own keys need a starting point.
-        seen = before.join(counted, [before[k].eqNullSafe(counted[k]) for k in keys], "left_semi")
-        start = total(seen).withColumnRenamed("n", "start")
+        counted = scratch_table(key_counts(batch, keys), "counted", f"{checkpoint}/work")
+        ledger = _ledger(batch, f"{checkpoint}/ledger", keys, buckets)
+        start = ledger.starts(batch_id, counted).withColumnRenamed("n", "start")
         numbered = add_ordinal(
             batch, order_by, keys, "visit_no", hot_key_rows, counted, start, f"{checkpoint}/work"
         )
         numbered.drop(_ALL).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
-        if (batch_id + 1) % snapshot_every == 0:
-            total(before.unionByName(counted)).write.mode("overwrite").parquet(_batch_folder(snapshots, batch_id))
+        ledger.merge(batch_id, counted)
 
     return (
         visits.writeStream.option("checkpointLocation", f"{checkpoint}/stream")

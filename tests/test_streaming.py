@@ -5,8 +5,10 @@ import shutil
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spokeworks.streaming import visits as streams
+from spokeworks.streaming.ledger import KeyLedger
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, key string"
 BATCHES = 7
@@ -50,7 +52,7 @@ def expected(events):
 def run_ordinals(spark, feed, folder, hot_key_rows=50):
     query = streams.start_visit_ordinals(
         source(spark, feed), ["key"], ["ts", "event_id"], f"{folder}/out", f"{folder}/ck",
-        snapshot_every=3, hot_key_rows=hot_key_rows, availableNow=True,
+        buckets=16, hot_key_rows=hot_key_rows, availableNow=True,
     )
     query.awaitTermination()
 
@@ -66,7 +68,7 @@ def test_totals(spark, events, feed, tmp_path):
         source(spark, feed), ["key"], f"{tmp_path}/out", f"{tmp_path}/ck", availableNow=True
     )
     query.awaitTermination()
-    found = streams.read_visit_totals(spark, f"{tmp_path}/out", ["key"])
+    found = streams.read_visit_totals(events, f"{tmp_path}/out", ["key"])
     assert same(found, events.groupBy("key").agg(F.count("*").alias("visits")))
 
 
@@ -110,4 +112,32 @@ def test_one_counter_for_all(spark, feed, events, tmp_path):
         source(spark, feed), [], f"{tmp_path}/totals", f"{tmp_path}/totals-ck", availableNow=True
     )
     totals.awaitTermination()
-    assert streams.read_visit_totals(spark, f"{tmp_path}/totals", []).first().visits == 2100
+    assert streams.read_visit_totals(events, f"{tmp_path}/totals", []).first().visits == 2100
+
+
+def test_a_small_batch_reads_a_small_part_of_the_ledger(spark, tmp_path):
+    keys = spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(1).alias("n"))
+    ledger = KeyLedger(spark, str(tmp_path), ["key"], [StringType()], buckets=64)
+    ledger.merge(0, keys)
+    few = keys.filter("key in ('k1', 'k77', 'k4000', 'new')").unionByName(spark.createDataFrame([("new", 1)], "key string, n int"))
+    start = ledger.starts(1, few)
+    files = [f for f in start.inputFiles() if "version=" in f]
+    read = spark.read.parquet(*files).count()
+    assert 0 < read < 200_000 * 5 / 64
+    assert {(r.key, r.n) for r in start.collect()} == {("k1", 1), ("k77", 1), ("k4000", 1)}
+    ledger.merge(1, few)
+    assert ledger.current().count() == 200_001
+    assert {r.n for r in ledger.current().filter("key in ('k1', 'k77', 'k4000')").collect()} == {2}
+
+
+def test_ledger_stays_bounded_and_repeats(spark, tmp_path):
+    ledger = KeyLedger(spark, str(tmp_path), ["key"], [StringType()], buckets=4)
+    for batch in range(12):
+        rows = spark.createDataFrame([(f"k{batch % 5}", 1), (None, 1), ("all", 1)], "key string, n int")
+        for _ in range(2):  # every batch twice
+            ledger.merge(batch, rows)
+    assert {r.key: r.n for r in ledger.current().collect()} == {None: 12, "all": 12, "k0": 3, "k1": 3, "k2": 2, "k3": 2, "k4": 2}
+    assert len(list(tmp_path.glob("version=*/bucket=*"))) <= 8
+    assert len(list(tmp_path.glob("manifest/*.json"))) == 2
+    with pytest.raises(ValueError, match="4 buckets"):
+        KeyLedger(spark, str(tmp_path), ["key"], [StringType()], buckets=8).current()
