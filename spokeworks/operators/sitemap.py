@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spokeworks.functions import iso_instant, xml_escape
-from spokeworks.operators.joins import MAX_BROADCAST_ROWS, lookup_join
+from spokeworks.functions import with_iso_instant, xml_escape
+from spokeworks.operators.joins import MAX_BROADCAST_ROWS, bounded_table, lookup_join
 from spokeworks.operators.ordinal import add_ordinal
 from spokeworks.operators.urls import distinct_locations
 
@@ -16,7 +18,6 @@ from spokeworks.operators.urls import distinct_locations
 SITEMAP_SIZE = 5000
 CHANGEFREQ = "weekly"
 PRIORITY = 0.7
-EXCLUDED_PATHS = ("/404", "/bikeride/secret-test")
 
 
 def page_locations(
@@ -30,26 +31,46 @@ def _page(path: Column) -> Column:
     return F.rtrim(path, F.lit("/"))
 
 
-def exclude_paths(locations: DataFrame, excluded: Sequence[str] | DataFrame = EXCLUDED_PATHS) -> DataFrame:
+def exclude_paths(locations: DataFrame, excluded: Sequence[str] | DataFrame) -> DataFrame:
     """Drop locations whose exact path is listed; a trailing slash makes no difference.
 
-    A list becomes a filter. A DataFrame with column `path` may be of any size.
+    A short list becomes a filter, a longer one a table. A DataFrame with
+    column `path` may be of any size. All forms give the same rows.
     """
+    if not isinstance(excluded, DataFrame) and len(excluded) > MAX_BROADCAST_ROWS:
+        excluded = bounded_table(locations.sparkSession, {"path": (pa.string(), excluded)})
     if isinstance(excluded, DataFrame):
         listed = excluded.select(_page(F.col("path")).alias("_page")).distinct()
         return lookup_join(
             locations.withColumn("_page", _page(F.col("path"))), listed, ["_page"], "left_anti"
         ).drop("_page")
-    if len(excluded) > MAX_BROADCAST_ROWS:
-        raise ValueError("pass a long exclude list as a DataFrame")
     return locations.filter(~_page(F.col("path")).isin([path.rstrip("/") for path in excluded]))
 
 
+def build_stamp(text: str) -> str:
+    """An ISO date-time as stamp text in UTC; one without an offset is UTC already."""
+    moment = datetime.fromisoformat(text)
+    moment = moment.astimezone(UTC) if moment.tzinfo else moment
+    return f"{moment:%Y-%m-%dT%H:%M:%S}.{moment.microsecond // 1000:03d}Z"
+
+
 def with_sitemap_fields(
-    locations: DataFrame, build_time: str, changefreq: str = CHANGEFREQ, priority: float = PRIORITY
+    locations: DataFrame,
+    build_time: str | None = None,
+    changefreq: str = CHANGEFREQ,
+    priority: float = PRIORITY,
+    lastmod: str | None = None,
 ) -> DataFrame:
-    """(host, loc, lastmod, changefreq, priority), one build stamp (UTC) for all."""
-    stamp = iso_instant(F.lit(build_time).cast("timestamp_ntz"))
+    """(host, loc, lastmod, changefreq, priority).
+
+    `lastmod` names a date-time column with each page's own stamp; where it is
+    NULL, or without it, the page gets `build_time`. Without either the stamp
+    is NULL, which leaves the element out.
+    """
+    stamp = F.lit(build_stamp(build_time) if build_time else None).cast("string")
+    if lastmod is not None:
+        locations = with_iso_instant(locations, lastmod, "_stamp")
+        stamp = F.coalesce(F.col("_stamp"), stamp)
     return locations.select(
         "host",
         "loc",
@@ -83,14 +104,20 @@ def shard_file(shard: Column) -> Column:
     return F.concat(F.lit("sitemap-"), shard.cast("string"), F.lit(".xml"))
 
 
+def _element(tag: str, text: Column) -> Column:
+    """`<tag>text</tag>`, nothing for NULL."""
+    return F.coalesce(F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>")), F.lit(""))
+
+
 def url_element(loc: Column, lastmod: Column, changefreq: Column, priority: Column) -> Column:
-    """One `<url>` line."""
+    """One `<url>` line; fields that are NULL are left out, a whole priority has no decimals."""
     return F.concat(
-        F.lit("<url><loc>"), xml_escape(loc),
-        F.lit("</loc><lastmod>"), lastmod,
-        F.lit("</lastmod><changefreq>"), changefreq,
-        F.lit("</changefreq><priority>"), priority.cast("string"),
-        F.lit("</priority></url>"),
+        F.lit("<url>"),
+        _element("loc", xml_escape(loc)),
+        _element("lastmod", lastmod),
+        _element("changefreq", changefreq),
+        _element("priority", F.regexp_replace(priority.cast("string"), r"\.0$", "")),
+        F.lit("</url>"),
     )
 
 

@@ -62,6 +62,6 @@ def distinct_locations(
 
     The parts are deduplicated and joined afterwards, so nothing is parsed twice.
     """
-    web = df.filter(url_host(F.col(url)) != "")
-    parts = _with_canonical_parts(web, url, apex, prefer).select("host", "path", "query")
-    return parts.distinct().withColumn(name, _joined())
+    parts = _with_canonical_parts(df, url, apex, prefer).select("host", "path", "query")
+    # The host of anything else is '', folded or not; filtering after the distinct keeps it from being parsed twice.
+    return parts.distinct().filter("host <> ''").withColumn(name, _joined())

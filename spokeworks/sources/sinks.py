@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyarrow import fs
@@ -19,7 +19,7 @@ from spokeworks.operators.sitemap import (
     url_element,
     with_shard,
 )
-from spokeworks.workspace import scratch_table, shuffle_partitions
+from spokeworks.workspace import release, scratch_table, shuffle_partitions
 
 # Fixed values of the sitemap documents.
 XML_DECLARATION = '<?xml version="1.0" encoding="UTF-8"?>'
@@ -33,8 +33,9 @@ URLSET = (
     ' xmlns:video="http://www.google.com/schemas/sitemap-video/1.1"'
 )
 SITEMAP_INDEX = 'sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
-# Fixed lines of robots.txt around the site's address.
-ROBOTS_POLICY = "# *\nUser-agent: *\nAllow: /\n\n# Host\nHost: "
+# Fixed lines of robots.txt: the default policy, and what stands around the site's address.
+ROBOTS_POLICIES = (("*", ("/",), ()),)
+ROBOTS_HOST = "# Host\nHost: "
 ROBOTS_SITEMAP = "\n\n# Sitemaps\nSitemap: "
 
 
@@ -66,50 +67,111 @@ def _store_uri(spark: SparkSession, root: str) -> str:
     return re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]://", "s3://", root))
 
 
-def _file_writer(root: str, header: str, footer: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _file_writer(
+    root: str, staging: str, header: str, footer: str
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Task that streams lines sorted by file into `<root>/<file>`.
 
-    A file is written under a private name and moved when complete, so a
-    repeated task replaces it as a whole.
+    A file is written in the staging folder and moved when complete, so a
+    repeated task replaces it as a whole and a failed one leaves nothing behind.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(root)
+        _, private_base = fs.FileSystem.from_uri(staging)
         name, lines, out, private = None, 0, None, None
 
         def finish() -> pd.DataFrame:
             out.write(footer.encode())
             out.close()
+            store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
             store.move(private, f"{base}/{name}")
             return pd.DataFrame({"file": [name], "lines": [lines]})
 
-        for batch in batches:
-            for file, part in batch.groupby("file", sort=False):
-                if file != name:
-                    if name is not None:
-                        yield finish()
-                    name, lines = file, 0
-                    target = f"{base}/{name}"
-                    store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                    private = f"{target}.{uuid.uuid4().hex}"
-                    out = store.open_output_stream(private)
-                    out.write(header.encode())
-                out.write("".join(part["line"] + "\n").encode())
-                lines += len(part)
-        if name is not None:
-            yield finish()
+        try:
+            for batch in batches:
+                for file, part in batch.groupby("file", sort=False):
+                    if file != name:
+                        if name is not None:
+                            yield finish()
+                        name, lines = file, 0
+                        private = f"{private_base}/{uuid.uuid4().hex}"
+                        store.create_dir(private_base, recursive=True)
+                        out = store.open_output_stream(private)
+                        out.write(header.encode())
+                    out.write("".join(part["line"] + "\n").encode())
+                    lines += len(part)
+            if name is not None:
+                yield finish()
+        except BaseException:
+            if out is not None:
+                out.close()
+            if private is not None and store.get_file_info(private).is_file:
+                store.delete_file(private)
+            raise
 
     return write
 
 
+def _file_remover(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Task that deletes `<root>/<file>` for each row, and its folder once that is empty."""
+
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for file in batch["file"]:
+                if store.get_file_info(f"{base}/{file}").is_file:
+                    store.delete_file(f"{base}/{file}")
+                folder = f"{base}/{file}".rsplit("/", 1)[0]
+                if folder != base and not store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                    if store.get_file_info(folder).type == fs.FileType.Directory:
+                        store.delete_dir(folder)
+            yield batch
+
+    return remove
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _remove_stale(files: DataFrame, root: str, label: str) -> None:
+    """Delete what the last publication under this label wrote and this one did not.
+
+    The list of published files lies beside the public folder, so nothing is
+    listed; tasks delete, spread by host. Until they are done the list has both.
+    """
+    spark = files.sparkSession
+    manifest = f"{root.rstrip('/')}.published/{label}"
+    now = files.select("file")
+    if _exists(spark, manifest):
+        before = scratch_table(spark.read.schema("file string").parquet(manifest), f"{label}-before")
+        before.unionByName(now).distinct().write.mode("overwrite").parquet(manifest)
+        gone = before.join(now, "file", "left_anti")
+        tasks = shuffle_partitions(spark)
+        by_host = gone.repartition(tasks, F.substring_index("file", "/", 1))
+        by_host.mapInPandas(_file_remover(_store_uri(spark, root)), "file string").write.format("noop").mode("overwrite").save()
+    now.write.mode("overwrite").parquet(manifest)
+
+
 def _publish(lines: DataFrame, root: str, header: str, footer: str, label: str) -> DataFrame:
-    """Write (file, seq, line) rows as files; returns the list of files with line counts."""
+    """Write (file, seq, line) rows as files; returns the list of files with line counts.
+
+    Files are staged beside the public folder. Files of an earlier publication
+    that have no place in this one are removed after the new ones stand.
+    """
     spark = lines.sparkSession
     placed = lines.repartition(shuffle_partitions(spark), "file").sortWithinPartitions("file", "seq")
     ordered = placed.select("file", "line")
-    store = _store_uri(spark, root)
-    written = ordered.mapInPandas(_file_writer(store, header, footer), "file string, lines bigint")
-    return scratch_table(written, label)
+    staging = f"{root.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    writer = _file_writer(_store_uri(spark, root), _store_uri(spark, staging), header, footer)
+    try:
+        files = scratch_table(ordered.mapInPandas(writer, "file string, lines bigint"), label)
+    finally:
+        release(spark, staging)
+    _remove_stale(files, root, label)
+    return files
 
 
 def _document(tag: str) -> tuple[str, str]:
@@ -136,10 +198,24 @@ def publish_index(entries: DataFrame, root: str, size: int = SITEMAP_SIZE) -> Da
     return _publish(lines, root, *_document(SITEMAP_INDEX), "index")
 
 
-def publish_robots(entries: DataFrame, root: str) -> DataFrame:
-    """Write `<host>/robots.txt`, which allows everything and points to the index."""
+def robots_policy(policies: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> str:
+    """Lines of robots.txt for each (user agent, allowed paths, disallowed paths)."""
+    blocks = []
+    for agent, allowed, disallowed in policies:
+        lines = [f"# {agent}", f"User-agent: {agent}"]
+        lines += [f"Allow: {path}" for path in allowed] + [f"Disallow: {path}" for path in disallowed]
+        blocks.append("\n".join(lines) + "\n\n")
+    return "".join(blocks)
+
+
+def publish_robots(
+    entries: DataFrame, root: str, policies: Sequence[tuple[str, Sequence[str], Sequence[str]]] = ROBOTS_POLICIES
+) -> DataFrame:
+    """Write `<host>/robots.txt` with the policies and the address of the index."""
     site = F.concat(F.lit("https://"), F.col("host"))
-    text = F.concat(F.lit(ROBOTS_POLICY), site, F.lit(ROBOTS_SITEMAP), site, F.lit("/sitemap.xml"))
+    text = F.concat(
+        F.lit(robots_policy(policies)), F.lit(ROBOTS_HOST), site, F.lit(ROBOTS_SITEMAP), site, F.lit("/sitemap.xml")
+    )
     lines = (
         entries.select("host")
         .distinct()

@@ -2,14 +2,17 @@
 
 from xml.etree import ElementTree
 
+import pandas as pd
 import pytest
+from conftest import settings
 from pyspark.sql import functions as F
 
-from spokeworks.functions import iso_instant, object_key, trailing_slash, xml_escape
+from spokeworks.functions import iso_instant, object_key, trailing_slash, with_iso_instant, xml_escape
 from spokeworks.operators import sitemap
+from spokeworks.operators.joins import MAX_BROADCAST_ROWS
 from spokeworks.operators.urls import with_canonical_url
 from spokeworks.sources import publish_site, publish_sitemaps, read_sitemap, write_sitemap_xml
-from spokeworks.sources.sinks import _store_uri
+from spokeworks.sources.sinks import _store_uri, robots_policy
 
 # url, canonical form for the site example.com with its www host preferred
 URLS = [
@@ -73,18 +76,46 @@ def test_instants(spark):
     }
 
 
+def test_instants_in_any_session_zone(spark):
+    table = spark.sql("SELECT timestamp'2025-03-09 08:05:09.070Z' AS t, timestamp_ntz'2025-03-09 08:05:09.07' AS n, date'2025-03-09' AS d")
+    for zone in ("UTC", "America/New_York", "Asia/Kathmandu"):
+        with settings(spark, spark__sql__session__timeZone=zone):
+            found = [with_iso_instant(table, c, "i").first().i for c in ("t", "n", "d")]
+            assert found == ["2025-03-09T08:05:09.070Z"] * 2 + ["2025-03-09T00:00:00.000Z"]
+
+
+def test_stamps(spark):
+    assert sitemap.build_stamp("2025-01-31 08:05:09.070") == "2025-01-31T08:05:09.070Z"
+    assert sitemap.build_stamp("2025-01-31T08:05:09.070+02:00") == "2025-01-31T06:05:09.070Z"
+    assert sitemap.build_stamp("2025-01-31T08:05:09Z") == "2025-01-31T08:05:09.000Z"
+    rows = [("h", "https://h/a", "2025-02-01 00:00:00"), ("h", "https://h/b", None)]
+    table = spark.createDataFrame(rows, "host string, loc string, changed string")
+    table = table.withColumn("changed", F.col("changed").cast("timestamp_ntz"))
+    mixed = sitemap.with_sitemap_fields(table, "2025-01-31T08:05:09Z", lastmod="changed", priority=1)
+    assert [r.lastmod for r in mixed.orderBy("loc").collect()] == ["2025-02-01T00:00:00.000Z", "2025-01-31T08:05:09.000Z"]
+    bare = sitemap.with_sitemap_fields(table, lastmod="changed", priority=1)
+    columns = [F.col(c) for c in ("loc", "lastmod", "changefreq", "priority")]
+    lines = [r[0] for r in bare.orderBy("loc").select(sitemap.url_element(*columns)).collect()]
+    assert lines[1] == "<url><loc>https://h/b</loc><changefreq>weekly</changefreq><priority>1</priority></url>"
+    assert "<lastmod>2025-02-01T00:00:00.000Z</lastmod>" in lines[0]
+
+
 def test_escape(spark):
     row = spark.range(1).select(xml_escape(F.lit("""a&b<c>"d'&amp;"""))).first()
     assert row[0] == "a&amp;b&lt;c&gt;&quot;d&apos;&amp;amp;"
 
 
+# Fixed values of one site's settings.
+EXCLUDED = ("/404", "/bikeride/secret-test")
+
+
 @pytest.fixture(scope="module")
 def entries(spark):
     urls = [f"http://example.com/p{i:02d}?a={i}&b=<'{i}'>" for i in range(7)]
     urls += ["https://www.example.com/p00?a=0&b=<'0'>", "https://example.com/404", "https://example.com/4040"]
     urls += ["https://example.com/bikeride/secret-test/", "https://other.org/", "not a url", "https://../x"]
     pages = spark.createDataFrame([(u,) for u in urls], "url string")
-    kept = sitemap.exclude_paths(sitemap.page_locations(pages))
+    kept = sitemap.exclude_paths(sitemap.page_locations(pages), EXCLUDED)
     return sitemap.with_sitemap_fields(kept, "2025-04-27 17:45:46.35")
 
 
@@ -100,7 +131,8 @@ def test_excluding_by_table_equals_excluding_by_list(spark, entries):
     pages = spark.createDataFrame([("https://a.org/x",), ("https://a.org/y/",), ("https://a.org/",)], "url string")
     locations = sitemap.page_locations(pages)
     listed = spark.createDataFrame([("/x/",), ("/",), ("/",)], "path string")
-    for excluded in (["/x", "/"], listed):
+    many = ["/x", "/", *(f"/n{i}" for i in range(MAX_BROADCAST_ROWS))]
+    for excluded in (["/x", "/"], listed, many):
         assert [r.loc for r in sitemap.exclude_paths(locations, excluded).collect()] == ["https://www.a.org/y/"]
 
 
@@ -181,6 +213,53 @@ def test_publishing_again_replaces_the_files(entries, tmp_path):
     assert len(list((tmp_path / "site/www.example.com").iterdir())) == 1
 
 
+def published(root):
+    return sorted(str(f.relative_to(root)) for f in root.rglob("*") if f.is_file() and not f.name.endswith(".crc"))
+
+
+def test_shrinking_and_leaving_hosts(entries, tmp_path):
+    root = tmp_path / "site"
+    publish_site(entries, str(root), 2)
+    assert "www.example.com/sitemap-3.xml" in published(root) and "www.other.org/robots.txt" in published(root)
+    fewer = entries.filter("loc like '%/4040/' or loc like '%/p00/%'")
+    publish_site(fewer, str(root), 2)
+    assert published(root) == [f"www.example.com/{n}" for n in ("robots.txt", "sitemap-0.xml", "sitemap.xml")]
+    assert not (root / "www.other.org").exists()
+    publish_site(entries, str(root), 5)
+    assert len(published(root)) == 2 + 3 + 2
+
+
+def test_failed_publication_leaves_the_site_as_it_was(entries, tmp_path):
+    root = tmp_path / "site"
+    publish_site(entries, str(root), 3)
+    before = published(root)
+    shards = sitemap.with_shard(entries, 2)
+    broken = shards.withColumn("changefreq", F.when(F.col("loc") > "https://www.example.com/p02", F.raise_error(F.lit("lost")).cast("string")).otherwise("daily"))
+    with pytest.raises(Exception, match="lost"):
+        publish_sitemaps(broken, str(root))
+    assert published(root) == before
+    assert not list(tmp_path.glob("site.staging-*"))
+
+
+def test_writer_cleans_up_after_itself(tmp_path):
+    from spokeworks.sources.sinks import _file_writer
+
+    def batches():
+        yield pd.DataFrame({"file": ["h/a.xml"], "line": ["x"]})
+        raise OSError("gone")
+
+    writer = _file_writer(f"file://{tmp_path}/site", f"file://{tmp_path}/staging", "", "")
+    with pytest.raises(OSError, match="gone"):
+        list(writer(batches()))
+    assert not [f for f in tmp_path.rglob("*") if f.is_file()]
+
+
+def test_policies():
+    assert robots_policy([("*", ["/"], []), ("bot", [], ["/a", "/b"])]) == (
+        "# *\nUser-agent: *\nAllow: /\n\n# bot\nUser-agent: bot\nDisallow: /a\nDisallow: /b\n\n"
+    )
+
+
 @pytest.mark.parametrize(
     ("root", "uri"),
     [
