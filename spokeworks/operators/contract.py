@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spokeworks.functions import contract_verdict
+from spokeworks.functions import contract_verdict, json_field, keep_last_key
 
 
 def check_payloads(payloads: DataFrame, field: str, status: str = "status", body: str = "body") -> DataFrame:
-    """Add `verdict`: 'pass', 'bad_status', 'unparseable', 'missing' or 'not_numeric'."""
-    return payloads.withColumn("verdict", contract_verdict(F.col(status), F.col(body), field))
+    """Add `verdict`: 'pass', 'bad_status', 'unparseable', 'missing' or 'not_numeric'.
+
+    A key that an object repeats has its last value. The verdict is generated
+    rather than projected, so that a filter on it does not compute it again.
+    """
+    verdict = contract_verdict(F.col(status), F.col(body), field)
+    with keep_last_key(payloads.sparkSession):
+        return payloads.select("*", F.inline(F.array(F.struct(verdict.alias("verdict")))))
+
+
+def with_json_field(payloads: DataFrame, field: str, as_type: str, name: str | None = None, body: str = "body") -> DataFrame:
+    """Add top-level `field` as `as_type`; NULL for broken payloads and missing fields, the last of a repeated key."""
+    with keep_last_key(payloads.sparkSession):
+        return payloads.withColumn(name or field, json_field(F.col(body), field, as_type))
 
 
 def passing(checked: DataFrame) -> DataFrame:

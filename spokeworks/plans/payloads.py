@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.functions import json_field
 from spokeworks.operators import contract
-from spokeworks.sources import read_table
+from spokeworks.sources import read_payloads, read_table
+from spokeworks.workspace import scratch_path
 
 _FIELD = "k"
 
@@ -24,6 +24,7 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
         .when(i % 29 == 0, F.regexp_replace(props, digits, "$1.5"))
         .when(i % 31 == 0, F.concat(props, F.lit(" x")))
         .when(i % 37 == 0, F.regexp_replace(props, digits, "[$1]"))
+        .when(i % 41 == 0, F.concat(F.lit('{"k": 7, "j": 1, "j": 2, '), F.substr(props, F.lit(2))))
         .otherwise(props)
     )
     status = F.when(i % 11 == 0, 500).otherwise(200)
@@ -31,7 +32,7 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def json_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return payloads(spark, folder).select("event_id", json_field(F.col("body"), _FIELD, "double").alias("k"))
+    return contract.with_json_field(payloads(spark, folder), _FIELD, "double").select("event_id", "k")
 
 
 def _checked(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,6 +47,21 @@ def json_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     return contract.quarantined(_checked(spark, folder)).select("event_id", "status", "body", "verdict")
 
 
+def json_gated(spark: SparkSession, folder: str) -> DataFrame:
+    """Payloads written in one pass, a folder per verdict, and read back."""
+    path = scratch_path(spark, "gated")
+    contract.write_gated(_checked(spark, folder), path)
+    return spark.read.parquet(path).select("event_id", "status", "body", "verdict")
+
+
+def payload_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Bodies written one per line, read back as text and gated: verdict and body of each."""
+    path = scratch_path(spark, "lines")
+    payloads(spark, folder).select(F.col("body").alias("value")).write.text(path)
+    read = read_payloads(spark, path).withColumn("status", F.lit(200))
+    return contract.check_payloads(read, _FIELD).select("body", "verdict")
+
+
 def json_passing(spark: SparkSession, folder: str) -> DataFrame:
     return contract.passing(_checked(spark, folder)).select("event_id", "body")
 
@@ -55,6 +71,8 @@ QUERIES = {
     "json_contract": json_contract,
     "json_quarantine": json_quarantine,
     "json_passing": json_passing,
+    "json_gated": json_gated,
+    "payload_lines": payload_lines,
 }
 
 _PAYLOAD_SQL = """
@@ -67,9 +85,14 @@ WITH p AS (
          WHEN event_id % 29 = 0 THEN regexp_replace(props, '([0-9]+)', '\\1.5')
          WHEN event_id % 31 = 0 THEN props || ' x'
          WHEN event_id % 37 = 0 THEN regexp_replace(props, '([0-9]+)', '[\\1]')
+         WHEN event_id % 41 = 0 THEN '{"k": 7, "j": 1, "j": 2, ' || substr(props, 2)
          ELSE props END AS body
   FROM events),
-typed AS (SELECT *, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN body END AS doc FROM p),
+typed AS (
+  SELECT *, json_valid(body) AS ok,
+    -- the last of a repeated key counts
+    CASE WHEN json_valid(body) THEN replace(body, '{"k": 7, "j": 1, "j": 2, ', '{') END AS doc
+  FROM p),
 checked AS (
   SELECT event_id, status, body, doc,
     CASE WHEN status <> 200 THEN 'bad_status'
@@ -88,4 +111,7 @@ SQL = {
     "json_quarantine": _PAYLOAD_SQL
     + "SELECT event_id, status, body, verdict FROM checked WHERE verdict <> 'pass'",
     "json_passing": _PAYLOAD_SQL + "SELECT event_id, body FROM checked WHERE verdict = 'pass'",
+    "json_gated": _PAYLOAD_SQL + "SELECT event_id, status, body, verdict FROM checked",
+    "payload_lines": _PAYLOAD_SQL.replace("THEN 500 ELSE 200", "THEN 200 ELSE 200")
+    + "SELECT body, verdict FROM checked",
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.functions import fixed1_text, parse_float, parse_int, tenths_text
+from spokeworks.functions import fixed1_text, parse_float, parse_int
 from spokeworks.operators import nutrition, scoring
-from spokeworks.sources import read_table
+from spokeworks.sources import read_profiles, read_table
+from spokeworks.workspace import scratch_path
 
 _WIDTHS = ["23", "25", "28", "30", "32", "27", "x"]
 
@@ -57,13 +58,23 @@ def psi_score(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.score_profiles(rider_profiles(spark, folder)).select("profile_id", "psi")
 
 
+def psi_score_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles written as CSV and read back as raw text before scoring."""
+    path = scratch_path(spark, "profiles-csv")
+    rider_profiles(spark, folder).write.option("header", True).csv(path)
+    return scoring.score_profiles(read_profiles(spark, path)).select("profile_id", "psi")
+
+
 def psi_message(spark: SparkSession, folder: str) -> DataFrame:
     return psi_score(spark, folder).select("profile_id", scoring.psi_message(F.col("psi")).alias("message"))
 
 
 def to_fixed_1(spark: SparkSession, folder: str) -> DataFrame:
+    """Thirds of prices; every 89th order's are scaled beyond a bigint, every 97th's beyond plain digits."""
+    order = F.col("l_orderkey")
+    scale = F.when(order % 89 == 0, 2.0**50).when(order % 97 == 0, 2.0**80).otherwise(1.0)
     third = read_table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 3).alias("third")
+        "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 3 * scale).alias("third")
     )
     return third.select("l_orderkey", "l_linenumber", fixed1_text(F.col("third")).alias("rounded"))
 
@@ -74,8 +85,7 @@ def _planned(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def carb_plan(spark: SparkSession, folder: str) -> DataFrame:
-    tenths = F.col("carbs_tenths")
-    return _planned(spark, folder).select("c_custkey", tenths, tenths_text(tenths).alias("carbs"))
+    return _planned(spark, folder).select("c_custkey", "carbs_tenths", "carbs")
 
 
 def carb_food_equivalents(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,6 +101,7 @@ QUERIES = {
     "weight_band": weight_band,
     "psi_adjustment_lookup": psi_adjustment_lookup,
     "psi_score": psi_score,
+    "psi_score_csv": psi_score_csv,
     "psi_message": psi_message,
     "to_fixed_1": to_fixed_1,
     "carb_plan": carb_plan,
@@ -119,6 +130,7 @@ num AS (
 band AS (
   SELECT *, CASE WHEN total < 180 THEN 'light' WHEN total > 200 THEN 'heavy' ELSE 'medium' END AS band
   FROM num),
+-- fixed values of the pressure adjustment table
 adj(w, b, a) AS (VALUES
   (23, 'light', -5), (23, 'medium', 0), (23, 'heavy', 5),
   (25, 'light', -20), (25, 'medium', -15), (25, 'heavy', -10),
@@ -170,10 +182,17 @@ SQL = {
     "weight_band": _PROFILE_SQL + "SELECT profile_id, band FROM scored",
     "psi_adjustment_lookup": _PROFILE_SQL + "SELECT profile_id, adjustment FROM scored",
     "psi_score": _PROFILE_SQL + "SELECT profile_id, psi FROM scored",
+    "psi_score_csv": _PROFILE_SQL + "SELECT profile_id, psi FROM scored",
     "psi_message": _PROFILE_SQL
     + "SELECT profile_id, 'Your recommended tire PSI is ' || psi || '.' AS message FROM scored",
     "to_fixed_1": f"""
-SELECT l_orderkey, l_linenumber, {_fixed1_sql('l_extendedprice / 3')} AS rounded FROM lineitem""",
+WITH t AS (
+  SELECT l_orderkey, l_linenumber, l_extendedprice / 3 * CASE WHEN l_orderkey % 89 = 0 THEN {2.0**50}::DOUBLE
+    WHEN l_orderkey % 97 = 0 THEN {2.0**80}::DOUBLE ELSE 1 END AS x
+  FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN x >= 1e21 THEN CAST(x AS VARCHAR)
+  WHEN x >= 9e15 THEN CAST(CAST(x AS HUGEINT) AS VARCHAR) || '.0' ELSE {_fixed1_sql('x')} END AS rounded
+FROM t""",
     "carb_plan": _CARB_SQL + f"SELECT c_custkey, {_tenths_sql('carbs')} AS carbs_tenths, carbs FROM c",
     "carb_food_equivalents": _CARB_SQL
     + f"SELECT c_custkey, food, {_tenths_sql('pieces')} AS pieces_tenths FROM per",
@@ -184,6 +203,7 @@ SELECT l_orderkey, l_linenumber, {_fixed1_sql('l_extendedprice / 3')} AS rounded
     COALESCE(max(CASE WHEN food = 'gel' THEN pieces END), 'NaN') AS gels,
     COALESCE(max(CASE WHEN food = 'taco' THEN pieces END), 'NaN') AS tacos
   FROM per JOIN c USING (c_custkey) GROUP BY c_custkey)
+-- fixed wording of the recommendation
 SELECT c_custkey, 'Your recommended number of carbs per hour is ' || carbs
   || '. You could get this amount of nutrition from ' || bananas || ' bananas, ' || gels
   || ' Gu gel packets, or ' || tacos || ' tacos per hour. (Don''t forget to take into account any carbs '

@@ -27,16 +27,21 @@ def non_apex_hosts(spark: SparkSession, folder: str) -> DataFrame:
     return hosts.filter(keyed.outside_apex(F.col("host"), apex)).select("page_id", "host")
 
 
-def unique_key_map(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders of a customer as order number -> status, printed as sorted text."""
+def unique_key_map(spark: SparkSession, folder: str, max_entries: int | None = None) -> DataFrame:
+    """All orders of a customer as order number -> status, printed as sorted text."""
     orders = read_table(spark, folder, "orders").select(
         "o_custkey", F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderstatus").alias("value")
     )
-    maps = keyed.unique_key_maps(orders, ["o_custkey"], "name", "value", _MAX_ENTRIES)
+    maps = keyed.unique_key_maps(orders, ["o_custkey"], "name", "value", max_entries)
     printed = F.array_join(
         F.transform(F.map_entries("entries"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","
     )
-    return maps.select("o_custkey", "part", printed.alias("entries"))
+    return maps.select("o_custkey", *(["part"] if max_entries else []), printed.alias("entries"))
+
+
+def unique_key_map_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in parts of a few entries."""
+    return unique_key_map(spark, folder, _MAX_ENTRIES)
 
 
 def flatten_sections(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +63,7 @@ QUERIES = {
     "keyed_records": keyed_records,
     "non_apex_hosts": non_apex_hosts,
     "unique_key_map": unique_key_map,
+    "unique_key_map_parts": unique_key_map_parts,
     "flatten_sections": flatten_sections,
 }
 
@@ -73,7 +79,11 @@ SQL = {
     "non_apex_hosts": _HOST_SQL
     + """SELECT page_id, host FROM (SELECT *, regexp_replace(host, '^(www|blog|m)\\.', '') AS apex FROM h)
 WHERE host <> apex AND host <> 'www.' || apex""",
-    "unique_key_map": f"""
+    "unique_key_map": """
+SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR) || '=' || o_orderstatus, ',' ORDER BY CAST(o_orderkey AS VARCHAR))
+  AS entries
+FROM orders GROUP BY o_custkey""",
+    "unique_key_map_parts": f"""
 WITH n AS (
   SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS name, o_orderstatus AS value,
     (row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderkey AS VARCHAR)) - 1) // {_MAX_ENTRIES} AS part

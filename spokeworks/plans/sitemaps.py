@@ -10,6 +10,7 @@ from spokeworks.plans.web import CANONICAL_SQL, canonical_pages
 from spokeworks.sources import (
     publish_index,
     publish_robots,
+    publish_site,
     publish_sitemaps,
     read_sitemap,
     read_table,
@@ -23,6 +24,7 @@ _STAMP = "2025-01-31T08:05:09.070Z"
 _HOST_SIZE = 20
 _SITE_SIZE = 40
 _SPAM = "(pills|spam)"
+_LISTED = ("/", "/blog/", "/index.html", "/about")
 
 
 def _kept(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,6 +90,34 @@ def sitemap_publish_index(spark: SparkSession, folder: str) -> DataFrame:
     return _published_lines(spark, root)
 
 
+def site_publish(spark: SparkSession, folder: str) -> DataFrame:
+    """Files and line counts after a whole site was published, then again without its bare-www hosts' spam."""
+    root = scratch_path(spark, "site-files")
+    entries = _entries(spark, folder)
+    everything = sitemap.with_sitemap_fields(
+        sitemap.page_locations(read_table(spark, folder, "pages"), prefer="bare"), _BUILD_TIME
+    )
+    publish_site(everything, root, _HOST_SIZE)
+    publish_site(entries, root, _HOST_SIZE)
+    return _published_lines(spark, root).groupBy("file").agg(F.count("*").alias("lines"))
+
+
+def sitemap_exclude_list(spark: SparkSession, folder: str) -> DataFrame:
+    """Locations whose path is not in a list."""
+    locations = sitemap.page_locations(read_table(spark, folder, "pages"), prefer="bare")
+    return sitemap.exclude_paths(locations, _LISTED).select("loc")
+
+
+def sitemap_lastmod(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries with a stamp per page, by the length of its path; long ones take the build's."""
+    locations = _kept(spark, folder)
+    size = F.length("path")
+    moment = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=size)
+    dated = locations.withColumn("changed", F.when(size < 20, moment))
+    entries = sitemap.with_sitemap_fields(dated, "2025-01-31T10:05:09.070+02:00", lastmod="changed")
+    return entries.select("loc", "lastmod")
+
+
 def robots_txt(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of all published robots.txt files."""
     root = scratch_path(spark, "robots-files")
@@ -105,6 +135,9 @@ QUERIES = {
     "sitemap_publish": sitemap_publish,
     "sitemap_publish_index": sitemap_publish_index,
     "robots_txt": robots_txt,
+    "site_publish": site_publish,
+    "sitemap_exclude_list": sitemap_exclude_list,
+    "sitemap_lastmod": sitemap_lastmod,
 }
 
 _ENTRY_SQL = (
@@ -121,6 +154,7 @@ files AS (SELECT DISTINCT host, shard FROM sharded)
 """
 )
 
+# Fixed lines of the sitemap documents and of robots.txt.
 _URLSET_LINE = (
     '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     ' xmlns:news="http://www.google.com/schemas/sitemap-news/0.9"'
@@ -157,6 +191,18 @@ UNION ALL
 SELECT host || '/sitemap.xml', unnest(['{_DECLARATION_LINE}',
   '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', '</sitemapindex>'])
 FROM (SELECT DISTINCT host FROM files)""",
+    "site_publish": _ENTRY_SQL
+    + """
+SELECT host || '/sitemap-' || shard || '.xml' AS file, count(*) + 3 AS lines FROM sharded GROUP BY host, shard
+UNION ALL SELECT host || '/sitemap.xml', count(*) + 3 FROM files GROUP BY host
+UNION ALL SELECT DISTINCT host || '/robots.txt', 9 FROM files""",
+    "sitemap_exclude_list": _ENTRY_SQL
+    + "SELECT loc FROM uniq WHERE page NOT IN ('', '/blog', '/index.html', '/about')",
+    "sitemap_lastmod": _ENTRY_SQL
+    + f"""
+SELECT loc, coalesce(CASE WHEN length(path) < 20 THEN
+    strftime(TIMESTAMP '2025-01-01' + to_days(CAST(length(path) AS INTEGER)), '%Y-%m-%dT%H:%M:%S.000Z') END, '{_STAMP}') AS lastmod
+FROM (SELECT DISTINCT host, path, loc FROM located) JOIN kept USING (host, loc)""",
     "robots_txt": _ENTRY_SQL
     + """
 SELECT host || '/robots.txt' AS file, unnest(['# *', 'User-agent: *', 'Allow: /', '', '# Host',

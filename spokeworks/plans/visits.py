@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spokeworks.functions import count_label, iso_instant
 from spokeworks.operators import counts
+from spokeworks.operators.ordinal import add_ordinal
 from spokeworks.sources import read_table, stream_table
 from spokeworks.streaming import visits as streams
 from spokeworks.workspace import scratch_path
@@ -14,6 +15,7 @@ from spokeworks.workspace import scratch_path
 _KEY = ["event_type"]
 _ORDER = ["ts", "event_id"]
 _SITE = "example.com"
+_BATCHES = 3
 
 
 def _hits(table: DataFrame) -> DataFrame:
@@ -33,6 +35,12 @@ def visit_ordinal(spark: SparkSession, folder: str) -> DataFrame:
     return counts.visit_ordinals(hits, _KEY, _ORDER).select("event_id", "event_type", "visit_no")
 
 
+def visit_ordinal_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Ordinals per key with a bound so small that every key is spread over tasks."""
+    hits = _hits(read_table(spark, folder, "events"))
+    return add_ordinal(hits, _ORDER, _KEY, "visit_no", hot_key_rows=10).select("event_id", "event_type", "visit_no")
+
+
 def visit_ordinal_site(spark: SparkSession, folder: str) -> DataFrame:
     hits = _hits(read_table(spark, folder, "events")).drop("event_type")
     return counts.visit_ordinals(hits, [], _ORDER).select("event_id", "visit_no")
@@ -51,16 +59,28 @@ def iso_instants(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "events").select("event_id", iso_instant(F.col("ts")).alias("instant"))
 
 
+def _feed(spark: SparkSession, folder: str, work: str) -> DataFrame:
+    """All hits as a stream of several micro-batches, in order of time."""
+    events = _hits(read_table(spark, folder, "events"))
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    width = max((last - first) // _BATCHES + 1, 1) if first is not None else 1
+    for n in range(_BATCHES):  # one file after the other: the stream takes the oldest first
+        part = events if first is None else events.filter(F.floor((seconds - F.lit(first)) / width) == n)
+        part.coalesce(1).write.mode("append").parquet(f"{work}/feed")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/feed")
+
+
 def stream_visit_total(spark: SparkSession, folder: str) -> DataFrame:
     work = scratch_path(spark, "stream-totals")
     events = stream_table(spark, folder, "events")
     streams.start_visit_totals(events, _KEY, f"{work}/out", f"{work}/checkpoint", availableNow=True).awaitTermination()
-    return streams.read_visit_totals(spark, f"{work}/out", _KEY)
+    return streams.read_visit_totals(events, f"{work}/out", _KEY)
 
 
 def stream_visit_ordinal(spark: SparkSession, folder: str) -> DataFrame:
     work = scratch_path(spark, "stream-ordinals")
-    hits = _hits(stream_table(spark, folder, "events"))
+    hits = _feed(spark, folder, work)
     streams.start_visit_ordinals(
         hits, _KEY, _ORDER, f"{work}/out", f"{work}/checkpoint", availableNow=True
     ).awaitTermination()
@@ -72,6 +92,7 @@ QUERIES = {
     "visit_total_site": visit_total_site,
     "visit_ordinal": visit_ordinal,
     "visit_ordinal_site": visit_ordinal_site,
+    "visit_ordinal_split": visit_ordinal_split,
     "count_label": count_labels,
     "iso_instant": iso_instants,
     "stream_visit_total": stream_visit_total,
@@ -87,6 +108,7 @@ SQL = {
     "visit_total": _TOTAL_SQL,
     "visit_total_site": "SELECT count(*) AS visits FROM events",
     "visit_ordinal": _ORDINAL_SQL,
+    "visit_ordinal_split": _ORDINAL_SQL,
     "visit_ordinal_site": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS visit_no FROM events",
     "count_label": """
 SELECT c_custkey AS user_id,

@@ -9,6 +9,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A JSON object that repeats a key has its last value, as in JavaScript.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open_jobs: list[str] = []
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only for an unconfigured local session."""
+    """The shared folder: `spark.checkpoint.dir`, else a folder of the warehouse, which all executors share too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spokeworks-"))
-    return spark.sparkContext.getCheckpointDir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch").rstrip("/")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Everything one application writes lies under its id."""
+    return f"{scratch_root(spark)}/spokeworks/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path; everything one application writes lies under its application id."""
-    app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark)}/spokeworks/{app}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder, or in that of the innermost open `job`."""
+    own = _open_jobs[-1] if _open_jobs else application_folder(spark)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession, path: str | None = None) -> None:
+    """Delete the application's intermediate tables, or those at `path`; frames that read them end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path or application_folder(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def job(spark: SparkSession, label: str = "job") -> Iterator[str]:
+    """Intermediate tables written in this block go when it ends: write the result inside."""
+    path = scratch_path(spark, label)
+    _open_jobs.append(path)
+    try:
+        yield path
+    finally:
+        _open_jobs.remove(path)
+        release(spark, path)
 
 
 def scratch_table(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:

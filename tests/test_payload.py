@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from conftest import settings
 from pyspark.sql import functions as F
 
 from spokeworks.functions import count_label, json_field
@@ -74,22 +75,15 @@ def _damaged(rng, text):
 
 
 def _strict_verdict(text):
-    """What a strict parser says; None for repeated keys, which parsers treat differently."""
-    repeated = []
-
-    def pairs(items):
-        repeated.extend([True] if len(dict(items)) < len(items) else [])
-        return dict(items)
+    """What a strict parser says that keeps the last of repeated keys."""
 
     def constant(name):
         raise ValueError(name)
 
     try:
-        value = json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+        value = json.loads(text, parse_constant=constant)
     except ValueError:
-        return None if repeated else "unparseable"
-    if repeated:
-        return None
+        return "unparseable"
     if not isinstance(value, dict) or "count" not in value:
         return "missing"
     return "pass" if type(value["count"]) in (int, float) else "not_numeric"
@@ -114,6 +108,24 @@ def test_split_keeps_every_row(checked, tmp_path, spark):
     assert {r.verdict: r["count"] for r in back.groupBy("verdict").count().collect()} == counted
 
 
+def test_repeated_keys_keep_the_last(spark):
+    rows = [(200, '{"count": "x", "count": 5}'), (200, '{"a": 1, "a": 2, "count": 1}'), (200, '{"count": 5, "count": null}'), (200, '{"a": {"b": 1, "b": 2}, "count": 7}')]
+    table = spark.createDataFrame(rows, "status int, body string")
+    with settings(spark, spark__sql__variant__allowDuplicateKeys="false"):
+        verdicts = contract.check_payloads(table, "count")
+        values = contract.with_json_field(table, "count", "bigint")
+        assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+    assert [r.verdict for r in verdicts.collect()] == ["pass", "pass", "not_numeric", "pass"]
+    assert [r["count"] for r in values.collect()] == [5, 1, None, 7]
+
+
+def test_field_names_with_quotes(spark):
+    table = spark.createDataFrame([('{"a\\"b": 1, "c\'d": 2}',)], "body string")
+    assert table.select(json_field(F.col("body"), "c'd", "int")).first()[0] == 2
+    with pytest.raises(ValueError, match="both kinds"):
+        json_field(F.col("body"), "a'\"", "int")
+
+
 def test_fields(spark):
     table = spark.createDataFrame([('{"quote": "hi \\"you\\""}',), ('{"quote": 1} x',), ("{}",)], "body string")
     quotes = [r[0] for r in table.select(json_field(F.col("body"), "quote", "string")).collect()]

@@ -1,6 +1,7 @@
 """Physical plans, scratch folders and session settings."""
 
 import re
+from pathlib import Path
 
 import pytest
 
@@ -53,25 +54,42 @@ def test_scratch_lies_in_the_configured_folder(spark):
     assert workspace.scratch_path(spark, "a") != workspace.scratch_path(spark, "a")
 
 
-class _Context:
-    def __init__(self, master):
-        self.master = master
+class _Session:
+    """A session without a checkpoint folder."""
 
-    def getCheckpointDir(self):
-        return None
+    class sparkContext:  # noqa: N801
+        getCheckpointDir = staticmethod(lambda: None)
 
+    conf = {"spark.sql.warehouse.dir": "store://shared/warehouse/"}
+
+
+def test_without_a_folder_the_warehouse_serves():
+    assert workspace.scratch_root(_Session) == "store://shared/warehouse/scratch"
+
+
+def test_job_removes_its_tables(spark, tmp_path):
+    with workspace.job(spark) as path:
+        table = workspace.scratch_table(spark.range(5).toDF("x"), "numbers")
+        assert table.inputFiles()[0].startswith(f"file://{path}")
+        table.write.parquet(str(tmp_path / "result"))
+    assert not Path(path).exists()
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 5
+    other = workspace.scratch_table(spark.range(1).toDF("x"), "numbers")
+    workspace.release(spark, other.inputFiles()[0].rsplit("/", 1)[0])
+    assert not Path(other.inputFiles()[0].removeprefix("file://")).exists()
+
+
+def _parses(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
 
-class _Session:
-    """A session without a checkpoint folder."""
 
-    def __init__(self, master):
-        self.sparkContext = _Context(master)
-        self.conf = {}
+def test_verdicts_are_computed_once(spark):
+    whole = _parses(QUERIES["json_contract"](spark, FOLDER))
+    assert whole and _parses(QUERIES["json_quarantine"](spark, FOLDER)) == _parses(QUERIES["json_passing"](spark, FOLDER)) == whole
 
 
-def test_cluster_needs_a_shared_folder():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        workspace.scratch_root(_Session("spark://host:7077"))
+def test_whole_maps_take_one_shuffle(spark):
+    assert plan(QUERIES["unique_key_map"](spark, FOLDER)).count("Exchange") == 1
 
 
 def test_profiles_from_csv(spark, tmp_path):
