@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spokeworks.llm.labelled import SAMPLE_DOCS, labelled_sample
+from spokeworks.llm.tables import written
+from spokeworks.llm.textbytes import text_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -45,47 +47,58 @@ def features(text: str | None) -> set[str]:
     return words.union(f"{w[:n]}*" for n in PREFIXES for w in words if len(w) > n)
 
 
-def _select(bags: list[set[str]], toxic: np.ndarray, surprise: float, ratio: float) -> dict[str, int]:
-    """Features `ratio` times as frequent in toxic texts, beyond chance: log-likelihood ratio of `surprise` or more."""
-    yes, no = Counter(), Counter()
-    for bag, one in zip(bags, toxic.tolist()):
-        (yes if one else no).update(bag)
-    n_yes, n_no = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, yes, no): in how many toxic and other texts of a batch each feature is."""
+    for batch in batches:
+        for part in text_slices(batch, 0):
+            yes, no = Counter(), Counter()
+            for body, label in zip(part.column(0), part.column(1)):
+                (yes if label.as_py() > 0.5 else no).update(features(body.as_py()))
+            names = sorted(yes.keys() | no.keys())
+            columns = [pa.array(names, pa.string()), pa.array([yes[f] for f in names], pa.int64()), pa.array([no[f] for f in names], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["feature", "yes", "no"])
+
+
+def select_features(sample: DataFrame, surprise: float = 14.0, ratio: float = 4.0) -> list[str]:
+    """Features `ratio` times as frequent in toxic texts, beyond chance: log-likelihood ratio of `surprise` or more.
+
+    Counted in tasks; the driver gets the chosen ones, `MOST_FEATURES` at most.
+    """
+    toxic = F.col("label") > 0.5
+    n_yes, n_no = sample.agg(F.sum(toxic.cast("bigint")), F.sum((~toxic).cast("bigint"))).first()
+    n_yes, n_no = max(n_yes or 0, 1), max(n_no or 0, 1)
+    counts = sample.mapInArrow(_feature_counts, "feature string, yes bigint, no bigint").groupBy("feature")
+    counts = counts.agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).filter("yes > 0")
     share = n_yes / (n_yes + n_no)
-    found = []
-    for f, k in yes.items():
-        rest = no[f]
-        if k / n_yes < ratio * (rest + 0.5) / n_no:
-            continue
-        expected = (k + rest) * share
-        gain = 2 * (k * np.log(k / expected) + (rest * np.log(rest / (k + rest - expected)) if rest else 0))
-        if gain >= surprise:
-            found.append((-gain, f))
-    return {f: i for i, (_, f) in enumerate(sorted(found)[:MOST_FEATURES])}
-
-
-def fit(bags: list[set[str]], grades: np.ndarray, top: int, steps: int = 600, ridge: float = 5e-5, surprise: float = 14.0, ratio: float = 4.0) -> Model:
+    both = F.col("yes") + F.col("no")
+    part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+    gain = 2 * (part(F.col("yes"), both * share) + part(F.col("no"), both * (1 - share)))
+    frequent = F.col("yes") / n_yes >= ratio * (F.col("no") + 0.5) / n_no
+    chosen = counts.withColumn("gain", gain).filter(frequent & (F.col("gain") >= surprise))
+    return [row["feature"] for row in chosen.orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).collect()]
+
+
+def fit(rows: list[np.ndarray], names: list[str], grades: np.ndarray, top: int, steps: int = 600, ridge: float = 5e-5) -> Model:
     """Maximum likelihood by Adam over the weights, the first threshold and the log gaps above it.
 
-    Grades run from 0 to `top`. Weights are kept non-negative, as features were
-    chosen for occurring with toxicity. Without graded or without ungraded
-    texts there are no features and the thresholds follow the shares.
+    `rows` holds each text's feature numbers. Grades run from 0 to `top`.
+    Weights are kept non-negative, as features were chosen for occurring with
+    toxicity. Without features the thresholds follow the shares of grades.
     """
-    number = _select(bags, grades > 0, surprise, ratio)
-    rows = [np.fromiter((number[f] for f in bag if f in number), np.int64) for bag in bags]
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    at = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
     shares = np.array([np.clip((grades > k).mean() if len(grades) else 0.5, 0.002, 0.998) for k in range(top)])
     limits = np.maximum.accumulate(-np.log(shares / (1 - shares)) + 1e-3 * np.arange(top))
-    w, first, gaps = np.zeros(len(number)), limits[:1].copy(), np.log(np.maximum(np.diff(limits), 1e-2))
+    w, first, gaps = np.zeros(len(names)), limits[:1].copy(), np.log(np.maximum(np.diff(limits), 1e-2))
     state = [(np.zeros_like(v), np.zeros_like(v)) for v in (w, first, gaps)]
     n = max(len(grades), 1)
-    for step in range(1, steps + 1 if len(number) else 1):
+    for step in range(1, steps + 1 if len(at) else 1):
         t = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
         signal = np.bincount(of, w[at], len(rows))
         p = 1 / (1 + np.exp(-np.clip(signal[:, None] - t, -50, 50)))
         edges = np.concatenate([np.ones((len(rows), 1)), p, np.zeros((len(rows), 1))], axis=1)
-        chosen = np.maximum(np.take_along_axis(edges, grades[:, None], 1) - np.take_along_axis(edges, grades[:, None] + 1, 1), 1e-9)[:, 0]
+        chosen = np.take_along_axis(edges, grades[:, None], 1) - np.take_along_axis(edges, grades[:, None] + 1, 1)
+        chosen = np.maximum(chosen, 1e-9)[:, 0]
         slope = p * (1 - p)
         d = np.zeros_like(p)  # d(-log likelihood) / d(signal - t_k)
         for k in range(top):
@@ -99,19 +112,19 @@ def fit(bags: list[set[str]], grades: np.ndarray, top: int, steps: int = 600, ri
             value -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         np.maximum(w, 0, out=w)
     t = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-    return Model({f: float(w[i]) for f, i in number.items() if w[i] > 1e-3}, t)
+    return Model({f: float(x) for f, x in zip(names, w) if x > 1e-3}, t)
 
 
-def grade_by_evidence(bags: list[set[str]], toxic: np.ndarray, surprise: float = 14.0, ratio: float = 4.0) -> np.ndarray:
+def grade_by_evidence(rows: list[np.ndarray], names: list[str], toxic: np.ndarray) -> np.ndarray:
     """Grades 0 to 3 from labels that only say whether a text is toxic.
 
     0 is not toxic. Toxic texts are cut into thirds by how many words they
     have that the sample ties to toxicity: mild, strong, severe.
     """
-    number = _select(bags, toxic, surprise, ratio)
-    counts = np.array([sum(1 for f in bag if f in number and not f.endswith("*")) for bag in bags])
+    word = np.array([not f.endswith("*") for f in names], bool)
+    counts = np.array([int(word[r].sum()) if len(r) else 0 for r in rows])
     if not toxic.any():
-        return np.zeros(len(bags), np.int64)
+        return np.zeros(len(rows), np.int64)
     cuts = np.quantile(counts[toxic], [1 / 3, 2 / 3])
     return np.where(toxic, 1 + (counts > cuts[0]) + (counts > cuts[1]), 0).astype(np.int64)
 
@@ -122,19 +135,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     With `graded` the label is the grade itself; otherwise it is 0 or 1 and
     grades follow from `grade_by_evidence`. The thresholds are then moved so
     that the first one fits the toxic share of all labels, not of the sample.
+    The driver gets each text's label and numbers of chosen features.
     """
+    sample = written(labelled_sample(docs, labels, label, doc_id, text, most, each=F.col("label") > 0), "toxic-sample")
+    names = select_features(sample)
+    sent = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = sent.value
         for batch in batches:
-            bags = [" ".join(sorted(features(x.as_py()))) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bags, pa.string())], ["label", "bag"])
-
-    sample = labelled_sample(docs, labels, label, doc_id, text, most, each=F.col("label") > 0)
-    rows = sample.mapInArrow(run, "label double, bag string").orderBy("bag", "label").toArrow()
-    bags = [set(b.split()) for b in rows.column("bag").to_pylist()]
-    values = np.rint(rows.column("label").to_numpy()).astype(np.int64)
-    grades = values if graded else grade_by_evidence(bags, values > 0)
-    model = fit(bags, grades, max(int(grades.max(initial=1)), 1))
+            rows = [sorted(number[f] for f in features(x.as_py()) & number.keys()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["label", "row"])
+
+    found = sample.mapInArrow(run, "label double, row array<int>").orderBy("label", "row").toArrow()
+    rows = [np.array(r, np.int64) for r in found.column("row").to_pylist()]
+    values = np.rint(found.column("label").to_numpy()).astype(np.int64)
+    grades = values if graded else grade_by_evidence(rows, names, values > 0)
+    model = fit(rows, names, grades, max(int(grades.max(initial=1)), 1))
     real = labels.filter(F.col(label).isNotNull()).agg(F.avg((F.col(label) > 0).cast("double"))).first()[0]
     if real and real < 1 and 0 < (values > 0).sum() < len(values):
         there = (values > 0).mean()

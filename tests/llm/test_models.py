@@ -62,17 +62,20 @@ def test_toxicity_of_held_out_documents(small):
     assert len(toxic) > 50 and np.mean(toxic) > 0.95
 
 
-def test_ordinal_model_orders_grades():
+def test_ordinal_model_orders_grades(spark):
     draw = np.random.default_rng(1)
-    bags, grades = [], []
+    texts, grades = [], []
     for grade in range(4):
         for _ in range(60):
-            bags.append({f"bad{k}" for k in range(2 * grade)} | {f"w{draw.integers(500)}" for _ in range(5)})
+            texts.append(" ".join([*(f"bad{'abcdef'[k]}" for k in range(2 * grade)), *(f"w{'abcdefghij'[draw.integers(10)]}x" for _ in range(5))]))
             grades.append(grade)
-    model = severity.fit(bags, np.array(grades), 3)
+    sample = spark.createDataFrame([(t, float(g > 0)) for t, g in zip(texts, grades)], "text string, label double")
+    names = severity.select_features(sample)
+    assert names and all(f.startswith("bad") for f in names)
+    rows = [np.array([i for i, f in enumerate(names) if f in severity.features(t)]) for t in texts]
+    model = severity.fit(rows, names, np.array(grades), 3)
     assert (np.diff(model.thresholds) > 0).all()
-    assert not any(f.startswith("w") for f in model.weights)
-    signal = np.array([sum(model.weights.get(f, 0) for f in b) for b in bags])
+    signal = np.array([sum(model.weights.get(f, 0) for f in severity.features(t)) for t in texts])
     expected = model.above(signal).sum(axis=1)
     means = [expected[np.array(grades) == g].mean() for g in range(4)]
     assert means == sorted(means) and np.abs(np.array(means) - np.arange(4)).max() < 0.4
