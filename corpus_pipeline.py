@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, folder of the given tables) and returns a frame.
 The first four return documents with the columns they had; the last one returns
-pieces of packed sequences. `run` writes each stage's rows to the shared folder
-and reads them back for the next.
+pieces of packed sequences. `run` writes each stage's rows to the shared folder,
+reads them back for the next, and deletes what is no longer needed.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spokeworks.llm import attention, decontaminate, neardup, packing, severity
 from spokeworks.llm.queries import tokenizer_path
 from spokeworks.llm.tables import table, written
+from spokeworks.workspace import job, release, scratch_path
 
 
 def _chosen(docs: DataFrame, verdicts: DataFrame, condition: str, doc_id: str = "doc_id") -> DataFrame:
@@ -67,7 +68,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """All stages in order, from the documents of a folder."""
-    docs = table(spark, folder, "documents")
+    docs, before = table(spark, folder, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, folder), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with job(spark, name):  # what the stage writes on its way goes with it
+            stage(spark, docs, folder).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            release(spark, before)
+        before = path
     return docs

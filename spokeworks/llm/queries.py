@@ -120,6 +120,28 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
 
 
+OP8_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+    FROM doc)
+), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingle a JOIN shingle b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS component FROM doc UNION SELECT b, component FROM reach JOIN link ON a = node
+), least AS (SELECT node, min(component) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM doc JOIN least ON node = doc_id LEFT JOIN size USING (doc_id)
+"""
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Expected severity of every document, its grade, and whether it is toxic."""
     docs = table(spark, folder, "documents")
@@ -149,4 +171,5 @@ QUERIES = {
 SQL = {
     "op1_decontamination": OP1_SQL,
     "op5_chat": OP5_SQL,
+    "op8_near_duplicates": OP8_SQL,
 }
