@@ -144,14 +144,25 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, passages: np.ndarray):
     return bag @ w["o"] + w["b"][0], (starts, code, value, gate, weight, bag)
 
 
+def _moments(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of every feature, from slices."""
+    n, total, squares = max(len(features), 1), np.zeros(WIDTH), np.zeros(WIDTH)
+    for at in range(0, len(features), 4096):
+        part = features[at : at + 4096].astype(np.float64)
+        total += part.sum(axis=0)
+        squares += (part * part).sum(axis=0)
+    mean = total / n
+    return mean, np.sqrt(np.maximum(squares / n - mean * mean, 0)) + 0.02
+
+
 def fit(features: np.ndarray, passages: np.ndarray, labels: np.ndarray, epochs: int = 40, seed: int = 3) -> Model:
     """Adam on the cross-entropy of document labels, in mini-batches of whole documents.
 
+    Features may have half precision; only a mini-batch of them is unpacked at a time.
     Without both kinds of labels the model gives their mean, or 0.5 if there are none.
     """
     draw = np.random.default_rng(seed)
-    mean = features.mean(axis=0) if len(features) else np.zeros(WIDTH)
-    scale = features.std(axis=0) + 0.02 if len(features) else np.ones(WIDTH)
+    mean, scale = _moments(features)
     w = {
         "E": draw.normal(0, WIDTH**-0.5, (WIDTH, CODES)), "e": np.zeros(CODES),
         "V": draw.normal(0, CODES**-0.5, (CODES, 16)), "U": draw.normal(0, CODES**-0.5, (CODES, 16)),
@@ -162,7 +173,6 @@ def fit(features: np.ndarray, passages: np.ndarray, labels: np.ndarray, epochs:
     model = Model(mean.astype(np.float32), scale.astype(np.float32), w)
     if not 0 < labels.sum() < len(labels):
         return model
-    x = ((features - mean) / scale).astype(np.float32)
     begins = np.concatenate([[0], np.cumsum(passages)])
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     step = 0
@@ -173,7 +183,7 @@ def fit(features: np.ndarray, passages: np.ndarray, labels: np.ndarray, epochs:
             docs = order[at : at + 128]
             n = passages[docs]
             own = np.concatenate([np.arange(begins[d], begins[d + 1]) for d in docs])
-            part = x[own]
+            part = (features[own].astype(np.float32) - model.mean) / model.scale
             logit, (starts, code, value, gate, weight, bag) = _forward(w, part, n)
             d_logit = (1 / (1 + np.exp(-logit)) - labels[docs]) / len(docs)
             grads = {"o": bag.T @ d_logit, "b": np.array([d_logit.sum()])}
@@ -213,9 +223,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     sample = labelled_sample(docs, labels, label, doc_id, text, most)
     order = F.xxhash64("x"), F.col("label")
     rows = sample.mapInArrow(run, "label double, x binary").orderBy(*order).toArrow()
-    bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for x in rows.column("x").to_pylist()]
-    features = np.concatenate(bags).astype(np.float32) if bags else np.zeros((0, WIDTH), np.float32)
-    return fit(features, np.array([len(b) for b in bags], np.int64), rows.column("label").to_numpy())
+    bags = rows.column("x").combine_chunks().cast(pa.large_binary())
+    if not len(bags):
+        return fit(np.zeros((0, WIDTH), np.float16), np.zeros(0, np.int64), np.zeros(0))
+    offsets = np.frombuffer(bags.buffers()[1], np.int64)[: len(bags) + 1]
+    features = np.frombuffer(bags.buffers()[2], np.float16, offsets[-1] // 2).reshape(-1, WIDTH)
+    return fit(features, np.diff(offsets) // (2 * WIDTH), rows.column("label").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", cut: float = 0.3, keep: bool = False) -> DataFrame:
