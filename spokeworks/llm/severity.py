@@ -59,16 +59,18 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays(columns, ["feature", "yes", "no"])
 
 
-def select_features(sample: DataFrame, surprise: float = 14.0, ratio: float = 4.0) -> list[str]:
-    """Features `ratio` times as frequent in toxic texts, beyond chance: log-likelihood ratio of `surprise` or more.
+def select_features(sample: DataFrame, ratio: float = 4.0) -> list[str]:
+    """Features `ratio` times as frequent in toxic texts, and more so than chance makes the best of all of them.
 
-    Counted in tasks; the driver gets the chosen ones, `MOST_FEATURES` at most.
+    That is a log-likelihood ratio above 2 ln(features) + 2. Counted in tasks;
+    the driver gets the chosen ones, `MOST_FEATURES` at most.
     """
     toxic = F.col("label") > 0.5
     n_yes, n_no = sample.agg(F.sum(toxic.cast("bigint")), F.sum((~toxic).cast("bigint"))).first()
     n_yes, n_no = max(n_yes or 0, 1), max(n_no or 0, 1)
     counts = sample.mapInArrow(_feature_counts, "feature string, yes bigint, no bigint").groupBy("feature")
-    counts = counts.agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).filter("yes > 0")
+    counts = written(counts.agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).filter("yes > 0"), "feature-counts")
+    surprise = 2 * float(np.log(max(counts.count(), 1))) + 2
     share = n_yes / (n_yes + n_no)
     both = F.col("yes") + F.col("no")
     part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
@@ -78,12 +80,13 @@ def select_features(sample: DataFrame, surprise: float = 14.0, ratio: float = 4.
     return [row["feature"] for row in chosen.orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).collect()]
 
 
-def fit(rows: list[np.ndarray], names: list[str], grades: np.ndarray, top: int, steps: int = 600, ridge: float = 5e-5) -> Model:
+def fit(rows: list[np.ndarray], names: list[str], grades: np.ndarray, top: int, steps: int = 1000, lasso: float = 3e-4) -> Model:
     """Maximum likelihood by Adam over the weights, the first threshold and the log gaps above it.
 
     `rows` holds each text's feature numbers. Grades run from 0 to `top`.
     Weights are kept non-negative, as features were chosen for occurring with
-    toxicity. Without features the thresholds follow the shares of grades.
+    toxicity, and a penalty on their sum takes those to zero that only occur in
+    copies of toxic texts. Without features the thresholds follow the shares of grades.
     """
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
@@ -105,7 +108,7 @@ def fit(rows: list[np.ndarray], names: list[str], grades: np.ndarray, top: int,
             d[:, k] = (-(grades == k + 1).astype(float) + (grades == k)) * slope[:, k] / chosen
         d_signal = d.sum(axis=1)
         tail = -np.cumsum(d.sum(axis=0)[::-1])[::-1]
-        grads = [np.bincount(at, d_signal[of], len(w)) / n + ridge * w, tail[:1] / n, tail[1:] * np.exp(gaps) / n]
+        grads = [np.bincount(at, d_signal[of], len(w)) / n + lasso, tail[:1] / n, tail[1:] * np.exp(gaps) / n]
         for value, g, (m, v) in zip((w, first, gaps), grads, state):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -159,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     return model
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", cut: float = 0.3, keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", cut: float = 0.25, keep: bool = False) -> DataFrame:
     """(id, severity, score, grade, toxic) for each row, or with `keep` the untoxic rows as they are.
 
     `severity` is the expected grade, `score` the chance of a grade above 0,
