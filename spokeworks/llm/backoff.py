@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +30,22 @@ from spokeworks.llm.textbytes import SOLID, gram_hashes, lowered, text_slices, u
 ORDER = 3
 BACKOFF = 0.4
 # Bytes of text in a block, and in all that one range of hashes comes from.
-BLOCK_BYTES = 6 << 20
-RANGE_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
+HASH_BYTES = 1 << 20
 
 
-def document_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def document_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs without ASCII white space, A-Z lower-cased), and words per text."""
-    raw, offsets = utf8_bytes(texts)
-    data = lowered(raw)
-    starts, lengths, counts = word_spans(data, offsets, SOLID)
-    return word_hashes(data, starts, lengths), counts
+    hashes, counts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(offsets) - 1:  # a slice at a time, as hashing takes many times a text's size
+        end = max(int(np.searchsorted(offsets, offsets[at] + HASH_BYTES, side="right")) - 1, at + 1)
+        data = lowered(raw[offsets[at] : offsets[end]])
+        starts, lengths, n = word_spans(data, offsets[at : end + 1] - offsets[at], SOLID)
+        hashes.append(word_hashes(data, starts, lengths))
+        counts.append(n)
+        at = end
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,28 +65,61 @@ def block_grams(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarr
     return hashes ^ np.uint64(n * 0x9E3779B97F4A7C15 & (2**64 - 1)), place >= n - 1
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """64-bit values by their bytes, low ones first, so that zeros gather; compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(1).compress(planes.tobytes())
+
+
+def _expand(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
 def _pack(hashes: np.ndarray) -> bytes:
-    """Sorted distinct hashes by the bytes of their differences, low bytes first, so that zeros gather."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted distinct hashes as their differences."""
+    return _squeeze(np.diff(hashes, prepend=np.uint64(0)))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+    return np.cumsum(_expand(data), dtype=np.uint64)
 
 
-def _pack_counts(counts: np.ndarray) -> bytes:
-    return counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _all_grams(words: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of all n-grams of a block up to `order`."""
+    return np.concatenate([h[whole] for h, whole in (block_grams(words, counts, n) for n in range(1, order + 1))])
 
 
-def _distinct(words: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """All distinct n-grams of a block up to `order`, sorted, and their counts."""
-    parts = []
-    for n in range(1, order + 1):
-        hashes, whole = block_grams(words, counts, n)
-        parts.append(hashes[whole])
-    return np.unique(np.concatenate(parts), return_counts=True)
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, block) as one row for each block of a batch, its texts compressed together."""
+    for batch in batches:
+        blocks = batch.column(2).to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        cuts = np.flatnonzero(np.diff(blocks[order], prepend=-1)) if len(blocks) else []
+        rows = []
+        for own in np.split(order, cuts[1:]) if len(blocks) else []:
+            part = batch.take(pa.array(own))
+            data, offsets = utf8_bytes(part.column(1))
+            rows.append((int(blocks[own[0]]), part.column(0), np.diff(offsets), zstandard.ZstdCompressor(6).compress(data.tobytes())))
+        ids = [r[1] for r in rows]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in rows], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(starts), pa.concat_arrays(ids) if ids else batch.column(0)),
+                pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                pa.array([r[3] for r in rows], pa.binary()),
+            ],
+            ["block", "ids", "sizes", "data"],
+        )
+
+
+def _gather(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, bytes and offsets of all texts of a block."""
+    sizes = np.concatenate([np.asarray(x) for x in table.column("sizes").to_pylist()]).astype(np.int64)
+    data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table.column("data").to_pylist())
+    ids = pa.concat_arrays([chunk.flatten() for chunk in table.column("ids").chunks])
+    return ids, np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -110,10 +150,12 @@ def lm_scores(
     blocks = max(-(-size // block_bytes), 1)
     ranges = max(-(-size * order // range_bytes), 1)
     dealt = body.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+    dealt = dealt.mapInArrow(_deal, f"block bigint, ids array<{id_type}>, sizes array<bigint>, data binary")
 
     def extract(table: pa.Table) -> pa.Table:
-        words, counts = document_words(table.column("text").combine_chunks())
-        hashes, n = _distinct(words, counts, order)
+        _, data, offsets = _gather(table)
+        keys = _all_grams(*document_words(data, offsets), order)
+        hashes, n = np.unique(keys, return_counts=True)
         cuts = _cuts(hashes, ranges)
         rows = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
         block = table.column("block")[0].as_py()
@@ -122,68 +164,61 @@ def lm_scores(
                 "block": pa.array([block] * len(rows), pa.int64()),
                 "range": pa.array(rows, pa.int64()),
                 "grams": pa.array([_pack(hashes[cuts[r] : cuts[r + 1]]) for r in rows], pa.binary()),
-                "counts": pa.array([_pack_counts(n[cuts[r] : cuts[r + 1]]) for r in rows], pa.binary()),
+                "counts": pa.array([_squeeze(n[cuts[r] : cuts[r + 1]]) for r in rows], pa.binary()),
             }
         )
 
     def total(table: pa.Table) -> pa.Table:
         grams = [_unpack(x.as_py()) for x in table.column("grams")]
-        counts = [_unpack_counts(x.as_py()) for x in table.column("counts")]
-        hashes = np.unique(np.concatenate(grams))
-        sums = np.zeros(len(hashes), np.int64)
-        for g, c in zip(grams, counts):
-            sums[np.searchsorted(hashes, g)] += c
-        return pa.table(
-            {
-                "block": table.column("block"),
-                "range": table.column("range"),
-                "totals": pa.array([_pack_counts(sums[np.searchsorted(hashes, g)]) for g in grams], pa.binary()),
-            }
-        )
-
-    def score(docs_of: pa.Table, answers: pa.Table) -> pa.Table:
-        words, counts = document_words(docs_of.column("text").combine_chunks())
-        hashes, _ = _distinct(words, counts, order)
-        by_range = {r: t for r, t in zip(answers.column("range").to_pylist(), answers.column("totals").to_pylist())}
-        parts = [_unpack_counts(by_range[r]) for r in sorted(by_range)]
-        totals = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        logs = _word_logs(words, counts, hashes, totals, corpus, order)
-        rows = np.repeat(np.arange(len(counts)), counts)
-        sums = np.bincount(rows, logs, len(counts))
+        counts = np.concatenate([_expand(x.as_py()) for x in table.column("counts")]).astype(np.int64)
+        _, at = np.unique(np.concatenate(grams), return_inverse=True)
+        sums = np.bincount(at, counts).astype(np.int64)
+        # What other blocks have, mostly nothing.
+        rest = np.split(sums[at] - counts, np.cumsum([len(g) for g in grams])[:-1])
+        return pa.table({"block": table.column("block"), "range": table.column("range"), "rest": pa.array([_squeeze(x) for x in rest], pa.binary())})
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, data, offsets = _gather(texts)
+        words, counts = document_words(data, offsets)
+        by_range = dict(zip(answers.column("range").to_pylist(), answers.column("rest").to_pylist()))
+        rest = np.concatenate([_expand(by_range[r]) for r in sorted(by_range)]).astype(np.int64) if by_range else np.zeros(0, np.int64)
+        logs = _word_logs(words, counts, rest, corpus, order)
+        sums = np.bincount(np.repeat(np.arange(len(counts)), counts), logs, len(counts))
         mean = [float(s / c) if c else None for s, c in zip(sums, counts)]
-        return pa.table(
-            {"id": docs_of.column("id"), "n_words": pa.array(counts, pa.int64()), "log_score": pa.array(sums), "mean_log_score": pa.array(mean, pa.float64())}
-        )
+        return pa.table({"id": ids, "n_words": pa.array(counts, pa.int64()), "log_score": pa.array(sums), "mean_log_score": pa.array(mean, pa.float64())})
 
     grams = dealt.groupBy("block").applyInArrow(extract, "block bigint, `range` bigint, grams binary, counts binary")
-    answers = grams.groupBy("range").applyInArrow(total, "block bigint, `range` bigint, totals binary")
+    answers = grams.groupBy("range").applyInArrow(total, "block bigint, `range` bigint, rest binary")
     schema = f"id {id_type}, n_words bigint, log_score double, mean_log_score double"
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
     return scored.withColumnRenamed("id", doc_id)
 
 
-def _unpack_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
-
+def _word_logs(words: np.ndarray, counts: np.ndarray, rest: np.ndarray, corpus: int, order: int) -> np.ndarray:
+    """Log of every word's score, by counts of the corpus without the word's own document.
 
-def _word_logs(words: np.ndarray, counts: np.ndarray, hashes: np.ndarray, totals: np.ndarray, corpus: int, order: int) -> np.ndarray:
-    """Log of every word's score, by counts of the corpus without the word's own document."""
+    `rest` holds the counts in other blocks of the block's distinct n-grams, in
+    the order of their hashes.
+    """
     if not len(words):
         return np.zeros(0)
-    row = np.repeat(np.arange(len(counts)), counts)
-    others = np.full((order + 1, len(words)), 0, np.int64)  # counts elsewhere of the n-gram that ends here
+    row = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
+    others = np.zeros((order + 1, len(words)), np.int64)  # counts elsewhere of the n-gram that ends here
     others[0] = corpus - counts[row]
-    for n in range(1, order + 1):
-        keys, whole = block_grams(words, counts, n)
-        at = np.searchsorted(hashes, keys[whole])
-        # Occurrences in the own document: equal (document, n-gram) pairs.
-        pair = np.lexsort((at, row[whole]))
-        a, r = at[pair], row[whole][pair]
-        first = np.concatenate([[True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])])
-        group = np.cumsum(first) - 1
-        own = np.empty(len(pair), np.int64)
-        own[pair] = np.bincount(group)[group] if len(pair) else 0
-        others[n, whole] = totals[at] - own
+    keys = _all_grams(words, counts, order)
+    hashes, here = np.unique(keys, return_counts=True)
+    del keys
+    for n in range(1, order + 1):  # one order at a time, to hold less
+        grams, whole = block_grams(words, counts, n)
+        ends = np.flatnonzero(whole)
+        at = np.searchsorted(hashes, grams[ends])
+        # Occurrences in the own document; an n-gram that the block holds once is there once.
+        own = np.ones(len(ends), np.int64)
+        several = np.flatnonzero(here[at] > 1)
+        pair = (row[ends[several]].astype(np.uint64) << np.uint64(40)) | at[several].astype(np.uint64)
+        _, place, times = np.unique(pair, return_inverse=True, return_counts=True)
+        own[several] = times[place]
+        others[n, ends] = rest[at] + here[at] - own
     # The context of an n-gram is the (n-1)-gram that ends one word earlier, in the same text.
     logs = np.full(len(words), order * np.log(BACKOFF)) - np.log(others[0] + 1)
     for n in range(1, order + 1):
