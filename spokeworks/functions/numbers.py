@@ -103,6 +103,8 @@ def fixed1_text(x: Column) -> Column:
 def fixed1_value(x: Column) -> Column:
     """The number that `fixed1_text` spells, as a double."""
     tenths = fixed1_tenths(x)
-    exact = F.when(F.abs(tenths) < _EXACT_TENTHS, tenths / F.lit(10.0)).otherwise(fixed1_text(x).try_cast("double"))
+    # Beyond, doubles are an eighth apart or more, and adding the tenth rounds as its text would.
+    apart = F.call_function("div", tenths, F.lit(10)) + (tenths % 10) / F.lit(10.0)
+    exact = F.when(F.abs(tenths) < _EXACT_TENTHS, tenths / F.lit(10.0)).otherwise(apart)
     # Numbers from 2^53 on are whole.
     return F.when(F.isnan(x), F.lit(None)).when(F.abs(x) >= float(_EXACT_TENTHS), x).otherwise(exact)
