@@ -59,16 +59,15 @@ def iso_instants(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "events").select("event_id", iso_instant(F.col("ts")).alias("instant"))
 
 
-def _feed(spark: SparkSession, folder: str, work: str) -> DataFrame:
-    """All hits as a stream of several micro-batches, in order of time."""
-    events = _hits(read_table(spark, folder, "events"))
+def _ranges(events: DataFrame) -> list[DataFrame]:
+    """The hits cut into ranges of time, earliest first; hits without a time come first, as in the batch order."""
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min(seconds), F.max(seconds)).first()
-    width = max((last - first) // _BATCHES + 1, 1) if first is not None else 1
-    for n in range(_BATCHES):  # one file after the other: the stream takes the oldest first
-        part = events if first is None else events.filter(F.floor((seconds - F.lit(first)) / width) == n)
-        part.coalesce(1).write.mode("append").parquet(f"{work}/feed")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/feed")
+    if first is None:
+        return [events]
+    width = (last - first) // _BATCHES + 1
+    place = F.coalesce(F.floor((seconds - F.lit(first)) / width), F.lit(0))
+    return [events.filter(place == n) for n in range(_BATCHES)]
 
 
 def stream_visit_total(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,11 +78,15 @@ def stream_visit_total(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_visit_ordinal(spark: SparkSession, folder: str) -> DataFrame:
+    """Ordinals over a stream that is fed a range of time at a time and takes each, of any number of files, as one batch."""
     work = scratch_path(spark, "stream-ordinals")
-    hits = _feed(spark, folder, work)
-    streams.start_visit_ordinals(
-        hits, _KEY, _ORDER, f"{work}/out", f"{work}/checkpoint", availableNow=True
-    ).awaitTermination()
+    events = _hits(read_table(spark, folder, "events"))
+    for part in _ranges(events):
+        part.write.mode("append").parquet(f"{work}/feed")
+        hits = spark.readStream.schema(events.schema).parquet(f"{work}/feed")
+        streams.start_visit_ordinals(
+            hits, _KEY, _ORDER, f"{work}/out", f"{work}/checkpoint", availableNow=True
+        ).awaitTermination()
     return spark.read.parquet(f"{work}/out").select("event_id", "event_type", "visit_no")
 
 

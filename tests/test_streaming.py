@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from spokeworks.plans import visits as plans
 from spokeworks.streaming import visits as streams
 from spokeworks.streaming.ledger import KeyLedger
 
@@ -141,3 +142,21 @@ def test_ledger_stays_bounded_and_repeats(spark, tmp_path):
     assert len(list(tmp_path.glob("manifest/*.json"))) == 2
     with pytest.raises(ValueError, match="4 buckets"):
         KeyLedger(spark, str(tmp_path), ["key"], [StringType()], buckets=8).current()
+
+
+@pytest.mark.parametrize("timed", ["some", "none", "skewed"])
+def test_the_stream_numbers_every_hit_of_a_table(spark, tmp_path, timed):
+    i = F.col("id")
+    at = F.timestamp_seconds(F.when(i == 0, 0).otherwise(9_000_000 + i) if timed == "skewed" else i * 7919 % 5000)
+    known = F.lit(False) if timed == "none" else i % 4 != 1
+    rows = spark.range(0, 600, 1, 4).select(
+        i.alias("event_id"),
+        F.when(known, at.cast("timestamp_ntz")).alias("ts"),
+        F.when(i % 3 == 0, "hot").otherwise((i % 5).cast("string")).alias("event_type"),
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    found = plans.stream_visit_ordinal(spark, str(tmp_path))
+    assert found.count() == 600
+    assert same(found, plans.visit_ordinal(spark, str(tmp_path)))
+    # A range is written by as many tasks as read it.
+    assert all(part.rdd.getNumPartitions() > 1 for part in plans._ranges(spark.read.parquet(f"{tmp_path}/events.parquet")))
