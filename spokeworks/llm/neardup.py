@@ -17,6 +17,7 @@ reach is lost, and rows stay in proportion to memberships.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,10 @@ from spokeworks.operators.joins import lookup_join
 BASE = 1.001
 RATE = 20.0
 TOP = (1 << 16) - 2
-BANDS, ROWS = 36, 7
 REGISTERS = 256
+# Chance that a pair exactly at the threshold shares no band, and that its registers rule it out.
+MISS, RULED_OUT = 1e-6, 1e-8
 
-# Estimates this far below the threshold (4 standard errors) rule a pair out.
-MARGIN = 0.09
 # Ids that may be sent to all tasks instead of being joined: 8 MB.
 BROADCAST_IDS = 1_000_000
 # Members of a bucket that one task compares with as many others.
@@ -45,6 +45,27 @@ BLOCK = 1024
 _MULTIPLIERS = np.random.default_rng(85).integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) with the most rows that miss a pair at the threshold with a chance of MISS at most."""
+    share = percent / 100
+    for rows in range(REGISTERS, 0, -1):
+        apart = 1 - share**rows
+        bands = max(math.ceil(math.log(MISS) / math.log(apart)), 1) if 0 < apart < 1 else 1
+        if apart < 1 and bands * rows <= REGISTERS:
+            return bands, rows
+    raise ValueError(f"{REGISTERS} registers cannot find pairs of {percent} % with a miss of {MISS}")
+
+
+def least_estimate(percent: int) -> float:
+    """Share of equal registers below which a pair at the threshold comes with a chance of RULED_OUT at most."""
+    share, below = percent / 100, 0.0
+    for k in range(REGISTERS + 1):
+        below += math.comb(REGISTERS, k) * share**k * (1 - share) ** (REGISTERS - k)
+        if below > RULED_OUT:
+            return k / REGISTERS
+    return 1.0
+
+
 def shingle_sets(texts: pa.Array, n: int = 3) -> list[np.ndarray]:
     """For each text its sorted distinct shingle hashes; fewer than n words are one shingle."""
     raw, offsets = utf8_bytes(texts)
@@ -102,9 +123,10 @@ def estimate_similarity(left: np.ndarray, right: np.ndarray, n_left: np.ndarray,
     return best[:, 0]
 
 
-def sketch(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+def sketch(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
     """(id, n, digest, regs, bands) for each row; a text without words has n 0 and no digest."""
     id_type = docs.schema[doc_id].dataType.simpleString()
+    cut = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +134,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
                 sets = shingle_sets(part.column(1), shingle)
                 regs = [registers(s) if len(s) else None for s in sets]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                bands = [None if r is None else band_keys(r) for r in regs]
+                bands = [None if r is None else band_keys(r, *cut) for r in regs]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -129,11 +151,11 @@ def sketch(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     )
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    rows = regs[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        out = gram_hashes(np.stack([out, rows[:, k]], 1).ravel(), 2)[::2]
+def band_keys(regs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    cut = regs[: bands * rows].astype(np.uint64).reshape(bands, rows)
+    out = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows):
+        out = gram_hashes(np.stack([out, cut[:, k]], 1).ravel(), 2)[::2]
     return out.view(np.int64)
 
 
@@ -154,6 +176,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _verify_pairs(percent: int):
     """Keep (a, b) whose estimate is near enough and whose sets are similar."""
+    least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +185,7 @@ def _verify_pairs(percent: int):
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             sides = [np.frombuffer(b"".join(col[k].to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("a_regs", "b_regs")]
             sizes = [col[k].to_numpy().astype(np.float64) for k in ("a_n", "b_n")]
-            near = estimate_similarity(*sides, *sizes) >= percent / 100 - MARGIN
+            near = estimate_similarity(*sides, *sizes) >= least
             keep = [
                 bool(near[i]) and _linked(np.frombuffer(col["a_set"][i].as_py(), np.uint64), np.frombuffer(col["b_set"][i].as_py(), np.uint64), percent)
                 for i in range(batch.num_rows)
@@ -174,6 +197,7 @@ def _verify_pairs(percent: int):
 
 def _spanning_links(percent: int):
     """Links between members of two blocks of a bucket, at most one fewer than members."""
+    least = least_estimate(percent)
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -202,11 +226,11 @@ def _spanning_links(percent: int):
             rows = np.array(others)
             mirrored = np.broadcast_to(regs[i], (len(rows), REGISTERS))
             # Cheap first look: share of equal registers is close to the similarity.
-            rows = rows[(regs[rows] == mirrored).mean(axis=1) >= percent / 100 - MARGIN - 0.02]
+            rows = rows[(regs[rows] == mirrored).mean(axis=1) >= least]
             if not len(rows):
                 continue
             near = estimate_similarity(regs[rows], np.broadcast_to(regs[i], (len(rows), REGISTERS)), sizes[rows], np.full(len(rows), sizes[i]))
-            for j in rows[near >= percent / 100 - MARGIN].tolist():
+            for j in rows[near >= least].tolist():
                 if find(labels[j]) != find(labels[i]) and _linked(sets[i], sets[j], percent):
                     root[find(labels[j])] = find(labels[i])
                     out_a.append(ids[i])
@@ -250,9 +274,12 @@ def near_duplicates(
     component's id is its smallest document id. Null, empty and blank texts have
     no shingles, are linked with nothing and stay. A null id is its own
     component and stays. Rows that repeat an id with the same text count once
-    as a node, and all of them are returned. Extra columns are not looked at.
+    as a node, and all of them are returned. Extra columns are not looked at. A link at
+    the threshold is missed with a chance of MISS + 2 * RULED_OUT at most by the
+    model of independent registers; a `percent` that 256 registers cannot serve so
+    is refused.
     """
-    sketches = written(sketch(docs, doc_id, text, shingle), "sketches")
+    sketches = written(sketch(docs, doc_id, text, shingle, percent), "sketches")
     full = sketches.filter("n > 0 and id is not null")
     # Equal sets are one node, named by the smallest id.
     nodes = full.groupBy("digest", "n").agg(F.min_by(F.struct("regs", "bands"), "id").alias("s"), F.min("id").alias("rep"))

@@ -100,3 +100,24 @@ def test_components_of_paths_and_stars(spark):
     labels = component_labels(spark.createDataFrame(links, "a bigint, b bigint"))
     got = {r.node: r.label for r in labels.collect()}
     assert got == {**{i: 100 for i in path}, **{i: 5 for i in [5, *range(200, 230)]}, 300: 300, 301: 300}
+
+
+@pytest.mark.parametrize("percent", [6, 30, 50, 70, 80, 85, 95, 99, 100])
+def test_bands_serve_the_threshold(percent):
+    bands, rows = neardup.banding(percent)
+    assert bands * rows <= neardup.REGISTERS and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+    assert neardup.least_estimate(percent) < percent / 100 or percent == 100
+
+
+def test_thresholds_that_registers_cannot_serve(spark):
+    with pytest.raises(ValueError, match="cannot find"):
+        neardup.banding(5)
+
+
+def test_links_at_a_low_threshold(spark):
+    rows = []
+    for i in range(60):  # 20 of 39 words shared: just above one half
+        shared = [f"s{i}x{k}" for k in range(20)]
+        rows += [(2 * i + side, " ".join(shared + [f"o{i}x{side}x{k}" for k in range(9 + side)])) for side in (0, 1)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=1, percent=50).collect()
+    assert sum(r.kept for r in got) == 60
