@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spokeworks.llm import attention, decontaminate, neardup, packing, severity
 from spokeworks.llm.queries import tokenizer_path
 from spokeworks.llm.tables import table, written
+from spokeworks.operators.joins import lookup_join
 from spokeworks.workspace import job, release, scratch_path
 
 
@@ -28,6 +29,37 @@ def _chosen(docs: DataFrame, verdicts: DataFrame, condition: str, doc_id: str =
     return docs.join(out, doc_id, "left_anti").select(*docs.columns)
 
 
+_COPY = "__copy"
+
+
+def _single(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of those that agree in id and text; which one, if other columns differ, is open.
+
+    Of rows without id one stays for each text, and none if a row with an id has
+    that text. Rows without id and words are copies of nothing, and all stay.
+    Only the rows of repeated texts are shuffled whole.
+    """
+    no_id = F.col("doc_id").isNull()
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    digest = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("-" * 64))
+    bare = F.concat(F.lit("?"), digest)  # no id
+    named = F.concat(F.col("doc_id").cast("string"), F.lit("="), digest)
+    keyed = docs.withColumn(_COPY, F.when(~no_id, named).when(words, bare))
+    groups = keyed.filter(F.col(_COPY).isNotNull()).groupBy(_COPY).agg(F.count("*").alias("n"))
+    again = written(groups.filter("n > 1").select(_COPY), "repeated")
+    loose = written(docs.filter(no_id & words).select(bare.alias(_COPY)).distinct(), "without-id")
+    taken = loose.limit(0)
+    if not loose.isEmpty():
+        owned = docs.filter(~no_id).select(bare.alias(_COPY)).distinct()
+        taken = written(loose.join(owned, _COPY, "left_semi"), "taken")
+    if again.isEmpty() and taken.isEmpty():
+        return docs
+    several = written(again.join(taken, _COPY, "left_anti"), "several")
+    rest = lookup_join(keyed, again.unionByName(taken).distinct(), [_COPY], "left_anti")
+    once = lookup_join(keyed, several, [_COPY], "left_semi").dropDuplicates([_COPY])
+    return rest.unionByName(once).select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good; it learns from those that carry labels."""
     return attention.score(docs, attention.train(docs, table(spark, folder, "labels")), keep=True)
@@ -39,8 +71,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of every class of near-duplicates."""
-    return _chosen(docs, neardup.near_duplicates(docs, shingle=3, percent=85), "kept")
+    """The document with the smallest id of every class of near-duplicates, once; see `_single` for rows without id."""
+    return _chosen(_single(docs), neardup.near_duplicates(docs, shingle=3, percent=85), "kept")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
