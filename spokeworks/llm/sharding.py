@@ -1,7 +1,8 @@
 """Proportional stratified interleaving into shards.
 
 Rows are shuffled by a seeded hash within their source and ranked there; the
-fractional rank (rank - 1/2) / size spreads every source evenly over (0, 1);
+fractional rank (rank - u) / size spreads every source evenly over (0, 1), where
+u is the source's own seeded place in (0, 1), so that small sources do not meet;
 sorted by it and cut into equal runs, every shard has the mixture of the whole.
 
 Ranks never gather a source in one task: hashes are uniform, so their high bits
@@ -51,7 +52,8 @@ def interleave(
     placed = lookup_join(rows, totals.withColumn("parts", stretches), ["src", "no_src"], "inner")
     placed = placed.withColumn("part", hash_stretch("h", "parts"))
     ranked = rank_by_stretch(placed, ["src", "no_src"], "part", ["h", "id", "crc", "size"], "rank")
-    ranked = ranked.withColumn("fraction", (F.col("rank") + 0.5) / F.col("total"))
+    own = F.xxhash64(F.lit(seed), F.col("src"), F.col("no_src")).cast("double") / 2.0**64 + 0.5
+    ranked = ranked.withColumn("fraction", (F.col("rank") + own) / F.col("total"))
     everything = written(ranked.select("id", "src", "no_src", "size", "crc", "h", "fraction"), "fractions")
     n = everything.count()
     parts = max(-(-n // stretch_rows), 1)

@@ -43,3 +43,10 @@ def test_fewer_rows_than_shards_and_none(hard_docs):
     rows = sharding.interleave(hard_docs, 100).collect()
     assert len({r.shard for r in rows}) == len(rows) and {r.slot for r in rows} == {0}
     assert sharding.interleave(hard_docs.limit(0)).count() == 0
+
+
+def test_sources_of_one_row_spread_over_shards(spark):
+    rows = [(i, f"text {i}", "large" if i < 1200 else f"site{i}") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    single = Counter(r.shard for r in sharding.interleave(docs, 24, stretch_rows=100).collect() if r.source != "large")
+    assert len(single) == 24 and max(single.values()) < 90
