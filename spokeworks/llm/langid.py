@@ -30,13 +30,20 @@ SAMPLE_DOCS = 1_200
 MOST_MODEL_BYTES = 512 << 20
 _SPACE = 32
 
-_LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def normalised(text: str) -> np.ndarray:
-    """UTF-16 units of the lower-cased text, every run of other than letters one space, three before."""
+    """UTF-16 units of the lower-cased text, every run of other than letters one space, three before.
+
+    A letter beyond U+FFFF keeps both its units.
+    """
     units = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), "<u2")
     letter = _LETTER[units]
+    pair = np.flatnonzero((units[:-1] & 0xFC00 == 0xD800) & (units[1:] & 0xFC00 == 0xDC00))
+    code = 0x10000 + ((units[pair].astype(np.int64) & 0x3FF) << 10) + (units[pair + 1] & 0x3FF)
+    pair = pair[_LETTER[code]]
+    letter[pair] = letter[pair + 1] = True
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     inner = np.where(letter, units, _SPACE)[keep]

@@ -137,3 +137,14 @@ def test_held_out_rows_teach_nothing(docs, labels, language_model):
     other = langid.train(docs.withColumn("lang", F.when(aside, "xx").otherwise(F.col("lang"))))
     assert other.langs == language_model.langs
     np.testing.assert_array_equal(other.log_p[3], language_model.log_p[3])
+
+
+def test_language_in_a_script_beyond_16_bits(spark):
+    gothic = "".join(chr(0x10330 + i % 26) for i in range(40))
+    adlam = "".join(chr(0x1E922 + i % 28) for i in range(40))
+    rows = [(i, f"{t[i % 7:]} {t}", x) for i in range(90) for t, x in ((gothic, "got"), (adlam, "ff"), ("plain words of no note", "en"))]
+    docs = spark.createDataFrame([(k, t, x) for k, (_, t, x) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    asked = spark.createDataFrame([(1, gothic[5:30]), (2, adlam[3:25]), (3, "\U0001f600 \U0001f600"), (4, "plain")], "doc_id bigint, text string")
+    said = {r.doc_id: r for r in langid.identify(asked, langid.train(docs)).collect()}
+    assert [said[i].lang_pred for i in (1, 2, 3, 4)] == ["got", "ff", "und", "en"]
+    assert said[1].score > 0.5 and said[2].score > 0.5
