@@ -1,5 +1,4 @@
 import sys
-from contextlib import contextmanager
 from pathlib import Path
 
 import pytest
@@ -9,20 +8,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from spokeworks.session import build_session  # noqa: E402
 
 
-@contextmanager
-def settings(session, **values):
-    """Session settings, dots written as __, for the length of a block."""
-    names = {name.replace("__", "."): value for name, value in values.items()}
-    before = {name: session.conf.get(name, None) for name in names}
-    try:
-        for name, value in names.items():
-            session.conf.set(name, value)
-        yield
-    finally:
-        for name, value in before.items():
-            session.conf.unset(name) if value is None else session.conf.set(name, value)
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(

@@ -1,8 +1,8 @@
 """Skewed lookups: AQE must split the hot key, and results stay whole."""
 
 import pytest
-from conftest import settings
 from pyspark.sql import functions as F
+from session_settings import settings
 
 from spokeworks.operators import routing, sitemap
 from spokeworks.operators.joins import lookup_join

@@ -1,9 +1,9 @@
 """Ordinals against plain windows, hot keys included."""
 
 import pytest
-from conftest import settings
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from session_settings import settings
 
 from spokeworks.operators import counts
 from spokeworks.operators.ordinal import add_ordinal, hot_keys, key_counts, number_rows, place_rows

@@ -4,8 +4,8 @@ import json
 import random
 
 import pytest
-from conftest import settings
 from pyspark.sql import functions as F
+from session_settings import settings
 
 from spokeworks.functions import count_label, json_field
 from spokeworks.operators import contract

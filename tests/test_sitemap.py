@@ -4,8 +4,8 @@ from xml.etree import ElementTree
 
 import pandas as pd
 import pytest
-from conftest import settings
 from pyspark.sql import functions as F
+from session_settings import settings
 
 from spokeworks.functions import iso_instant, object_key, trailing_slash, with_iso_instant, xml_escape
 from spokeworks.operators import sitemap
