@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.llm import attention, backoff, chat, decontaminate, divergence, langid, neardup, packing, severity, sharding
+from spokeworks.llm import (
+    attention,
+    backoff,
+    chat,
+    decontaminate,
+    divergence,
+    langid,
+    neardup,
+    packing,
+    severity,
+    sharding,
+    spelling,
+    vafile,
+    whitening,
+)
 from spokeworks.llm.tables import held_out, table
 
 
@@ -155,6 +169,48 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened components of every vector, a row for each."""
+    rows = whitening.whiten(table(spark, folder, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "entry")
+    # The sum of squares leaves 64 bits only for far more rows than a long can hold it for; then it is null.
+    return rows.select("vec_id", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "identity_error", each).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        F.col("entry.whitened").alias("whitened"),
+        F.col("entry.explained").alias("explained"),
+        "identity_error",
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Form, root and near words of every word of the documents."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op13_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best rows by inner product for each row whose id is divisible by 50."""
+    rows = table(spark, folder, "embeddings")
+    return vafile.search(rows, rows.filter("vec_id % 50 = 0"), 5)
+
+
+OP13_SQL = """
+WITH vec AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT q.r, q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+  FROM vec q JOIN vec x ON q.vec_id % 50 = 0 AND q.r <> x.r
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM scored
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM placed WHERE place <= 5
+"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -166,10 +222,14 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_shards": op10_shards,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_exact_search": op13_exact_search,
 }
 
 SQL = {
     "op1_decontamination": OP1_SQL,
     "op5_chat": OP5_SQL,
     "op8_near_duplicates": OP8_SQL,
+    "op13_exact_search": OP13_SQL,
 }

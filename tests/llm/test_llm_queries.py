@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", list(SQL))
@@ -28,7 +28,7 @@ def test_query_matches_sql(spark, name):
     assert want and sorted(repr(tuple(r)) for r in result.select(*names).collect()) == want
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL and n[:4] not in ("op11", "op12")])
 def test_query_returns_every_document(spark, small, name):
     ids = {r.doc_id for r in QUERIES[name](spark, FOLDER).select("doc_id").distinct().collect()}
     assert ids == {r.doc_id for r in small("documents").select("doc_id").collect()}

@@ -1,0 +1,93 @@
+"""Spelling variants against brute force over all pairs."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from spokeworks.llm import spelling
+from spokeworks.llm.queries import QUERIES
+
+from test_scan import brute_near
+
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+COLUMNS = ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def brute(rows, least=7):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in RUN.findall(text or ""):
+            run = lower(run)
+            if doc_id is not None:
+                h = zlib.crc32(f"{doc_id}:{run}".encode())
+                if h % 31 == 0:
+                    at = h % len(run)
+                    run = run[:at] + run[at + 1 :]
+            counts[run] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= least and n >= 2}
+    near = brute_near(counts)
+    form = {}
+    for word, others in near.items():
+        best = min(others, key=lambda w: (-counts[w], w), default=None)
+        form[word] = best if best is not None and counts[best] >= 10 * counts[word] else None
+    out = set()
+    for word in counts:
+        root = word
+        while form[root]:
+            root = form[root]
+        out.add((word, form[word], root, counts[word], len(near[word]), counts.get(form[word])))
+    return out
+
+
+def found(frame):
+    rows = [tuple(r) for r in frame.select(COLUMNS).collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_query_matches_brute_force(spark, small, scale):
+    rows = [(r.doc_id, r.text) for r in small("documents", scale).select("doc_id", "text").collect()]
+    want = brute(rows)
+    assert any(r[2] != r[0] for r in want)
+    assert found(QUERIES["op12_spelling_variants"](spark, f"/root/testdata/sf{scale}")) == want
+
+
+def test_hard_rows_and_small_ranges(spark, hard_docs):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randint(6, 9))) for _ in range(150)]
+    texts = [" ".join(rng.choice(words[: 1 + i % 150]) for _ in range(200)) for i in range(40)]
+    # Chains of forms: each a hundred, ten and one times as often; very long runs; a hot prefix.
+    texts += [("schluesse " * 3000) + ("schluessel " * 300) + ("schluesssel " * 25) + ("hluesssel " * 2)]
+    texts += ["x" * 30_000 + " " + "x" * 29_999, "X" * 30_000 + " " + "x" * 29_999 + " ×÷×÷×÷×÷ ×÷×÷×÷×÷ ŁŁŁŁŁŁŁŁ", "y" * 70 + " " + "y" * 71 + " " + "y" * 71 + " " + "y" * 70]
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    docs = hard_docs.unionByName(more, allowMissingColumns=True)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = brute(rows)
+    assert found(spelling.variants(docs, range_words=40)) == want
+    assert any(r[1] and r[1] != r[2] for r in want) and any(len(r[0]) > 29_000 for r in want)
+    assert spelling.variants(docs.limit(0)).columns == COLUMNS and spelling.variants(docs.limit(0)).count() == 0
+    assert spelling.variants(docs.filter("text is null")).count() == 0
+
+
+def test_deletions_need_an_id(spark):
+    docs = spark.createDataFrame([(None, "variants " * 40)] * 3, "doc_id bigint, text string")
+    assert found(spelling.variants(docs)) == {("variants", None, "variants", 120, 0, None)}
+
+
+def test_ranges_of_a_hot_prefix_are_left_out(spark):
+    """All words share their first half; most ranges within it are still ruled out by what their words share."""
+    words = sorted(f"samestem{i * 7919 % 2**20:05x}" for i in range(20_000))
+    parts = [(at, words[at], words[min(at + 9, len(words) - 1)]) for at in range(0, len(words), 10)]
+    asked = spark.createDataFrame([(w,) for w in words[::40]], "word string")
+    sent = asked.mapInArrow(spelling._route(parts, False), "word string, part int")
+    assert sent.count() < 500 * len(parts) / 3
+    assert sent.filter(F.col("part") == 0).count() >= 1
