@@ -4,90 +4,133 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, StructType, TimestampNTZType, TimestampType
 
-from spokeworks.workspace import scratch_table
+from spokeworks.operators.search import count_reached
+from spokeworks.workspace import scratch_table, shuffle_partitions
 
-_PART = "__part"
-_POS = "__pos"
+_BUCKET = "__bucket"
 _SHIFT = "__shift"
 _WEIGHT = "__weight"
 _EARLIER = "__earlier"
-# monotonically_increasing_id keeps the row's position in its partition in the low 33 bits.
-_POSITION_BITS = (1 << 33) - 1
 
 # Keys of up to this many rows are left to one task.
 HOT_KEY_ROWS = 1_000_000
+# Buckets for each shuffle partition, so that their hashes fill the partitions evenly, and at most.
+BUCKETS_EACH = 4
+MAX_BUCKETS = 4_096
+# Sampled rows for each bucket; a bucket's size then varies by about a quarter.
+SAMPLED_EACH = 16
 
 
-@dataclass(frozen=True)
-class PlacedRows:
-    """Rows with their place in the sorted order, and one row per stretch of a key.
+def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Column]:
+    return [left[key].eqNullSafe(right[key]) for key in keys]
 
-    `rows` adds the partition and the position in it. `runs` has one row per
-    (partition, key): first position and row count.
-    """
 
-    rows: DataFrame
-    runs: DataFrame
-    within: tuple[str, ...]
-    folder: str | None
+def _carried(column: Column, kind: DataType) -> Column:
+    """A value as it passes through Python, whatever the driver's time zone."""
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(column)
+    return column.cast("string") if isinstance(kind, (TimestampNTZType, DateType)) else column
 
 
-def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Column]:
-    return [left[key].eqNullSafe(right[key]) for key in keys]
+def _fixed(value: object, kind: DataType) -> Column:
+    if isinstance(kind, TimestampType):
+        return F.timestamp_micros(F.lit(value).cast("bigint"))
+    return F.lit(value).cast(kind)
+
+
+@dataclass(frozen=True)
+class Splitters:
+    """Ascending rows of the sort columns that cut their order into buckets."""
+
+    schema: StructType
+    rows: tuple[tuple, ...]
+
+    @property
+    def buckets(self) -> int:
+        return len(self.rows) + 1
+
+    def bucket(self) -> Column:
+        """Bucket of a row, ascending with the sort columns; NULLs come first, as in a sort."""
+        own = F.struct(*(F.col(field.name) for field in self.schema))
+        fixed = [
+            F.struct(*(_fixed(value, field.dataType).alias(field.name) for value, field in zip(row, self.schema, strict=True)))
+            for row in self.rows
+        ]
+        return count_reached(fixed, lambda limit: own >= limit)
 
 
-def place_rows(
-    df: DataFrame, order_by: Sequence[str], within: Sequence[str] = (), folder: str | None = None
-) -> PlacedRows:
-    """Range-sort by key and order, and write each row's place down.
+def fit_splitters(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> Splitters:
+    """Splitters for about equally many rows in each bucket.
 
-    A hot key spreads over as many range partitions as it needs. `order_by`
-    must be unique within a key; rows equal in every sort column share a task.
-    `folder` holds the written tables, replacing those of an earlier call.
+    They are quantiles of a sample: the rows with the smallest hashes, which
+    every task selects from its own rows and any two selections merge. It is the
+    same for the same rows, however they are split, and of bounded size.
     """
-    keys = [*within, *order_by]
-    sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = sorted_rows.withColumn(_PART, F.spark_partition_id()).withColumn(
-        _POS, F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_BITS))
-    )
-    rows = scratch_table(placed, "placed", folder)
-    runs = rows.groupBy(_PART, *within).agg(F.min(_POS).alias("first"), F.count("*").alias("n"))
-    return PlacedRows(rows, scratch_table(runs, "runs", folder), tuple(within), folder)
+    buckets = buckets or min(BUCKETS_EACH * shuffle_partitions(df.sparkSession), MAX_BUCKETS)
+    columns = df.select(*order)
+    sample = columns.orderBy(F.xxhash64(*order), *order).limit(SAMPLED_EACH * buckets)
+    carried = sample.orderBy(*order).select(*(_carried(F.col(f.name), f.dataType).alias(f.name) for f in columns.schema))
+    rows = [tuple(row) for row in carried.collect()]
+    chosen = [rows[len(rows) * n // buckets] for n in range(1, buckets)] if rows else []
+    return Splitters(columns.schema, tuple(dict.fromkeys(chosen)))
+
 
+def bucket_runs(df: DataFrame, splitters: Splitters, within: Sequence[str] = ()) -> DataFrame:
+    """Rows per bucket and key, as column `n`."""
+    return df.withColumn(_BUCKET, splitters.bucket()).groupBy(_BUCKET, *within).agg(F.count("*").alias("n"))
 
-def number_rows(placed: PlacedRows, name: str = "ordinal", start: DataFrame | None = None) -> DataFrame:
-    """Turn places into 1-based ordinals per key.
 
-    `start` (key columns, `start` bigint) continues an earlier count. Without
-    key columns the running sum covers one row per partition.
+def number_rows(
+    df: DataFrame,
+    order_by: Sequence[str],
+    within: Sequence[str] = (),
+    name: str = "ordinal",
+    start: DataFrame | None = None,
+    folder: str | None = None,
+    buckets: int | None = None,
+) -> DataFrame:
+    """1-based ordinals per key, whatever the keys' sizes.
+
+    Rows are dealt into buckets of the order by key and `order_by`, numbered
+    inside each bucket and shifted by the rows of the key in the buckets before.
+    A hot key fills as many buckets as it needs, and the rows themselves are
+    shuffled once and written nowhere. `df` is read three times: for the
+    splitters and the counts, of the sort columns alone, and for the numbers.
+    `start` (key columns, `start` bigint) continues an earlier count.
     """
-    keys = list(placed.within)
-    runs = placed.runs
-    base = F.lit(1)
+    keys = list(within)
+    if start is not None and not keys:
+        raise ValueError("a start needs key columns")
+    splitters = fit_splitters(df, [*keys, *order_by], buckets)
+    runs = bucket_runs(df.select(*dict.fromkeys([*keys, *order_by])), splitters, keys)
+    inside = Window.partitionBy(_BUCKET, *keys).orderBy(*order_by)
+    numbered = df.withColumn(_BUCKET, splitters.bucket()).withColumn(name, F.row_number().over(inside).cast("bigint"))
+    if not keys:
+        # One number for each bucket.
+        sizes = {row[_BUCKET]: row.n for row in runs.collect()}
+        shifts = accumulate((sizes.get(b, 0) for b in range(splitters.buckets - 1)), initial=0)
+        shift = F.get(F.array(*(F.lit(s).cast("bigint") for s in shifts)), F.col(_BUCKET))
+        return numbered.withColumn(name, F.col(name) + shift).drop(_BUCKET)
+    base = F.lit(0)
     if start is not None:
-        if not keys:
-            raise ValueError("a start needs key columns")
         begun = runs.join(start, _same_key(runs, start, keys), "left")
         runs = begun.select(*(runs[c] for c in runs.columns), start["start"])
-        base = base + F.coalesce("start", F.lit(0))
-    order = (Window.partitionBy(*keys) if keys else Window).orderBy(_PART)
-    earlier = F.coalesce(
-        F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    shifts = scratch_table(
-        runs.select(_PART, *keys, (earlier + base - F.col("first")).alias(_SHIFT)), "shifts", placed.folder
-    )
-    rows = placed.rows
-    match = [rows[_PART] == shifts[_PART], *_same_key(rows, shifts, keys)]
-    # A (partition, key) pair holds at most one range partition, so the join has no
-    # hot key; the written table's size decides whether Spark broadcasts it.
-    return rows.join(shifts, match).select(
-        *(rows[c] for c in rows.columns if c not in (_PART, _POS)),
-        (rows[_POS] + shifts[_SHIFT]).alias(name),
+        base = F.coalesce("start", F.lit(0))
+    before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("n").over(before), F.lit(0))
+    shifts = scratch_table(runs.select(_BUCKET, *keys, (earlier + base).alias(_SHIFT)), "shifts", folder)
+    match = [numbered[_BUCKET] == shifts[_BUCKET], *_same_key(numbered, shifts, keys)]
+    # A (bucket, key) pair holds at most one bucket, so the join has no hot key; the
+    # written table's size decides whether Spark broadcasts it.
+    return numbered.join(shifts, match).select(
+        *(numbered[c] for c in df.columns),
+        (numbered[name] + shifts[_SHIFT]).alias(name),
     )
 
 
@@ -131,17 +174,17 @@ def add_ordinal(
 ) -> DataFrame:
     """`row_number` over `order_by`, per `within` or over the whole table.
 
-    Keys of more than `hot_key_rows` go through `place_rows`, which may use many
+    Keys of more than `hot_key_rows` go through `number_rows`, which may use many
     tasks for one key; the bound is what a task can sort and depends on no
     setting. For all others a window does the same with a single shuffle. The
     order has to be unique within a key: then both give the same numbers, while
-    rows that tie may get theirs in any order. `df` is read for
-    counting, unless its `counts` per key are known, and for numbering, so pass
-    a table or a cheap plan. `start` and `folder` are those of `number_rows` and
-    `place_rows`.
+    rows that tie may get theirs in any order. `df` is read several times, so
+    pass a table or a cheap plan that gives the same rows each time. `counts` per
+    key are taken instead of counting; `start` and `folder`, for the small tables
+    written on the way, are those of `number_rows`.
     """
     if not within:
-        return number_rows(place_rows(df, order_by, folder=folder), name, start)
+        return number_rows(df, order_by, (), name, start, folder)
     counts = key_counts(df, within) if counts is None else counts
     hot = scratch_table(hot_keys(counts, within, hot_key_rows), "hot", folder)
     if hot.isEmpty():
@@ -150,5 +193,5 @@ def add_ordinal(
     same = _same_key(df, hot, within)
     heavy = df.join(hot, same, "left_semi")
     light = df.join(hot, same, "left_anti")
-    numbered = number_rows(place_rows(heavy, order_by, within, folder), name, start)
+    numbered = number_rows(heavy, order_by, within, name, start, folder)
     return numbered.unionByName(_window_ordinal(light, order_by, within, name, start))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from session_settings import settings
 
 from spokeworks.operators import counts
-from spokeworks.operators.ordinal import add_ordinal, hot_keys, key_counts, number_rows, place_rows
+from spokeworks.operators.ordinal import add_ordinal, bucket_runs, fit_splitters, hot_keys, key_counts, number_rows
 
 
 @pytest.fixture(autouse=True, scope="module")
@@ -41,7 +41,7 @@ def test_shuffled_join_of_places(spark, skewed):
     expected = skewed.withColumn("n", F.row_number().over(window).cast("bigint"))
     off = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1"}
     with settings(spark, **off):
-        numbered = number_rows(place_rows(skewed, ["at", "id"], ["key"]), "n")
+        numbered = number_rows(skewed, ["at", "id"], ["key"], "n")
         assert "SortMergeJoin" in numbered._jdf.queryExecution().executedPlan().toString()
         assert same(numbered, expected)
 
@@ -71,17 +71,67 @@ def test_hot_keys_do_not_depend_on_the_session(spark, skewed, partitions):
         assert {r.key for r in hot_keys(key_counts(skewed, ["key"]), ["key"], 100).collect()} == {"hot", None}
         assert {r.key for r in hot_keys(key_counts(skewed, ["key"]), ["key"], 9_999).collect()} == {"hot", None}
         assert hot_keys(key_counts(skewed, ["key"]), ["key"], 10_000).isEmpty()
-        placed = place_rows(skewed, ["at", "id"], ["key"])
-        tasks = placed.runs.filter("key = 'hot'").count()
-        assert tasks > 1 or partitions == "2" and placed.runs.select("__part").distinct().count() == 2
+        assert buckets_of(skewed).count("hot") > 1
+
+
+def buckets_of(table):
+    """The key of every (bucket, key) pair."""
+    splitters = fit_splitters(table, ["key", "at", "id"])
+    return [r.key for r in bucket_runs(table, splitters, ["key"]).collect()]
 
 
 def test_hot_key_uses_several_tasks(skewed):
-    placed = place_rows(skewed, ["at", "id"], ["key"])
-    per_task = {(r.key, r["__part"]): r.n for r in placed.runs.collect()}
-    hot = [n for (key, _), n in per_task.items() if key == "hot"]
-    assert len(hot) > 1 and sum(hot) == 10_000
-    assert max(hot) < 10_000
+    runs = bucket_runs(skewed, fit_splitters(skewed, ["key", "at", "id"]), ["key"])
+    hot = [r.n for r in runs.collect() if r.key == "hot"]
+    assert len(hot) > 4 and sum(hot) == 10_000
+    assert max(hot) < 3_000
+
+
+def test_buckets_are_even_and_ordered(spark, skewed):
+    """Also where all rows agree but in the last sort column, and whatever split the table has."""
+    for table, order in ((skewed, ["at", "id"]), (skewed.withColumn("at", F.lit(1)), ["at", "id"])):
+        splitters = fit_splitters(table, order, 32)
+        assert splitters == fit_splitters(table.repartition(5, "id"), order, 32)
+        sizes = {r["__bucket"]: r.n for r in bucket_runs(table, splitters).collect()}
+        assert len(sizes) == 32 and max(sizes.values()) < 2 * 30_000 / 32
+        placed = table.withColumn("b", splitters.bucket()).groupBy("b").agg(F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi"))
+        ends = [(r.lo, r.hi) for r in placed.orderBy("b").collect()]
+        assert all(tuple(a[1]) < tuple(b[0]) for a, b in zip(ends, ends[1:]))
+
+
+KINDS = {
+    "instant": "timestamp_micros(id * 3600000123)",
+    "wall": "CAST(timestamp_micros(id * 3600000123) AS timestamp_ntz)",
+    "day": "date_add(DATE '2024-01-01', CAST(id AS int))",
+    "text": "concat('ä', CAST(id AS string))",
+    "real": "CASE WHEN id = 3 THEN double('NaN') WHEN id = 4 THEN double('-Infinity') ELSE id / 7 END",
+    "exact": "CAST(id / 3 AS decimal(20,5))",
+    "bytes": "unhex(lpad(hex(id * 37), 6, '0'))",
+    "gone": "CASE WHEN id % 3 > 0 THEN id END",
+}
+
+
+@pytest.mark.parametrize("kind", list(KINDS))
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_order_of_every_type(spark, kind, zone):
+    """Splitters pass through Python and back without a change, NULLs and NaN included."""
+    with settings(spark, spark__sql__session__timeZone=zone):
+        table = spark.range(500).select(F.expr(KINDS[kind]).alias("v"), "id")
+        expected = table.withColumn("n", F.row_number().over(Window.orderBy("v", "id")).cast("bigint"))
+        assert same(add_ordinal(table, ["v", "id"], name="n"), expected)
+
+
+def test_no_row_is_written_on_the_way(spark, skewed, monkeypatch):
+    """Only small tables are written: the hot keys, and a shift for each bucket and key."""
+    from spokeworks.operators import ordinal
+
+    written, keep = {}, ordinal.scratch_table
+    monkeypatch.setattr(ordinal, "scratch_table", lambda df, label, folder=None: written.setdefault(label, keep(df, label, folder)))
+    wide = skewed.withColumn("more", F.lit("x"))
+    add_ordinal(wide, ["at", "id"], ["key"], "n", 100).count()
+    add_ordinal(wide, ["at", "id"], name="n").count()
+    assert set(written) == {"hot", "shifts"}
+    assert written["shifts"].count() < 200 and "more" not in written["shifts"].columns
 
 
 @pytest.mark.parametrize("hot_key_rows", [1, 1_000_000], ids=["split", "window"])
@@ -96,8 +146,9 @@ def test_continues_from_a_start(spark, skewed, hot_key_rows):
 
 
 def test_no_window_gathers_the_rows(skewed):
-    plan = add_ordinal(skewed, ["at", "id"])._jdf.queryExecution().toString()
-    assert "Window" not in plan and "SinglePartition" not in plan
+    plan = add_ordinal(skewed, ["at", "id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert plan.count("Exchange hashpartitioning(__bucket") == plan.count("Exchange") == 1
 
 
 def test_visit_totals(skewed):
