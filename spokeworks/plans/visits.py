@@ -73,8 +73,8 @@ def _ranges(events: DataFrame) -> list[DataFrame]:
 def stream_visit_total(spark: SparkSession, folder: str) -> DataFrame:
     work = scratch_path(spark, "stream-totals")
     events = stream_table(spark, folder, "events")
-    streams.start_visit_totals(events, _KEY, f"{work}/out", f"{work}/checkpoint", availableNow=True).awaitTermination()
-    return streams.read_visit_totals(events, f"{work}/out", _KEY)
+    streams.start_visit_totals(events, _KEY, work, availableNow=True).awaitTermination()
+    return streams.read_visit_totals(events, _KEY, work)
 
 
 def stream_visit_ordinal(spark: SparkSession, folder: str) -> DataFrame:

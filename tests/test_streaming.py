@@ -5,11 +5,9 @@ import shutil
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from spokeworks.plans import visits as plans
 from spokeworks.streaming import visits as streams
-from spokeworks.streaming.ledger import KeyLedger
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, key string"
 BATCHES = 7
@@ -53,7 +51,7 @@ def expected(events):
 def run_ordinals(spark, feed, folder, hot_key_rows=50):
     query = streams.start_visit_ordinals(
         source(spark, feed), ["key"], ["ts", "event_id"], f"{folder}/out", f"{folder}/ck",
-        buckets=16, hot_key_rows=hot_key_rows, availableNow=True,
+        hot_key_rows=hot_key_rows, availableNow=True,
     )
     query.awaitTermination()
 
@@ -64,13 +62,61 @@ def same(left, right):
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
 
+def run_totals(spark, feed, folder, keys=("key",)):
+    streams.start_visit_totals(source(spark, feed), list(keys), f"{folder}/totals", availableNow=True).awaitTermination()
+
+
 def test_totals(spark, events, feed, tmp_path):
-    query = streams.start_visit_totals(
-        source(spark, feed), ["key"], f"{tmp_path}/out", f"{tmp_path}/ck", availableNow=True
+    run_totals(spark, feed, tmp_path)
+    found = streams.read_visit_totals(events, ["key"], f"{tmp_path}/totals")
+    assert same(found, events.groupBy("key").agg(F.count("*").alias("visits")))
+    # The state is read, and nothing else is there to read.
+    assert not list((tmp_path / "totals").rglob("*.parquet"))
+
+
+def test_totals_continue_after_restart_and_replay(spark, events, feed, tmp_path):
+    import os
+
+    half = tmp_path / "feed"
+    half.mkdir()
+    early = events.filter("event_id < 900")
+    for n in range(BATCHES):
+        if n == 3:
+            run_totals(spark, str(half), tmp_path)
+            found = streams.read_visit_totals(events, ["key"], f"{tmp_path}/totals")
+            assert same(found, early.groupBy("key").agg(F.count("*").alias("visits")))
+        shutil.copy2(f"{feed}/{n}.parquet", half)
+        os.utime(half / f"{n}.parquet", (1_000_000 + n, 1_000_000 + n))
+    run_totals(spark, str(half), tmp_path)
+    forget_last_batch(tmp_path / "totals")
+    run_totals(spark, str(half), tmp_path)
+    found = streams.read_visit_totals(events, ["key"], f"{tmp_path}/totals")
+    assert same(found, events.groupBy("key").agg(F.count("*").alias("visits")))
+
+
+def test_no_totals_before_the_first_batch(spark, events, tmp_path):
+    (tmp_path / "feed").mkdir()
+    run_totals(spark, str(tmp_path / "feed"), tmp_path)
+    found = streams.read_visit_totals(events, ["key"], f"{tmp_path}/totals")
+    assert found.columns == ["key", "visits"] and found.isEmpty()
+
+
+def forget_last_batch(checkpoint):
+    """As if the driver had died after the last batch was written and before it was marked as done."""
+    for name in (str(BATCHES - 1), f".{BATCHES - 1}.crc"):
+        (checkpoint / "commits" / name).unlink(missing_ok=True)
+
+
+def test_state_gets_one_row_per_task_and_key(spark, feed, tmp_path):
+    """A hot key is counted in the tasks before the state store sees it."""
+    run_totals(spark, feed, tmp_path)
+    query = streams.start_visit_ordinals(
+        source(spark, feed), ["key"], ["ts", "event_id"], f"{tmp_path}/out", f"{tmp_path}/ck", availableNow=True
     )
     query.awaitTermination()
-    found = streams.read_visit_totals(events, f"{tmp_path}/out", ["key"])
-    assert same(found, events.groupBy("key").agg(F.count("*").alias("visits")))
+    for progress in query.recentProgress:
+        updated = sum(operator["numRowsUpdated"] for operator in progress["stateOperators"])
+        assert updated <= 22 < progress["numInputRows"]
 
 
 @pytest.mark.parametrize("hot_key_rows", [50, 1_000_000], ids=["split", "window"])
@@ -79,10 +125,7 @@ def test_ordinals_and_repeated_batch(spark, feed, expected, tmp_path, hot_key_ro
     read = lambda: spark.read.parquet(f"{tmp_path}/out").drop("batch_id")
     assert same(read(), expected)
     assert len(list((tmp_path / "out").glob("batch_id=*"))) == BATCHES
-    # Forget that the last batch was finished, as if the driver had died after writing it.
-    commits = tmp_path / "ck" / "stream" / "commits"
-    for name in (str(BATCHES - 1), f".{BATCHES - 1}.crc"):
-        (commits / name).unlink(missing_ok=True)
+    forget_last_batch(tmp_path / "ck" / "stream")
     run_ordinals(spark, feed, tmp_path)
     assert same(read(), expected)
 
@@ -109,39 +152,8 @@ def test_one_counter_for_all(spark, feed, events, tmp_path):
     window = Window.orderBy(F.floor(F.col("event_id") / 300), "ts", "event_id")
     expected = events.withColumn("visit_no", F.row_number().over(window).cast("bigint"))
     assert same(spark.read.parquet(f"{tmp_path}/out").drop("batch_id"), expected)
-    totals = streams.start_visit_totals(
-        source(spark, feed), [], f"{tmp_path}/totals", f"{tmp_path}/totals-ck", availableNow=True
-    )
-    totals.awaitTermination()
-    assert streams.read_visit_totals(events, f"{tmp_path}/totals", []).first().visits == 2100
-
-
-def test_a_small_batch_reads_a_small_part_of_the_ledger(spark, tmp_path):
-    keys = spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(1).alias("n"))
-    ledger = KeyLedger(spark, str(tmp_path), ["key"], [StringType()], buckets=64)
-    ledger.merge(0, keys)
-    few = keys.filter("key in ('k1', 'k77', 'k4000', 'new')").unionByName(spark.createDataFrame([("new", 1)], "key string, n int"))
-    start = ledger.starts(1, few)
-    files = [f for f in start.inputFiles() if "version=" in f]
-    read = spark.read.parquet(*files).count()
-    assert 0 < read < 200_000 * 5 / 64
-    assert {(r.key, r.n) for r in start.collect()} == {("k1", 1), ("k77", 1), ("k4000", 1)}
-    ledger.merge(1, few)
-    assert ledger.current().count() == 200_001
-    assert {r.n for r in ledger.current().filter("key in ('k1', 'k77', 'k4000')").collect()} == {2}
-
-
-def test_ledger_stays_bounded_and_repeats(spark, tmp_path):
-    ledger = KeyLedger(spark, str(tmp_path), ["key"], [StringType()], buckets=4)
-    for batch in range(12):
-        rows = spark.createDataFrame([(f"k{batch % 5}", 1), (None, 1), ("all", 1)], "key string, n int")
-        for _ in range(2):  # every batch twice
-            ledger.merge(batch, rows)
-    assert {r.key: r.n for r in ledger.current().collect()} == {None: 12, "all": 12, "k0": 3, "k1": 3, "k2": 2, "k3": 2, "k4": 2}
-    assert len(list(tmp_path.glob("version=*/bucket=*"))) <= 8
-    assert len(list(tmp_path.glob("manifest/*.json"))) == 2
-    with pytest.raises(ValueError, match="4 buckets"):
-        KeyLedger(spark, str(tmp_path), ["key"], [StringType()], buckets=8).current()
+    run_totals(spark, feed, tmp_path, [])
+    assert streams.read_visit_totals(events, [], f"{tmp_path}/totals").first().visits == 2100
 
 
 @pytest.mark.parametrize("timed", ["some", "none", "skewed"])
