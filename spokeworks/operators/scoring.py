@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spokeworks.functions import parse_flag, parse_int
 from spokeworks.operators.joins import MAX_BROADCAST_ROWS, bounded_table, lookup_join
+from spokeworks.operators.ranges import Break, band_label, with_band_label
 
 # Fixed values of the tyre-pressure rule, in pounds and psi.
 LIGHT_BELOW = 180
@@ -25,8 +26,13 @@ PSI_ADJUSTMENTS = {
     32: {"light": -43, "medium": -38, "heavy": -33},
 }
 
+# The band of a weight that is no number.
+UNKNOWN_BAND = "medium"
+
 Adjustments = Mapping[int, Mapping[str, int]]
 
+_WEIGHT = "__total_weight"
+
 
 def coerce_profile(profiles: DataFrame) -> DataFrame:
     """Numbers and flag from the raw text fields; unusable numbers become NULL."""
@@ -40,17 +46,31 @@ def coerce_profile(profiles: DataFrame) -> DataFrame:
     )
 
 
+def weight_breaks(light_below: float = LIGHT_BELOW, heavy_above: float = HEAVY_ABOVE) -> list[Break]:
+    """light, then medium from one limit on, then heavy beyond the other."""
+    return [Break(None, "light"), Break(light_below, UNKNOWN_BAND), Break(heavy_above, "heavy", after=True)]
+
+
 def weight_band(total: Column, light_below: float = LIGHT_BELOW, heavy_above: float = HEAVY_ABOVE) -> Column:
     """light, medium or heavy; both limits and NULL are medium."""
-    return F.when(total < light_below, "light").when(total > heavy_above, "heavy").otherwise("medium")
+    return band_label(total, weight_breaks(light_below, heavy_above), UNKNOWN_BAND)
 
 
 def with_band(
-    profiles: DataFrame, light_below: float = LIGHT_BELOW, heavy_above: float = HEAVY_ABOVE
+    profiles: DataFrame,
+    light_below: float = LIGHT_BELOW,
+    heavy_above: float = HEAVY_ABOVE,
+    breaks: Sequence[Break] | DataFrame | None = None,
+    unknown: str = UNKNOWN_BAND,
 ) -> DataFrame:
-    """Add the total weight's band to coerced profiles."""
-    total = F.col("riderweight") + F.col("bikeweight")
-    return profiles.withColumn("band", weight_band(total, light_below, heavy_above))
+    """Add the total weight's band to coerced profiles.
+
+    `breaks` replaces the three bands: a list, or a table (limit, label[, after])
+    of any size. Profiles without a total, or before the first break, get `unknown`.
+    """
+    weighed = profiles.withColumn(_WEIGHT, F.col("riderweight") + F.col("bikeweight"))
+    breaks = weight_breaks(light_below, heavy_above) if breaks is None else breaks
+    return with_band_label(weighed, _WEIGHT, breaks, "band", unknown).drop(_WEIGHT)
 
 
 def adjustment_table(spark: SparkSession, adjustments: Adjustments = PSI_ADJUSTMENTS) -> DataFrame:
@@ -93,9 +113,11 @@ def score_profiles(
     default: int = 0,
     light_below: float = LIGHT_BELOW,
     heavy_above: float = HEAVY_ABOVE,
+    breaks: Sequence[Break] | DataFrame | None = None,
+    unknown_band: str = UNKNOWN_BAND,
 ) -> DataFrame:
-    """Recommended pressure per raw profile, as bigint column `psi`."""
-    banded = with_band(coerce_profile(profiles), light_below, heavy_above)
+    """Recommended pressure per raw profile, as bigint column `psi`; `breaks` and `unknown_band` as in `with_band`."""
+    banded = with_band(coerce_profile(profiles), light_below, heavy_above, breaks, unknown_band)
     scored = with_adjustment(banded, adjustments, default)
     drop = F.when(F.col("tubeless"), F.lit(tubeless_drop)).otherwise(F.lit(0))
     return scored.withColumn("psi", (F.lit(baseline) + F.col("adjustment") - drop).cast("bigint"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from spokeworks.functions import fixed1_text, parse_float, parse_int
 from spokeworks.operators import nutrition, scoring
-from spokeworks.sources import read_profiles, read_table
+from spokeworks.operators.ranges import with_band_label
+from spokeworks.sources import read_checked_profiles, read_profiles, read_table, write_checked_profiles
 from spokeworks.workspace import scratch_path
 
 _WIDTHS = ["23", "25", "28", "30", "32", "27", "x"]
@@ -69,6 +70,50 @@ def psi_message(spark: SparkSession, folder: str) -> DataFrame:
     return psi_score(spark, folder).select("profile_id", scoring.psi_message(F.col("psi")).alias("message"))
 
 
+def price_band(spark: SparkSession, folder: str) -> DataFrame:
+    """The dearest part whose price each line item's price reaches: as many breaks as there are prices."""
+    part = read_table(spark, folder, "part")
+    breaks = part.select(F.col("p_retailprice").alias("limit"), F.col("p_partkey").alias("label"))
+    lines = read_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return with_band_label(lines, "l_extendedprice", breaks, "reached").select("l_orderkey", "l_linenumber", "l_extendedprice", "reached")
+
+
+def psi_score_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """Pressures by a rule that lies in tables: a weight band for each nation, and their adjustments by width."""
+    nation = read_table(spark, folder, "nation")
+    key = F.col("n_nationkey")
+    breaks = nation.select((key * 9 + 95).alias("limit"), F.col("n_name").alias("label"), (key % 2 == 1).alias("after"))
+    widths = F.explode(F.array(*(F.lit(int(w)) for w in _WIDTHS[:5]))).alias("tirewidth")
+    rule = nation.select(widths, F.col("n_name").alias("band"), key)
+    rule = rule.select("tirewidth", "band", (key * 2 - F.col("tirewidth")).cast("bigint").alias("adjustment"))
+    scored = scoring.score_profiles(rider_profiles(spark, folder), rule, breaks=breaks, unknown_band="none", default=-1)
+    return scored.select("profile_id", "band", "psi")
+
+
+def _damaged_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles as lines of text; some end early, some run on, some have no number where the id is."""
+    key = F.col("profile_id")
+    fields = ["riderweight", "bikeweight", "tirewidth", "tubeless"]
+    whole = F.concat_ws(",", key.cast("string"), *fields)
+    line = (
+        F.when(key % 19 == 3, F.concat_ws(",", key.cast("string"), *fields[:2]))
+        .when(key % 23 == 5, F.concat(whole, F.lit(",true")))
+        .when(key % 29 == 7, F.concat(F.lit("no"), whole))
+        .otherwise(whole)
+    )
+    return rider_profiles(spark, folder).select(line.alias("value"))
+
+
+def psi_score_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Pressure of every sound line of a damaged file, and the damaged lines as they stood."""
+    text, checked = scratch_path(spark, "profile-lines"), scratch_path(spark, "profiles-checked")
+    _damaged_lines(spark, folder).write.text(text)
+    sound, damaged = write_checked_profiles(read_checked_profiles(spark, text, header=False), checked)
+    scored = scoring.score_profiles(sound).select("profile_id", "psi", F.lit(None).cast("string").alias("damaged"))
+    none = F.lit(None).cast("bigint")
+    return scored.unionByName(damaged.select(none.alias("profile_id"), none.alias("psi"), "damaged"))
+
+
 def to_fixed_1(spark: SparkSession, folder: str) -> DataFrame:
     """Thirds of prices; every 89th order's are scaled beyond a bigint, every 97th's beyond plain digits."""
     order = F.col("l_orderkey")
@@ -103,6 +148,9 @@ QUERIES = {
     "psi_score": psi_score,
     "psi_score_csv": psi_score_csv,
     "psi_message": psi_message,
+    "price_band": price_band,
+    "psi_score_bands": psi_score_bands,
+    "psi_score_rejects": psi_score_rejects,
     "to_fixed_1": to_fixed_1,
     "carb_plan": carb_plan,
     "carb_food_equivalents": carb_food_equivalents,
@@ -185,6 +233,30 @@ SQL = {
     "psi_score_csv": _PROFILE_SQL + "SELECT profile_id, psi FROM scored",
     "psi_message": _PROFILE_SQL
     + "SELECT profile_id, 'Your recommended tire PSI is ' || psi || '.' AS message FROM scored",
+    "price_band": """
+SELECT l_orderkey, l_linenumber, l_extendedprice, label AS reached
+FROM lineitem ASOF LEFT JOIN (SELECT p_retailprice AS price, min(p_partkey) AS label FROM part GROUP BY p_retailprice)
+  ON l_extendedprice >= price""",
+    "psi_score_bands": _PROFILE_SQL
+    + """, nations AS (
+  SELECT n_name, n_nationkey AS k, 95 + 9 * n_nationkey + CASE WHEN n_nationkey % 2 = 1 THEN 1 ELSE 0 END AS least FROM nation),
+banded AS (
+  SELECT profile_id, width, tubeless, COALESCE(n_name, 'none') AS band, k
+  FROM num ASOF LEFT JOIN nations ON total >= least)
+SELECT profile_id, band, CAST(100 + CASE WHEN k IS NOT NULL AND width IN (23, 25, 28, 30, 32) THEN 2 * k - width ELSE -1 END
+  - CASE WHEN tubeless THEN 10 ELSE 0 END AS BIGINT) AS psi
+FROM banded""",
+    "psi_score_rejects": _PROFILE_SQL
+    + """, lines AS (
+  SELECT profile_id, concat_ws(',', profile_id, riderweight, bikeweight, tirewidth, tubeless) AS whole,
+    concat_ws(',', profile_id, riderweight, bikeweight) AS early
+  FROM raw),
+told AS (
+  SELECT profile_id, CASE WHEN profile_id % 19 = 3 THEN early WHEN profile_id % 23 = 5 THEN whole || ',true'
+    WHEN profile_id % 29 = 7 THEN 'no' || whole END AS damaged
+  FROM lines)
+SELECT CASE WHEN damaged IS NULL THEN profile_id END AS profile_id, CASE WHEN damaged IS NULL THEN psi END AS psi, damaged
+FROM told JOIN scored USING (profile_id)""",
     "to_fixed_1": f"""
 WITH t AS (
   SELECT l_orderkey, l_linenumber, l_extendedprice / 3 * CASE WHEN l_orderkey % 89 = 0 THEN {2.0**50}::DOUBLE

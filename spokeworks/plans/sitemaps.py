@@ -12,6 +12,7 @@ from spokeworks.sources import (
     publish_robots,
     publish_site,
     publish_sitemaps,
+    read_published_sitemaps,
     read_sitemap,
     read_table,
     write_sitemap_xml,
@@ -102,6 +103,13 @@ def site_publish(spark: SparkSession, folder: str) -> DataFrame:
     return _published_lines(spark, root).groupBy("file").agg(F.count("*").alias("lines"))
 
 
+def sitemap_reread(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of a published site, read back through the index of every host."""
+    root = scratch_path(spark, "reread-files")
+    publish_site(_entries(spark, folder), root, _HOST_SIZE)
+    return read_published_sitemaps(spark, root)
+
+
 def sitemap_exclude_list(spark: SparkSession, folder: str) -> DataFrame:
     """Locations whose path is not in a list."""
     locations = sitemap.page_locations(read_table(spark, folder, "pages"), prefer="bare")
@@ -136,6 +144,7 @@ QUERIES = {
     "sitemap_publish_index": sitemap_publish_index,
     "robots_txt": robots_txt,
     "site_publish": site_publish,
+    "sitemap_reread": sitemap_reread,
     "sitemap_exclude_list": sitemap_exclude_list,
     "sitemap_lastmod": sitemap_lastmod,
 }
@@ -196,6 +205,8 @@ FROM (SELECT DISTINCT host FROM files)""",
 SELECT host || '/sitemap-' || shard || '.xml' AS file, count(*) + 3 AS lines FROM sharded GROUP BY host, shard
 UNION ALL SELECT host || '/sitemap.xml', count(*) + 3 FROM files GROUP BY host
 UNION ALL SELECT DISTINCT host || '/robots.txt', 9 FROM files""",
+    "sitemap_reread": _ENTRY_SQL
+    + "SELECT host, 'sitemap-' || shard || '.xml' AS file, loc, lastmod, changefreq, priority FROM sharded",
     "sitemap_exclude_list": _ENTRY_SQL
     + "SELECT loc FROM uniq WHERE page NOT IN ('', '/blog', '/index.html', '/about')",
     "sitemap_lastmod": _ENTRY_SQL

@@ -1,4 +1,13 @@
-from spokeworks.sources.readers import read_payloads, read_profiles, read_sitemap, read_table, stream_table
+from spokeworks.sources.readers import (
+    read_checked_profiles,
+    read_payloads,
+    read_profiles,
+    read_published_sitemaps,
+    read_sitemap,
+    read_table,
+    stream_table,
+    write_checked_profiles,
+)
 from spokeworks.sources.sinks import (
     publish_index,
     publish_robots,
@@ -12,10 +21,13 @@ __all__ = [
     "publish_robots",
     "publish_site",
     "publish_sitemaps",
+    "read_checked_profiles",
     "read_payloads",
     "read_profiles",
+    "read_published_sitemaps",
     "read_sitemap",
     "read_table",
     "stream_table",
+    "write_checked_profiles",
     "write_sitemap_xml",
 ]

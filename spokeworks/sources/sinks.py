@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeworks.operators.sitemap import (
@@ -19,7 +16,8 @@ from spokeworks.operators.sitemap import (
     url_element,
     with_shard,
 )
-from spokeworks.workspace import release, scratch_table, shuffle_partitions
+from spokeworks.sources.filesink import published_lists, write_public_files
+from spokeworks.workspace import scratch_table, shuffle_partitions, store_uri
 
 # Fixed values of the sitemap documents.
 XML_DECLARATION = '<?xml version="1.0" encoding="UTF-8"?>'
@@ -59,143 +57,75 @@ def write_sitemap_xml(shards: DataFrame, path: str) -> None:
     )
 
 
-def _store_uri(spark: SparkSession, root: str) -> str:
-    """`root` as tasks address it: on Spark's default file system unless it names one."""
-    if "://" not in root and not root.startswith("file:"):
-        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
-        root = default.rstrip("/") + root
-    return re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]://", "s3://", root))
-
-
-def _file_writer(
-    root: str, staging: str, header: str, footer: str
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Task that streams lines sorted by file into `<root>/<file>`.
-
-    A file is written in the staging folder and moved when complete, so a
-    repeated task replaces it as a whole and a failed one leaves nothing behind.
-    """
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = fs.FileSystem.from_uri(root)
-        _, private_base = fs.FileSystem.from_uri(staging)
-        name, lines, out, private = None, 0, None, None
-
-        def finish() -> pd.DataFrame:
-            out.write(footer.encode())
-            out.close()
-            store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
-            store.move(private, f"{base}/{name}")
-            return pd.DataFrame({"file": [name], "lines": [lines]})
-
-        try:
-            for batch in batches:
-                for file, part in batch.groupby("file", sort=False):
-                    if file != name:
-                        if name is not None:
-                            yield finish()
-                        name, lines = file, 0
-                        private = f"{private_base}/{uuid.uuid4().hex}"
-                        store.create_dir(private_base, recursive=True)
-                        out = store.open_output_stream(private)
-                        out.write(header.encode())
-                    out.write("".join(part["line"] + "\n").encode())
-                    lines += len(part)
-            if name is not None:
-                yield finish()
-        except BaseException:
-            if out is not None:
-                out.close()
-            if private is not None and store.get_file_info(private).is_file:
-                store.delete_file(private)
-            raise
-
-    return write
-
-
-def _file_remover(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Task that deletes `<root>/<file>` for each row, and its folder once that is empty."""
-
-    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            for file in batch["file"]:
-                if store.get_file_info(f"{base}/{file}").is_file:
-                    store.delete_file(f"{base}/{file}")
-                folder = f"{base}/{file}".rsplit("/", 1)[0]
-                if folder != base and not store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
-                    if store.get_file_info(folder).type == fs.FileType.Directory:
-                        store.delete_dir(folder)
-            yield batch
-
-    return remove
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def _remove_stale(files: DataFrame, root: str, label: str) -> None:
-    """Delete what the last publication under this label wrote and this one did not.
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below `path`."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return []
+    return [status.getPath().getName() for status in store.listStatus(where) if status.isDirectory()]
 
-    The list of published files lies beside the public folder, so nothing is
-    listed; tasks delete, spread by host. Until they are done the list has both.
-    """
-    spark = files.sparkSession
-    manifest = f"{root.rstrip('/')}.published/{label}"
-    now = files.select("file")
-    if _exists(spark, manifest):
-        before = scratch_table(spark.read.schema("file string").parquet(manifest), f"{label}-before")
-        before.unionByName(now).distinct().write.mode("overwrite").parquet(manifest)
-        gone = before.join(now, "file", "left_anti")
-        tasks = shuffle_partitions(spark)
-        by_host = gone.repartition(tasks, F.substring_index("file", "/", 1))
-        by_host.mapInPandas(_file_remover(_store_uri(spark, root)), "file string").write.format("noop").mode("overwrite").save()
-    now.write.mode("overwrite").parquet(manifest)
-
-
-def _publish(lines: DataFrame, root: str, header: str, footer: str, label: str) -> DataFrame:
-    """Write (file, seq, line) rows as files; returns the list of files with line counts.
-
-    Files are staged beside the public folder. Files of an earlier publication
-    that have no place in this one are removed after the new ones stand.
+
+def _publish(lines: DataFrame, root: str, documents: dict[str, tuple[str, str]]) -> DataFrame:
+    """Write (kind, file, seq, line) rows as files; returns the files with their line counts.
+
+    One job writes all of them. What earlier publications of these kinds wrote
+    and this one did not is removed by a second one, from the lists that lie beside the
+    public folder.
     """
-    spark = lines.sparkSession
+    spark, job = lines.sparkSession, uuid.uuid4().hex
+    root = root.rstrip("/")
+    lists, uri = published_lists(root), store_uri(spark, root)
+    earlier = {kind: _folders(spark, f"{lists}/kind={kind}") for kind in documents}
     placed = lines.repartition(shuffle_partitions(spark), "file").sortWithinPartitions("file", "seq")
-    ordered = placed.select("file", "line")
-    staging = f"{root.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    writer = _file_writer(_store_uri(spark, root), _store_uri(spark, staging), header, footer)
-    try:
-        files = scratch_table(ordered.mapInPandas(writer, "file string, lines bigint"), label)
-    finally:
-        release(spark, staging)
-    _remove_stale(files, root, label)
-    return files
+    write_public_files(placed, uri, job, documents)
+
+    def listed(paths: list[str]) -> DataFrame:
+        found = [path for path in paths if _exists(spark, path)]
+        return spark.read.schema("file string, lines bigint").csv(found) if found else spark.createDataFrame([], "file string, lines bigint")
+
+    now = listed([f"{lists}/kind={kind}/job={job}" for kind in documents])
+    before = [f"kind={kind}/{folder}" for kind, folders in earlier.items() for folder in folders]
+    if before:
+        gone = listed([f"{lists}/{path}" for path in before]).select("file").distinct().join(now, "file", "left_anti")
+        removals = gone.select(F.lit("").alias("kind"), "file", F.lit(None).cast("string").alias("line"))
+        write_public_files(removals, uri, f"{job}-removals", drop_lists=before)
+    return now
 
 
 def _document(tag: str) -> tuple[str, str]:
     return f"{XML_DECLARATION}\n<{tag}>\n", f"</{tag.split(' ', 1)[0]}>"
 
 
+def _lines(rows: DataFrame, kind: str, name: Column, seq: Column, line: Column) -> DataFrame:
+    file = F.concat("host", F.lit("/"), name)
+    return rows.select(F.lit(kind).alias("kind"), file.alias("file"), seq.alias("seq"), line.alias("line"))
+
+
+def _sitemap_lines(shards: DataFrame) -> DataFrame:
+    line = url_element(F.col("loc"), F.col("lastmod"), F.col("changefreq"), F.col("priority"))
+    return _lines(shards, "sitemaps", shard_file(F.col("shard")), F.col("loc"), line)
+
+
+def _index_lines(entries: DataFrame, size: int) -> DataFrame:
+    # Padded, so that texts sort as the numbers do.
+    seq = F.lpad(F.col("shard").cast("string"), 19, "0")
+    return _lines(sitemap_index(entries, size), "index", F.lit("sitemap.xml"), seq, index_element(F.col("loc")))
+
+
 def publish_sitemaps(shards: DataFrame, root: str) -> DataFrame:
     """Write `<host>/sitemap-N.xml` below the path or URI `root`, entries in ascending order."""
-    lines = shards.select(
-        F.concat("host", F.lit("/"), shard_file(F.col("shard"))).alias("file"),
-        F.col("loc").alias("seq"),
-        url_element(F.col("loc"), F.col("lastmod"), F.col("changefreq"), F.col("priority")).alias("line"),
-    )
-    return _publish(lines, root, *_document(URLSET), "sitemaps")
+    return _publish(_sitemap_lines(shards), root, {"sitemaps": _document(URLSET)})
 
 
 def publish_index(entries: DataFrame, root: str, size: int = SITEMAP_SIZE) -> DataFrame:
     """Write `<host>/sitemap.xml`, which lists the host's shard files."""
-    lines = sitemap_index(entries, size).select(
-        F.concat("host", F.lit("/sitemap.xml")).alias("file"),
-        F.col("shard").alias("seq"),
-        index_element(F.col("loc")).alias("line"),
-    )
-    return _publish(lines, root, *_document(SITEMAP_INDEX), "index")
+    return _publish(_index_lines(entries, size), root, {"index": _document(SITEMAP_INDEX)})
 
 
 def robots_policy(policies: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> str:
@@ -208,25 +138,24 @@ def robots_policy(policies: Sequence[tuple[str, Sequence[str], Sequence[str]]])
     return "".join(blocks)
 
 
-def publish_robots(
-    entries: DataFrame, root: str, policies: Sequence[tuple[str, Sequence[str], Sequence[str]]] = ROBOTS_POLICIES
-) -> DataFrame:
-    """Write `<host>/robots.txt` with the policies and the address of the index."""
+Policies = Sequence[tuple[str, Sequence[str], Sequence[str]]]
+
+
+def _robots_lines(entries: DataFrame, policies: Policies) -> DataFrame:
     site = F.concat(F.lit("https://"), F.col("host"))
     text = F.concat(
         F.lit(robots_policy(policies)), F.lit(ROBOTS_HOST), site, F.lit(ROBOTS_SITEMAP), site, F.lit("/sitemap.xml")
     )
-    lines = (
-        entries.select("host")
-        .distinct()
-        .select(F.concat("host", F.lit("/robots.txt")).alias("file"), F.lit(0).alias("seq"), text.alias("line"))
-    )
-    return _publish(lines, root, "", "", "robots")
+    return _lines(entries.select("host").distinct(), "robots", F.lit("robots.txt"), F.lit(""), text)
+
+
+def publish_robots(entries: DataFrame, root: str, policies: Policies = ROBOTS_POLICIES) -> DataFrame:
+    """Write `<host>/robots.txt` with the policies and the address of the index."""
+    return _publish(_robots_lines(entries, policies), root, {"robots": ("", "")})
 
 
-def publish_site(entries: DataFrame, root: str, size: int = SITEMAP_SIZE) -> None:
-    """Write the sitemaps, index and robots.txt of every host; the entries are computed once."""
+def publish_site(entries: DataFrame, root: str, size: int = SITEMAP_SIZE, policies: Policies = ROBOTS_POLICIES) -> DataFrame:
+    """Write the sitemaps, index and robots.txt of every host in one pass; the entries are computed once."""
     kept = scratch_table(entries, "entries")
-    publish_sitemaps(with_shard(kept, size), root)
-    publish_index(kept, root, size)
-    publish_robots(kept, root)
+    lines = _sitemap_lines(with_shard(kept, size)).unionByName(_index_lines(kept, size)).unionByName(_robots_lines(kept, policies))
+    return _publish(lines, root, {"sitemaps": _document(URLSET), "index": _document(SITEMAP_INDEX), "robots": ("", "")})

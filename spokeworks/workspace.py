@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,6 +22,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def store_uri(spark: SparkSession, root: str) -> str:
+    """`root` as tasks address it: on Spark's default file system unless it names one."""
+    if "://" not in root and not root.startswith("file:"):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+        root = default.rstrip("/") + root
+    return re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]://", "s3://", root))
+
+
 def application_folder(spark: SparkSession) -> str:
     """Everything one application writes lies under its id."""
     return f"{scratch_root(spark)}/spokeworks/{spark.sparkContext.applicationId}"

@@ -2,7 +2,7 @@
 
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from session_settings import settings
@@ -11,8 +11,10 @@ from spokeworks.functions import iso_instant, object_key, trailing_slash, with_i
 from spokeworks.operators import sitemap
 from spokeworks.operators.joins import MAX_BROADCAST_ROWS
 from spokeworks.operators.urls import with_canonical_url
-from spokeworks.sources import publish_site, publish_sitemaps, read_sitemap, write_sitemap_xml
-from spokeworks.sources.sinks import _store_uri, robots_policy
+from spokeworks.sources import publish_site, publish_sitemaps, read_published_sitemaps, read_sitemap, write_sitemap_xml
+from spokeworks.sources.filesink import PublicFileWriter
+from spokeworks.sources.sinks import robots_policy
+from spokeworks.workspace import store_uri
 
 # url, canonical form for the site example.com with its www host preferred
 URLS = [
@@ -241,17 +243,100 @@ def test_failed_publication_leaves_the_site_as_it_was(entries, tmp_path):
     assert not list(tmp_path.glob("site.staging-*"))
 
 
-def test_writer_cleans_up_after_itself(tmp_path):
-    from spokeworks.sources.sinks import _file_writer
+def test_repeated_attempts_change_nothing(spark, tmp_path):
+    """The first attempt of every task fails behind its last row; the second is committed."""
+    root = tmp_path / "site"
+    lines = spark.range(0, 40, 1, 4).select(F.lit("k").alias("kind"), F.format_string("h/%02d.txt", "id").alias("file"), F.lit("x").alias("line"))
+    writer = PublicFileWriter(f"file://{root}", "j3", {}, [])
+    attempts = []
+    for part in lines.collect()[::10]:
+        rows = pa.RecordBatch.from_pydict({"kind": [part.kind], "file": [part.file], "line": [part.line]})
+        with pytest.raises(OSError, match="once"):
+            writer.write(_failing_after(rows))
+        attempts.append(writer.write(iter([rows])))
+    writer.commit(attempts)
+    assert published(root) == ["h/00.txt", "h/10.txt", "h/20.txt", "h/30.txt"]
+    assert not list(tmp_path.glob("site.staging-*"))
+
+
+def _failing_after(rows):
+    yield rows
+    raise OSError("once")
+
+
+def test_only_committed_attempts_are_published(tmp_path):
+    """A speculative second attempt writes the same files; the one that Spark chose is moved, the other never seen."""
+    root = f"file://{tmp_path}/site"
+    writer = PublicFileWriter(root, "j1", {"maps": ("<a>\n", "</a>")}, [])
+
+    def rows(mark):
+        return iter([pa.RecordBatch.from_pydict({"kind": ["maps"] * 3, "file": ["h/x.xml", "h/x.xml", "h/y.xml"], "line": [mark, "2", mark]})])
+
+    first, second, other = writer.write(rows("slow")), writer.write(rows("fast")), writer.write(iter([]))
+    assert not (tmp_path / "site").exists()
+    writer.commit([second, other, None])
+    assert (tmp_path / "site/h/x.xml").read_text() == "<a>\nfast\n2\n</a>"
+    assert published(tmp_path / "site") == ["h/x.xml", "h/y.xml"]
+    lists = list((tmp_path / "site.published/kind=maps/job=j1").iterdir())
+    assert [f.read_text() for f in lists] == ['"h/x.xml",2\n"h/y.xml",1\n']
+    assert first.folder != second.folder and not list(tmp_path.glob("site.staging-*"))
+
+
+def test_an_attempt_that_fails_or_is_aborted_leaves_nothing(tmp_path):
+    root = f"file://{tmp_path}/site"
+    (tmp_path / "site/h").mkdir(parents=True)
+    (tmp_path / "site/h/a.xml").write_text("old")
+    writer = PublicFileWriter(root, "j2", {}, [])
 
     def batches():
-        yield pd.DataFrame({"file": ["h/a.xml"], "line": ["x"]})
+        yield pa.RecordBatch.from_pydict({"kind": ["k"], "file": ["h/a.xml"], "line": ["new"]})
         raise OSError("gone")
 
-    writer = _file_writer(f"file://{tmp_path}/site", f"file://{tmp_path}/staging", "", "")
     with pytest.raises(OSError, match="gone"):
-        list(writer(batches()))
-    assert not [f for f in tmp_path.rglob("*") if f.is_file()]
+        writer.write(batches())
+    done = writer.write(iter([pa.RecordBatch.from_pydict({"kind": ["k"], "file": ["h/a.xml"], "line": ["new"]})]))
+    writer.abort([done, None])
+    assert (tmp_path / "site/h/a.xml").read_text() == "old"
+    assert published(tmp_path) == ["site/h/a.xml"]
+
+
+def test_reading_through_the_index(spark, entries, tmp_path):
+    root = tmp_path / "site"
+    publish_site(entries, str(root), 3)
+    back = read_published_sitemaps(spark, str(root))
+    sent = sitemap.with_shard(entries, 3).withColumn("file", sitemap.shard_file(F.col("shard"))).select(back.columns)
+    assert back.exceptAll(sent).isEmpty() and sent.exceptAll(back).isEmpty()
+    # A file that no index names is not read; one that an index names has to be there.
+    (root / "www.example.com/sitemap-9.xml").write_text("<urlset><url><loc>https://www.example.com/extra</loc></url></urlset>")
+    assert back.count() == 9
+    index = root / "www.example.com/sitemap.xml"
+    index.write_text(index.read_text().replace("sitemap-2", "sitemap-9"))
+    assert "https://www.example.com/extra" in {r.loc for r in read_published_sitemaps(spark, str(root)).collect()}
+    index.write_text(index.read_text().replace("sitemap-9", "sitemap-77"))
+    with pytest.raises(Exception, match="sitemap-77"):
+        read_published_sitemaps(spark, str(root)).collect()
+    index.write_text(index.read_text().replace("https://www.example.com/", "https://elsewhere.org/"))
+    with pytest.raises(Exception, match="not a file of www.example.com"):
+        read_published_sitemaps(spark, str(root)).collect()
+
+
+def test_reading_other_namespaces_and_left_out_fields(spark, tmp_path):
+    home = tmp_path / "h.org"
+    home.mkdir()
+    (home / "sitemap.xml").write_text(
+        '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+        "<sitemap><loc>https://h.org/maps/a.xml</loc></sitemap></sitemapindex>"
+    )
+    (home / "maps").mkdir()
+    (home / "maps/a.xml").write_text(
+        '<s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:i="urn:i"><s:url><s:loc>https://h.org/?a=1&amp;b=2</s:loc>'
+        "<i:image><i:caption>x</i:caption></i:image></s:url><s:url><s:loc>https://h.org/b</s:loc><s:priority>1</s:priority></s:url></s:urlset>"
+    )
+    rows = sorted(read_published_sitemaps(spark, str(tmp_path)).collect())
+    assert [tuple(r) for r in rows] == [
+        ("h.org", "maps/a.xml", "https://h.org/?a=1&b=2", None, None, None),
+        ("h.org", "maps/a.xml", "https://h.org/b", None, None, 1.0),
+    ]
 
 
 def test_policies():
@@ -270,4 +355,4 @@ def test_policies():
     ],
 )
 def test_store_addresses(spark, root, uri):
-    assert _store_uri(spark, root) == uri
+    assert store_uri(spark, root) == uri
