@@ -7,7 +7,15 @@ from spokeworks.functions.numbers import (
     parse_int,
     tenths_text,
 )
-from spokeworks.functions.payload import contract_verdict, json_field, keep_last_key, strict_json
+from spokeworks.functions.payload import (
+    contract_verdict,
+    json_field,
+    keep_last_key,
+    parsed_body,
+    parsed_field,
+    parsed_verdict,
+    strict_json,
+)
 from spokeworks.functions.text import count_label, iso_instant, utc_instant, with_iso_instant, xml_escape
 from spokeworks.functions.urls import (
     file_extension,
@@ -19,6 +27,9 @@ from spokeworks.functions.urls import (
 )
 
 __all__ = [
+    "parsed_verdict",
+    "parsed_field",
+    "parsed_body",
     "contract_verdict",
     "count_label",
     "file_extension",

@@ -44,11 +44,11 @@ def strict_json(body: Column) -> Column:
     return F.when(flat | in_array.isNotNull(), in_object)
 
 
-def _path(field: str) -> str:
+def _path(field: str, root: str = "$.v") -> str:
     quote = "'" if '"' in field else '"'
     if quote in field:
         raise ValueError(f"a field name with both kinds of quotes has no path: {field}")
-    return f"$.v[{quote}{field}{quote}]"
+    return f"{root}[{quote}{field}{quote}]"
 
 
 def json_field(body: Column, field: str, as_type: str) -> Column:
@@ -59,12 +59,26 @@ def json_field(body: Column, field: str, as_type: str) -> Column:
     return F.try_variant_get(strict_json(body), _path(field), as_type)
 
 
+def parsed_body(doc: Column) -> Column:
+    """The payload itself, as a variant, from what `strict_json` gives."""
+    return F.try_variant_get(doc, "$.v", "variant")
+
+
+def parsed_field(parsed: Column, field: str, as_type: str) -> Column:
+    """Top-level `field` of a parsed payload as `as_type`; no text is parsed."""
+    return F.try_variant_get(parsed, _path(field, "$"), as_type)
+
+
 def contract_verdict(status: Column, body: Column, field: str) -> Column:
     """'pass' where status is 200 and `field` is a JSON number, else the reason.
 
     Payloads with the field are parsed once; the others again for the reason.
     """
-    doc = strict_json(body)
+    return parsed_verdict(status, strict_json(body), field)
+
+
+def parsed_verdict(status: Column, doc: Column, field: str) -> Column:
+    """`contract_verdict` from what `strict_json` gives."""
     kind = F.schema_of_variant(F.try_variant_get(doc, _path(field), "variant"))
     reason = F.when(doc.isNull(), "unparseable").otherwise("missing")
     name = F.substring_index(F.substring_index(F.coalesce(kind, reason), "(", 1), "<", 1)

@@ -58,3 +58,35 @@ def resolve_routes(
         .withColumn("found", found)
         .withColumn("served_key", F.when(F.col("found"), F.col(key)).otherwise(F.lit(error_key)))
     )
+
+
+def store_objects(
+    objects: DataFrame, name: str, buckets: int, key: str = "object_key", scope: Sequence[str] = (), path: str | None = None
+) -> None:
+    """Keep the distinct objects as table `name`, in `buckets` sorted by key, for `resolve_stored_routes`.
+
+    Take as many buckets as requests have shuffle partitions, or more: then
+    requests move to the objects, and the objects stay where they are.
+    """
+    on = [*scope, key]
+    writer = objects.select(*on).distinct().repartition(buckets, *on).write.mode("overwrite")
+    (writer.option("path", path) if path else writer).bucketBy(buckets, *on).sortBy(*on).saveAsTable(name)
+
+
+def resolve_stored_routes(
+    requests: DataFrame, name: str, key: str = "object_key", scope: Sequence[str] = (), error_key: str = "error.html"
+) -> DataFrame:
+    """`resolve_routes` against the objects that `store_objects` has kept, as often as there are requests.
+
+    Every key that is asked for is looked up once, however many requests ask
+    for it; only those keys are shuffled to the objects' buckets. `requests` is
+    read twice, so pass a table or a cheap plan.
+    """
+    on = [*scope, key]
+    known = requests.sparkSession.table(name).select(*on, F.lit(True).alias("found"))
+    asked = requests.select(*on).distinct().join(known, on, "inner")
+    return (
+        lookup_join(requests, asked, on, "left")
+        .withColumn("found", F.coalesce("found", F.lit(False)))
+        .withColumn("served_key", F.when(F.col("found"), F.col(key)).otherwise(F.lit(error_key)))
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spokeworks.functions import parsed_field
 from spokeworks.operators import contract
 from spokeworks.sources import read_payloads, read_table
 from spokeworks.workspace import scratch_path
@@ -66,6 +67,14 @@ def json_passing(spark: SparkSession, folder: str) -> DataFrame:
     return contract.passing(_checked(spark, folder)).select("event_id", "body")
 
 
+def json_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields and verdicts of payloads that were parsed once, stored in parsed form and read back."""
+    path = scratch_path(spark, "parsed")
+    contract.write_parsed(contract.parse_payloads(payloads(spark, folder), _FIELD), path)
+    k = parsed_field(F.col("doc"), _FIELD, "double")
+    return spark.read.parquet(path).select("event_id", "status", "verdict", k.alias("k"))
+
+
 QUERIES = {
     "json_field": json_fields,
     "json_contract": json_contract,
@@ -73,6 +82,7 @@ QUERIES = {
     "json_passing": json_passing,
     "json_gated": json_gated,
     "payload_lines": payload_lines,
+    "json_stored": json_stored,
 }
 
 _PAYLOAD_SQL = """
@@ -106,6 +116,8 @@ checked AS (
 SQL = {
     "json_field": _PAYLOAD_SQL
     + "SELECT event_id, TRY_CAST(json_extract_string(doc, '$.k') AS DOUBLE) AS k FROM checked",
+    "json_stored": _PAYLOAD_SQL
+    + "SELECT event_id, status, verdict, TRY_CAST(json_extract_string(doc, '$.k') AS DOUBLE) AS k FROM checked",
     "json_contract": _PAYLOAD_SQL
     + "SELECT verdict, count(*) AS payloads FROM checked GROUP BY verdict",
     "json_quarantine": _PAYLOAD_SQL

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeworks.functions import object_key
 from spokeworks.operators import routing, urls
 from spokeworks.sources import read_table
+from spokeworks.workspace import scratch_path, shuffle_partitions
 
+# Buckets of the stored objects, at least.
+_BUCKETS = 8
 _HREF = 'href="([^"]*)"'
 
 
@@ -51,11 +56,21 @@ def route_resolve(spark: SparkSession, folder: str) -> DataFrame:
     return routed.select("page_id", "link_no", "found", "served_key")
 
 
+def route_resolve_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same routes against objects that are kept in buckets."""
+    name = f"route_objects_{uuid.uuid4().hex}"
+    buckets = max(_BUCKETS, shuffle_partitions(spark))
+    routing.store_objects(stored_objects(spark, folder), name, buckets, scope=["host"], path=scratch_path(spark, name))
+    routed = routing.resolve_stored_routes(requests(spark, folder), name, scope=["host"])
+    return routed.select("page_id", "link_no", "found", "served_key")
+
+
 QUERIES = {
     "canonical_url": canonical_url,
     "object_key": object_keys,
     "content_type_lookup": content_type_lookup,
     "route_resolve": route_resolve,
+    "route_resolve_stored": route_resolve_stored,
 }
 
 CANONICAL_SQL = """
@@ -90,6 +105,13 @@ stored AS (
 """
 )
 
+_RESOLVE_SQL = (
+    _ROUTE_SQL
+    + """SELECT page_id, link_no, s.object_key IS NOT NULL AS found,
+  COALESCE(s.object_key, 'error.html') AS served_key
+FROM keyed k LEFT JOIN stored s ON s.host = k.host AND s.object_key = k.object_key"""
+)
+
 SQL = {
     "canonical_url": CANONICAL_SQL + "SELECT page_id, loc AS canonical_url FROM located",
     "object_key": _ROUTE_SQL + "SELECT page_id, link_no, object_key FROM keyed",
@@ -97,8 +119,6 @@ SQL = {
     + """SELECT page_id, link_no, CASE regexp_extract(object_key, '\\.[A-Za-z0-9]+$')
   WHEN '.html' THEN 'text/html' WHEN '.css' THEN 'text/css' WHEN '.js' THEN 'text/javascript' END AS content_type
 FROM keyed""",
-    "route_resolve": _ROUTE_SQL
-    + """SELECT page_id, link_no, s.object_key IS NOT NULL AS found,
-  COALESCE(s.object_key, 'error.html') AS served_key
-FROM keyed k LEFT JOIN stored s ON s.host = k.host AND s.object_key = k.object_key""",
+    "route_resolve": _RESOLVE_SQL,
+    "route_resolve_stored": _RESOLVE_SQL,
 }

@@ -85,3 +85,39 @@ def test_content_types(spark):
     rows = {"a/index.html": "text/html", "s.css": "text/css", "x.min.js": "text/javascript", "b": None, "p.png": None}
     table = spark.createDataFrame([(k,) for k in rows], "object_key string")
     assert {r.object_key: r.content_type for r in routing.with_content_type(table).collect()} == rows
+
+
+def test_stored_objects_stay_where_they_are(spark, tmp_path):
+    """Requests go to the objects' buckets; a hot request key is looked up once and split afterwards."""
+    objects = spark.range(3000).select((F.col("id") % 7).cast("string").alias("host"), F.concat(F.lit("k"), "id").alias("object_key"))
+    asked = spark.range(30_000).select("id", (F.col("id") % 3).cast("string").alias("host"), F.when(F.col("id") % 3 == 0, "k7").otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("object_key"))
+    name = "objects_of_a_test"
+    routing.store_objects(objects, name, 32, scope=["host"], path=str(tmp_path / "objects"))
+    try:
+        with settings(spark, **SHUFFLED):
+            found = routing.resolve_stored_routes(asked, name, scope=["host"])
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            above = _above_scan(plan, name)
+            assert any("Bucketed: true" in line for line in above)
+            assert not any("Exchange" in line for line in above), plan
+            direct = routing.resolve_routes(asked, objects, scope=["host"])
+            columns = ["id", "found", "served_key"]
+            assert found.select(columns).exceptAll(direct.select(columns)).isEmpty()
+            assert direct.select(columns).exceptAll(found.select(columns)).isEmpty()
+            assert 0 < found.filter("found").count() < 30_000
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _above_scan(plan, name):
+    """Operators between the scan of a table and the join above it: lines that begin further to the left each time."""
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "Scan" in line and name in line)
+    above = [lines[at]]
+    for line in reversed(lines[:at]):
+        depth = [len(x) - len(x.lstrip(" :+-")) for x in (line, above[-1])]
+        if depth[0] < depth[1]:
+            if "Join" in line:
+                return above
+            above.append(line)
+    return above

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from session_settings import settings
 
-from spokeworks.functions import count_label, json_field
+from spokeworks.functions import count_label, json_field, parsed_field
 from spokeworks.operators import contract
 from spokeworks.sources import read_payloads
 
@@ -146,3 +146,32 @@ def test_label(spark):
         "12 visitors to example.com",
         "Loading visitor count...",
     ]
+
+
+def test_stored_payloads_are_not_parsed_again(spark, tmp_path):
+    table = spark.createDataFrame([(i, *row[:2]) for i, row in enumerate(ROWS)], "id int, status int, body string")
+    path = str(tmp_path / "parsed")
+    parsed = contract.parse_payloads(table, "count")
+    # Once into an object, once into an array, for verdict and variant together.
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= contract.check_payloads(table, "count")._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+    contract.write_parsed(parsed, path)
+    back = spark.read.parquet(path)
+    assert {r.id: r.verdict for r in back.collect()} == {i: row[2] for i, row in enumerate(ROWS)}
+    fields = back.select("id", parsed_field(F.col("doc"), "count", "double").alias("count"))
+    plan = fields._jdf.queryExecution().executedPlan().toString()
+    assert "parse_json" not in plan.lower() and "parsejson" not in plan.lower() and "body" not in plan
+    direct = contract.with_json_field(table, "count", "double").select("id", "count")
+    assert fields.exceptAll(direct).isEmpty() and direct.exceptAll(fields).isEmpty()
+
+
+def test_a_reader_of_one_field_reads_that_field(spark, tmp_path):
+    """Frequent fields are columns of their own in the file."""
+    table = spark.range(2000).select("id", F.lit(200).alias("status"), F.concat(F.lit('{"count": '), "id", F.lit(', "note": "some words"}')).alias("body"))
+    contract.write_parsed(contract.parse_payloads(table, "count"), str(tmp_path / "p"))
+    field = parsed_field(F.col("doc"), "count", "bigint")
+    read = spark.read.parquet(str(tmp_path / "p")).select("id", field.alias("n"))
+    assert read.filter("n <> id or n is null").isEmpty()
+    import pyarrow.parquet as pq
+
+    file = next((tmp_path / "p").glob("*.parquet"))
+    assert any("typed_value.count.typed_value" in pq.ParquetFile(file).schema.column(i).path for i in range(len(pq.ParquetFile(file).schema.names)))
