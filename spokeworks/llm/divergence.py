@@ -28,71 +28,65 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACE), "")
 
 
-def _repeat_words() -> Column:
-    """Words inside 3-word windows that occur twice or more, from columns `_w` and `_packed`.
-
-    `_packed` holds each window's hash with its position in the low bits, sorted,
-    so equal windows are neighbours. Neighbours are compared word by word; should
-    unequal windows share a hash, or positions not fit, windows are sorted as words.
+def _with_repeat_words(df: DataFrame) -> DataFrame:
+    """Add `n_repeat_words`, the words inside 3-word windows that occur twice or more, from column `_w`.
+
+    Windows are hashed; a text whose hashes are all distinct repeats none. Else
+    the hashes are sorted with their positions in the low bits, so that equal windows are
+    neighbours, and neighbours are compared word by word. Should unequal windows
+    share a hash, or positions not fit, the windows themselves are sorted. All
+    of it is linear in the text but for the sorting.
     """
     mask = F.lit(-(1 << _BITS))
     at = F.lit((1 << _BITS) - 1)
-    w, packed = F.col("_w"), F.col("_packed")
+    w, packed, windows = F.col("_w"), F.col("_packed"), F.col("_windows")
+    size = F.size(w)
+    places = F.sequence(F.lit(0), size - 3)
 
     def position(x):
         return x.bitwiseAND(at).cast("int")
 
     def same_hash(x, y):
-        return x.bitwiseAND(mask) == y.bitwiseAND(mask)
+        return F.coalesce(x.bitwiseAND(mask) == y.bitwiseAND(mask), F.lit(False))
 
     def same_words(x, y):
         p, q = position(x), position(y)
         return (F.get(w, p) == F.get(w, q)) & (F.get(w, p + 1) == F.get(w, q + 1)) & (F.get(w, p + 2) == F.get(w, q + 2))
 
-    def before(i):
-        return F.get(packed, i - 1)
-
-    def beside(x, i):
-        # get() is null outside the array
-        return F.coalesce(same_hash(x, before(i)), F.lit(False)) | F.coalesce(same_hash(x, F.get(packed, i + 1)), F.lit(False))
-
-    repeated = F.filter("_packed", beside)
+    def same_window(x, y):
+        return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+
+    # get() is null outside an array, and a comparison with it false.
+    def beside(array, same):
+        return lambda x, i: same(x, F.get(array, i - 1)) | same(x, F.get(array, i + 1))
+
+    # Each step is a column of its own, so that no loop computes an array anew.
+    df = df.withColumn("_hashes", F.when(size >= 3, F.transform(places, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
+    df = df.withColumn("_again", F.coalesce(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.lit(False)))
+    fits = size < 1 << _BITS
+    numbered = F.transform("_hashes", lambda x, i: x.bitwiseAND(mask).bitwiseOR(i.cast("bigint")))
+    df = df.withColumn("_packed", F.when(F.col("_again") & fits, F.sort_array(numbered))).drop("_hashes")
+    df = df.withColumn("_repeated", F.filter("_packed", beside(packed, same_hash)))
+    repeated = F.col("_repeated")
+    # Of the neighbours with one hash every one has to be the window before it.
     clash = F.exists(
-        F.sequence(F.lit(1), F.greatest(F.size("_packed") - 1, F.lit(1))),
-        lambda i: F.coalesce(same_hash(F.get(packed, i), before(i)) & ~same_words(F.get(packed, i), before(i)), F.lit(False)),
+        F.sequence(F.lit(1), F.greatest(F.size("_repeated") - 1, F.lit(1))),
+        lambda i: same_hash(F.get(repeated, i), F.get(repeated, i - 1)) & ~same_words(F.get(repeated, i), F.get(repeated, i - 1)),
     )
-    windows = F.sort_array(
-        F.transform(
-            F.sequence(F.lit(0), F.size("_w") - 3),
-            lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("bigint").alias("p")),
-        )
+    df = df.withColumn("_by_words", F.col("_again") & (~fits | F.coalesce(clash, F.lit(False))))
+    sorted_windows = F.sort_array(
+        F.transform(places, lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("bigint").alias("p")))
     )
-    exact = F.aggregate(
-        windows,
-        F.struct(
-            F.lit(None).cast("struct<a:string,b:string,c:string,p:bigint>").alias("last"),
-            F.lit(False).alias("taken"),
-            F.array().cast("array<bigint>").alias("found"),
-        ),
-        lambda s, x: F.struct(
-            x.alias("last"),
-            F.coalesce((x["a"] == s["last"]["a"]) & (x["b"] == s["last"]["b"]) & (x["c"] == s["last"]["c"]), F.lit(False)).alias("taken"),
-            F.when(
-                F.coalesce((x["a"] == s["last"]["a"]) & (x["b"] == s["last"]["b"]) & (x["c"] == s["last"]["c"]), F.lit(False)),
-                F.concat(s["found"], F.when(s["taken"], F.array(x["p"])).otherwise(F.array(s["last"]["p"], x["p"]))),
-            ).otherwise(s["found"]).alias("found"),
-        ),
-        lambda s: F.sort_array(s["found"]),
-    )
-    quick = F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(at)))
-    marks = F.when((F.size("_w") >= 1 << _BITS) | clash, exact).otherwise(quick)
+    df = df.withColumn("_windows", F.when(F.col("_by_words"), sorted_windows))
+    marks = F.when(F.col("_by_words"), F.filter(windows, beside(windows, same_window))["p"]).otherwise(F.transform("_repeated", lambda x: x.bitwiseAND(at)))
     covered = F.aggregate(
-        marks,
+        F.sort_array(marks),
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
         lambda s, p: F.struct((s["n"] + p + 3 - F.greatest(p, s["end"])).alias("n"), (p + 3).alias("end")),
         lambda s: s["n"],
     )
-    return F.when(F.size("_w") >= 3, covered).otherwise(F.lit(0)).cast("bigint")
+    counted = df.withColumn("n_repeat_words", F.when(F.col("_again"), covered).otherwise(F.lit(0)).cast("bigint"))
+    return counted.drop("_again", "_packed", "_repeated", "_by_words", "_windows")
 
 
 def _class_counts(df: DataFrame, text: str) -> DataFrame:
@@ -176,12 +170,7 @@ def quality_rules(
     joined = body.join(F.broadcast(references), "_lang", "left") if few else lookup_join(body, references, ["_lang"], "left")
 
     split = _class_counts(joined, "_text").withColumn("_w", _words(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    w = F.col("_w")
-    packed = F.transform(
-        F.sequence(F.lit(0), F.size("_w") - 3),
-        lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(-(1 << _BITS))).bitwiseOR(i.cast("bigint")),
-    )
-    split = split.withColumn("_packed", F.when(F.size("_w") >= 3, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")))
+    split = _with_repeat_words(split)
     split = split.withColumn("_spaced", F.concat(F.lit(" "), F.lower(F.array_join("_w", "  ")), F.lit(" ")))
     held = F.transform(
         "words",
@@ -193,7 +182,7 @@ def quality_rules(
         F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
         F.size(F.regexp_extract_all("_text", F.lit(r"[#*$%&|<>]"), F.lit(0))).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        _repeat_words().alias("n_repeat_words"),
+        "n_repeat_words",
         F.length("_text").alias("_chars"),
         "_classes",
         "classes",

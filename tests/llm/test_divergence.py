@@ -55,6 +55,69 @@ def test_junk_goes_and_clean_text_stays(small, labels):
     assert np.mean(clean) > 0.99
 
 
+def _distance(p, q):
+    p, q = np.array(p), np.array(q)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = [np.where(a > 0, a * np.log2(2 * a / (a + b)), 0.0) for a, b in ((p, q), (q, p))]
+    return float(np.sqrt(max((terms[0] + terms[1]).sum() / 2, 0.0)))
+
+
+def _classes(text):
+    import regex
+
+    counts = []
+    for name in Q.CLASSES[:-1]:
+        after = regex.sub(Q._PATTERNS[name], "", text)
+        counts.append(len(text) - len(after))
+        text = after
+    return np.array([*counts, len(text)], float)
+
+
+def brute(rows):
+    """Counts, distances and verdict of every row of a table, from references over all of it."""
+    texts = [(r.doc_id, r.lang, r.text or "") for r in rows]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for _, _, t in texts]
+    classes, counts = {}, {}
+    for (_, lang, text), w in zip(texts, words):
+        classes[lang] = classes.get(lang, 0) + _classes(text)
+        counts.setdefault(lang, Counter()).update(w)
+    out = {}
+    for (doc_id, lang, text), w in zip(texts, words):
+        own, total = Counter(w), sum(counts[lang].values())
+        common = sorted(counts[lang], key=lambda x: (-counts[lang][x], x))[:24]
+        shares = [counts[lang][v] / total for v in common]
+        mine = [own[v] / max(len(w), 1) for v in common]
+        far = _distance(_classes(text) / max(len(text), 1), classes[lang] / max(classes[lang].sum(), 1))
+        odd = _distance([*mine, max(1 - sum(mine), 0)], [*shares, 1 - sum(shares)])
+        n = base(text)
+        failed = n[0] < 50 or 100 * n[4] > 50 * n[0]
+        out[doc_id] = (*n, failed, not failed and (total < 2_000 or (far <= 0.28 and odd <= 0.45)), far, odd)
+    return out
+
+
+def test_a_whole_table_against_plain_python(spark, small):
+    rows = small("documents", "0.01").select("doc_id", "lang", "text").collect()
+    want = brute(rows)
+    got = Q.quality_rules(small("documents", "0.01")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        told = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept)
+        assert told == want[r.doc_id][:7]
+        assert np.allclose([r.class_distance, r.word_distance], want[r.doc_id][7:], atol=1e-9)
+
+
+def test_a_text_beyond_the_positions(spark):
+    """2.2 million words with repeats, among them windows that only words tell apart, in linear time."""
+    import time
+
+    text = " ".join(f"w{i % 1_900_000}" for i in range(2_200_000))
+    docs = spark.createDataFrame([(1, text, "en")], "doc_id bigint, text string, lang string")
+    start = time.time()
+    row = Q.quality_rules(docs).first()
+    assert (row.n_words, row.n_repeat_words) == (2_200_000, 600_000)
+    assert time.time() - start < 90
+
+
 def test_no_python_in_the_plan(small):
     plan = Q.quality_rules(small("documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
