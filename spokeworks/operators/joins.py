@@ -33,6 +33,8 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str)
         if ours != theirs:
             raise ValueError(f"join column {name}: {ours.simpleString()} and {theirs.simpleString()}")
     tag = "__key_hash"
+    while tag in left.columns or tag in right.columns:
+        tag = f"_{tag}"
     return (
         left.withColumn(tag, F.xxhash64(*on))
         .join(right.withColumn(tag, F.xxhash64(*on)), [*on, tag], how)

@@ -6,10 +6,12 @@ import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_open_jobs: list[str] = []
+# Folders of the open jobs with the application they belong to, innermost last; each thread has its own.
+_open_jobs: ContextVar[tuple[tuple[str, str], ...]] = ContextVar("open_jobs", default=())
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,9 +38,10 @@ def application_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the application's folder, or in that of the innermost open `job`."""
-    own = _open_jobs[-1] if _open_jobs else application_folder(spark)
-    return f"{own}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder, or in that of the thread's innermost open `job`."""
+    here = application_folder(spark)
+    own = [path for application, path in _open_jobs.get() if application == here]
+    return f"{own[-1] if own else here}/{label}-{uuid.uuid4().hex}"
 
 
 def release(spark: SparkSession, path: str | None = None) -> None:
@@ -51,11 +54,12 @@ def release(spark: SparkSession, path: str | None = None) -> None:
 def job(spark: SparkSession, label: str = "job") -> Iterator[str]:
     """Intermediate tables written in this block go when it ends: write the result inside."""
     path = scratch_path(spark, label)
-    _open_jobs.append(path)
+    before = _open_jobs.get()
+    _open_jobs.set((*before, (application_folder(spark), path)))
     try:
         yield path
     finally:
-        _open_jobs.remove(path)
+        _open_jobs.set(before)
         release(spark, path)
 
 

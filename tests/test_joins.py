@@ -87,6 +87,12 @@ def test_content_types(spark):
     assert {r.object_key: r.content_type for r in routing.with_content_type(table).collect()} == rows
 
 
+def test_no_column_of_the_tables_is_touched(spark):
+    left = spark.createDataFrame([("a", 1), ("b", 2)], "k string, __key_hash int")
+    right = spark.createDataFrame([("a", 3)], "k string, ___key_hash int")
+    assert sorted(tuple(r) for r in lookup_join(left, right, ["k"], "left").collect()) == [("a", 1, 3), ("b", 2, None)]
+
+
 def test_stored_objects_stay_where_they_are(spark, tmp_path):
     """Requests go to the objects' buckets; a hot request key is looked up once and split afterwards."""
     objects = spark.range(3000).select((F.col("id") % 7).cast("string").alias("host"), F.concat(F.lit("k"), "id").alias("object_key"))

@@ -79,6 +79,29 @@ def test_job_removes_its_tables(spark, tmp_path):
     assert not Path(other.inputFiles()[0].removeprefix("file://")).exists()
 
 
+def test_jobs_of_threads_are_apart(spark):
+    """A job that ends in one thread leaves the tables of another."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    both = Barrier(2)
+
+    def work(n):
+        with workspace.job(spark, f"job{n}") as path:
+            both.wait(60)
+            table = workspace.scratch_table(spark.range(n).toDF("x"), "numbers")
+            assert table.inputFiles()[0].startswith(f"file://{path}")
+            both.wait(60)
+            if n == 7:
+                both.wait(60)  # until the other job has ended
+                return table.count()
+        both.wait(60)
+        return 0
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(work, (5, 7))) == [0, 7]
+
+
 def _parses(frame):
     return frame._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
 
