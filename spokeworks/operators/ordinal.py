@@ -8,12 +8,13 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, StructType, TimestampNTZType, TimestampType
 
 from spokeworks.operators.search import count_reached
 from spokeworks.workspace import scratch_table, shuffle_partitions
 
 _BUCKET = "__bucket"
+_LIMITS = "__limits"
+_OWN = "__own"
 _SHIFT = "__shift"
 _WEIGHT = "__weight"
 _EARLIER = "__earlier"
@@ -31,41 +32,21 @@ def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Co
     return [left[key].eqNullSafe(right[key]) for key in keys]
 
 
-def _carried(column: Column, kind: DataType) -> Column:
-    """A value as it passes through Python, whatever the driver's time zone."""
-    if isinstance(kind, TimestampType):
-        return F.unix_micros(column)
-    return column.cast("string") if isinstance(kind, (TimestampNTZType, DateType)) else column
-
-
-def _fixed(value: object, kind: DataType) -> Column:
-    if isinstance(kind, TimestampType):
-        return F.timestamp_micros(F.lit(value).cast("bigint"))
-    return F.lit(value).cast(kind)
-
-
 @dataclass(frozen=True)
 class Splitters:
-    """Ascending rows of the sort columns that cut their order into buckets."""
-
-    schema: StructType
-    rows: tuple[tuple, ...]
+    """Ascending values of the sort columns that cut their order into buckets: a table of one row with all of them."""
 
-    @property
-    def buckets(self) -> int:
-        return len(self.rows) + 1
+    order: tuple[str, ...]
+    limits: DataFrame
 
-    def bucket(self) -> Column:
-        """Bucket of a row, ascending with the sort columns; NULLs come first, as in a sort."""
-        own = F.struct(*(F.col(field.name) for field in self.schema))
-        fixed = [
-            F.struct(*(_fixed(value, field.dataType).alias(field.name) for value, field in zip(row, self.schema, strict=True)))
-            for row in self.rows
-        ]
-        return count_reached(fixed, lambda limit: own >= limit)
+    def with_bucket(self, df: DataFrame) -> DataFrame:
+        """Add the bucket of every row, ascending with the sort columns; NULLs come first, as in a sort."""
+        told = df.withColumns({_LIMITS: self.limits.scalar(), _OWN: F.struct(*self.order)})
+        reached = count_reached(F.col(_LIMITS), lambda limit: F.col(_OWN) >= limit)
+        return told.withColumn(_BUCKET, reached).drop(_LIMITS, _OWN)
 
 
-def fit_splitters(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> Splitters:
+def fit_splitters(df: DataFrame, order: Sequence[str], buckets: int | None = None, folder: str | None = None) -> Splitters:
     """Splitters for about equally many rows in each bucket.
 
     They are quantiles of a sample: the rows with the smallest hashes, which
@@ -73,17 +54,17 @@ def fit_splitters(df: DataFrame, order: Sequence[str], buckets: int | None = Non
     same for the same rows, however they are split, and of bounded size.
     """
     buckets = buckets or min(BUCKETS_EACH * shuffle_partitions(df.sparkSession), MAX_BUCKETS)
-    columns = df.select(*order)
-    sample = columns.orderBy(F.xxhash64(*order), *order).limit(SAMPLED_EACH * buckets)
-    carried = sample.orderBy(*order).select(*(_carried(F.col(f.name), f.dataType).alias(f.name) for f in columns.schema))
-    rows = [tuple(row) for row in carried.collect()]
-    chosen = [rows[len(rows) * n // buckets] for n in range(1, buckets)] if rows else []
-    return Splitters(columns.schema, tuple(dict.fromkeys(chosen)))
+    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLED_EACH * buckets)
+    rows = sample.agg(F.sort_array(F.collect_list(F.struct(*order))).alias("rows"))
+    place = lambda n: F.get("rows", F.call_function("div", F.size("rows") * n, F.lit(buckets)).cast("int"))
+    chosen = F.when(F.size("rows") > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), place)))
+    limits = rows.select(F.coalesce(chosen if buckets > 1 else F.lit(None), F.slice("rows", 1, 0)).alias("limits"))
+    return Splitters(tuple(order), scratch_table(limits, "splitters", folder))
 
 
 def bucket_runs(df: DataFrame, splitters: Splitters, within: Sequence[str] = ()) -> DataFrame:
     """Rows per bucket and key, as column `n`."""
-    return df.withColumn(_BUCKET, splitters.bucket()).groupBy(_BUCKET, *within).agg(F.count("*").alias("n"))
+    return splitters.with_bucket(df).groupBy(_BUCKET, *within).agg(F.count("*").alias("n"))
 
 
 def number_rows(
@@ -107,16 +88,16 @@ def number_rows(
     keys = list(within)
     if start is not None and not keys:
         raise ValueError("a start needs key columns")
-    splitters = fit_splitters(df, [*keys, *order_by], buckets)
+    splitters = fit_splitters(df, [*keys, *order_by], buckets, folder)
     runs = bucket_runs(df.select(*dict.fromkeys([*keys, *order_by])), splitters, keys)
     inside = Window.partitionBy(_BUCKET, *keys).orderBy(*order_by)
-    numbered = df.withColumn(_BUCKET, splitters.bucket()).withColumn(name, F.row_number().over(inside).cast("bigint"))
+    numbered = splitters.with_bucket(df).withColumn(name, F.row_number().over(inside).cast("bigint"))
     if not keys:
         # One number for each bucket.
         sizes = {row[_BUCKET]: row.n for row in runs.collect()}
-        shifts = accumulate((sizes.get(b, 0) for b in range(splitters.buckets - 1)), initial=0)
-        shift = F.get(F.array(*(F.lit(s).cast("bigint") for s in shifts)), F.col(_BUCKET))
-        return numbered.withColumn(name, F.col(name) + shift).drop(_BUCKET)
+        shifts = list(accumulate((sizes.get(b, 0) for b in range(max(sizes, default=0))), initial=0))
+        told = df.sparkSession.createDataFrame([(shifts,)], "shifts array<bigint>")
+        return numbered.withColumn(name, F.col(name) + F.get(told.scalar(), F.col(_BUCKET))).drop(_BUCKET)
     base = F.lit(0)
     if start is not None:
         begun = runs.join(start, _same_key(runs, start, keys), "left")

@@ -22,7 +22,11 @@ from spokeworks.workspace import scratch_table
 # Breaks of a table that one bin holds, unless there would be more bins than may be told to all tasks.
 BIN_BREAKS = 256
 
+# Breaks of a list that are written out in the row's own expression.
+SHORT_LIST = 64
+
 _TAG = "__break"
+_EDGES = "__edges"
 
 
 @dataclass(frozen=True)
@@ -45,9 +49,9 @@ def _known(df: DataFrame, value: str) -> Column:
 
 
 def band_label(value: Column, breaks: Sequence[Break], default: object = None) -> Column:
-    """Label of the last break that `value` has reached, for a bounded list; `default` for NULL and before the first break."""
-    if len(breaks) > MAX_BROADCAST_ROWS:
-        raise ValueError(f"more than {MAX_BROADCAST_ROWS} breaks: give a table")
+    """Label of the last break that `value` has reached, for a short list; `default` for NULL and before the first break."""
+    if len(breaks) > SHORT_LIST:
+        raise ValueError(f"more than {SHORT_LIST} breaks: use with_band_label")
     start = [b.label for b in breaks if b.limit is None]
     listed = sorted((b for b in breaks if b.limit is not None), key=lambda b: (b.limit, b.after))
     labels = F.array(*(F.lit(x) for x in [start[-1] if start else default, *(b.label for b in listed)]))
@@ -56,17 +60,18 @@ def band_label(value: Column, breaks: Sequence[Break], default: object = None) -
     return F.when(value.isNotNull(), F.get(labels, place)).otherwise(F.lit(default))
 
 
-def _bins(breaks: DataFrame) -> tuple[DataFrame, list]:
-    """Breaks in ascending order as one array per bin, and the first break of each bin but the first."""
+def _bins(breaks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Breaks in ascending order as one array per bin, and one row with the first break of each bin but the first."""
     once = breaks.filter("limit is not null").groupBy("limit", "after").agg(F.min("label").alias("label"))
     once = scratch_table(once, "breaks")
     size = max(BIN_BREAKS, -(-once.count() // MAX_BROADCAST_ROWS))
     placed = add_ordinal(once, ["limit", "after"], name="no").withColumn("bin", F.call_function("div", F.col("no") - 1, F.lit(size)))
     bins = placed.groupBy("bin").agg(F.sort_array(F.collect_list(F.struct("limit", "after", "label"))).alias("breaks"))
     bins = scratch_table(bins, "bins")
-    # As many rows as may be told to all tasks at most.
-    edges = bins.filter("bin > 0").select("bin", F.get("breaks", F.lit(0)).alias("first")).orderBy("bin").collect()
-    return bins, [(row.first["limit"], row.first["after"]) for row in edges]
+    # As many as may be told to all tasks at most.
+    first = F.get("breaks", F.lit(0))
+    edges = bins.filter("bin > 0").agg(F.sort_array(F.collect_list(F.struct(first["limit"].alias("limit"), first["after"].alias("after")))))
+    return bins, scratch_table(edges.toDF("edges"), "edges")
 
 
 def with_band_label(
@@ -81,7 +86,7 @@ def with_band_label(
     """
     known = _known(df, value)
     if not isinstance(breaks, DataFrame):
-        if len(breaks) <= MAX_BROADCAST_ROWS:
+        if len(breaks) <= SHORT_LIST:
             return df.withColumn(name, band_label(known, breaks, default))
         start = [b.label for b in breaks if b.limit is None]
         listed = [b for b in breaks if b.limit is not None]
@@ -97,9 +102,8 @@ def with_band_label(
     kind = df.schema[value].dataType
     after = F.coalesce("after", F.lit(False)) if "after" in breaks.columns else F.lit(False)
     bins, edges = _bins(breaks.select(F.col("limit").cast(kind).alias("limit"), after.alias("after"), "label"))
-    limits = [F.struct(F.lit(limit).cast(kind).alias("limit"), F.lit(after).alias("after")) for limit, after in edges]
-    place = count_reached(limits, lambda b: _reached(known, b["limit"], b["after"])).cast("bigint")
-    keyed = df.withColumn(_TAG, F.when(known.isNotNull(), place))
+    place = count_reached(F.col(_EDGES), lambda b: _reached(known, b["limit"], b["after"])).cast("bigint")
+    keyed = df.withColumn(_EDGES, edges.scalar()).withColumn(_TAG, F.when(known.isNotNull(), place)).drop(_EDGES)
     found = lookup_join(keyed, bins.select(F.col("bin").alias(_TAG), F.col("breaks").alias("__breaks")), [_TAG], "left")
     # A bin's breaks are sorted: the last one reached.
     held = F.col("__breaks")

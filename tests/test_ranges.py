@@ -57,13 +57,13 @@ def test_tables_of_any_size(spark, monkeypatch, size, bin_size):
 
 
 def test_long_lists_are_tables(spark, monkeypatch):
-    monkeypatch.setattr(ranges, "MAX_BROADCAST_ROWS", 5)
+    monkeypatch.setattr(ranges, "SHORT_LIST", 5)
     breaks = [Break(None, "start"), *(Break(10.0 * i, f"b{i}", i % 2 == 0) for i in range(20))]
     points = [None, -3.0, 0.0, 55.0, 60.0, 190.0, 500.0]
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(points)], "id int, v double")
     found = {r.id: r.band for r in with_band_label(frame, "v", breaks, default="none").collect()}
     assert found == {i: expected(v, breaks, "none") for i, v in enumerate(points)}
-    with pytest.raises(ValueError, match="give a table"):
+    with pytest.raises(ValueError, match="with_band_label"):
         band_label(F.col("v"), breaks)
 
 
