@@ -28,9 +28,9 @@ from pyspark.sql.types import StructType
 
 FORMAT = "public_files"
 SCHEMA = "kind string, file string, line string"
-# Renames and removals the commit has under way at once.
+# Renames the commit has under way at once.
 MOVES = 32
-# Files of one attempt that the commit holds names of at once.
+# An attempt's own lists: files by kind with their line counts, and files to remove.
 _LISTS, _GONE = "_lists", "_gone"
 
 
@@ -80,7 +80,8 @@ class PublicFileWriter(DataSourceArrowWriter):
             if out is not None:
                 out.write(self.documents.get(kind, ("", ""))[1].encode())
                 out.close()
-                note(f"{_LISTS}/{kind}.csv", f'"{name}",{lines}')
+                quoted = name.replace('"', '""')
+                note(f"{_LISTS}/{kind}.csv", f'"{quoted}",{lines}')
 
         try:
             for batch in iterator:

@@ -87,7 +87,7 @@ def _publish(lines: DataFrame, root: str, documents: dict[str, tuple[str, str]])
 
     def listed(paths: list[str]) -> DataFrame:
         found = [path for path in paths if _exists(spark, path)]
-        return spark.read.schema("file string, lines bigint").csv(found) if found else spark.createDataFrame([], "file string, lines bigint")
+        return spark.read.schema("file string, lines bigint").option("escape", '"').csv(found) if found else spark.createDataFrame([], "file string, lines bigint")
 
     now = listed([f"{lists}/kind={kind}/job={job}" for kind in documents])
     before = [f"kind={kind}/{folder}" for kind, folders in earlier.items() for folder in folders]
