@@ -5,9 +5,9 @@ fractional rank (rank - u) / size spreads every source evenly over (0, 1), where
 u is the source's own seeded place in (0, 1), so that small sources do not meet;
 sorted by it and cut into equal runs, every shard has the mixture of the whole.
 
-Ranks never gather a source in one task: hashes are uniform, so their high bits
-cut a source into stretches of bounded size. Rows are numbered inside a stretch
-and shifted by the sizes of the stretches before it.
+Ranks never gather a source in one task: the order is cut into buckets at
+sampled rows, rows are numbered inside a bucket and shifted by the buckets
+before. Equal rows differ in the number they were written under, so they part too.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spokeworks.llm.ranks import STRETCH_ROWS, hash_stretch, rank_by_stretch
 from spokeworks.llm.tables import written
 from spokeworks.operators.joins import lookup_join
+from spokeworks.operators.ordinal import number_rows
 
 
 def interleave(
@@ -27,7 +27,7 @@ def interleave(
     text: str = "text",
     source: str = "source",
     seed: int = 17,
-    stretch_rows: int = STRETCH_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Every row's place: (id, source, size, text_crc32, shard, slot); shards differ by one row at most.
 
@@ -45,20 +45,16 @@ def interleave(
         F.crc32(body.cast("binary")).alias("crc"),
         F.xxhash64(F.lit(seed), F.col(doc_id), body).alias("h"),
     )
-    rows = written(light, "rows")
-    # One row per source; sizes of stretches follow from them, so tasks stay bounded for any source.
+    rows = written(light.withColumn("copy", F.monotonically_increasing_id()), "rows")
+    ranked = number_rows(rows, ["h", "id", "crc", "size", "copy"], ["src", "no_src"], "rank", buckets=buckets)
     totals = rows.groupBy("src", "no_src").agg(F.count("*").alias("total"))
-    stretches = F.greatest(F.ceil(F.col("total") / stretch_rows), F.lit(1)).cast("bigint")
-    placed = lookup_join(rows, totals.withColumn("parts", stretches), ["src", "no_src"], "inner")
-    placed = placed.withColumn("part", hash_stretch("h", "parts"))
-    ranked = rank_by_stretch(placed, ["src", "no_src"], "part", ["h", "id", "crc", "size"], "rank")
+    ranked = lookup_join(ranked, totals, ["src", "no_src"], "inner").withColumn("rank", F.col("rank") - 1)
     own = F.xxhash64(F.lit(seed), F.col("src"), F.col("no_src")).cast("double") / 2.0**64 + 0.5
     ranked = ranked.withColumn("fraction", (F.col("rank") + own) / F.col("total"))
-    everything = written(ranked.select("id", "src", "no_src", "size", "crc", "h", "fraction"), "fractions")
+    everything = written(ranked.select("id", "src", "no_src", "size", "crc", "h", "copy", "fraction"), "fractions")
     n = everything.count()
-    parts = max(-(-n // stretch_rows), 1)
-    cut = everything.withColumns({"all": F.lit(0), "part": F.least((F.col("fraction") * parts).cast("bigint"), F.lit(parts - 1))})
-    ordered = rank_by_stretch(cut, ["all"], "part", ["fraction", "src", "no_src", "h", "id", "crc", "size"], "g")
+    ordered = number_rows(everything, ["fraction", "src", "no_src", "h", "id", "crc", "size", "copy"], name="g", buckets=buckets)
+    ordered = ordered.withColumn("g", F.col("g") - 1)
     # Row g of n goes to the shard whose run holds it; the runs differ by one row at most.
     place = F.col("g").cast("bigint")
     n = max(n, 1)

@@ -2,14 +2,15 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from spokeworks.llm import sharding
 
 
-@pytest.mark.parametrize("stretch", [5_000, 20])
-def test_equal_counts_and_mixture(small, stretch):
+@pytest.mark.parametrize("buckets", [1, 50])
+def test_equal_counts_and_mixture(small, buckets):
     docs = small("documents", "0.01")
-    rows = sharding.interleave(docs, 24, stretch_rows=stretch).collect()
+    rows = sharding.interleave(docs, 24, buckets=buckets).collect()
     slots = defaultdict(list)
     for r in rows:
         slots[r.shard].append(r.slot)
@@ -25,8 +26,8 @@ def test_equal_counts_and_mixture(small, stretch):
         assert r.size == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
 
 
-def test_stretches_change_nothing(hard_docs):
-    one, many = (sorted(map(tuple, sharding.interleave(hard_docs, 5, stretch_rows=n).collect()), key=repr) for n in (5_000, 2))
+def test_buckets_change_nothing(hard_docs):
+    one, many = (sorted(map(tuple, sharding.interleave(hard_docs, 5, buckets=n).collect()), key=repr) for n in (1, 8))
     assert one == many and len(one) == hard_docs.count()
     assert {r[2] for r in one if r[0] is None} == {8}
 
@@ -48,5 +49,31 @@ def test_fewer_rows_than_shards_and_none(hard_docs):
 def test_sources_of_one_row_spread_over_shards(spark):
     rows = [(i, f"text {i}", "large" if i < 1200 else f"site{i}") for i in range(2400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    single = Counter(r.shard for r in sharding.interleave(docs, 24, stretch_rows=100).collect() if r.source != "large")
+    single = Counter(r.shard for r in sharding.interleave(docs, 24, buckets=24).collect() if r.source != "large")
     assert len(single) == 24 and max(single.values()) < 90
+
+
+def test_every_place_against_plain_python(spark, small):
+    """Shard and slot of each row by the rule, from the hashes that Spark gives."""
+    docs = small("documents", "0.01")
+    own = F.xxhash64(F.lit(17), F.col("source"), F.lit(False)).cast("double") / 2.0**64 + 0.5
+    rows = docs.select("doc_id", "source", F.xxhash64(F.lit(17), "doc_id", "text").alias("h"), own.alias("u")).collect()
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r.source].append(r)
+    placed = []
+    for source, members in by_source.items():
+        for rank, r in enumerate(sorted(members, key=lambda r: r.h)):
+            placed.append(((rank + r.u) / len(members), source, r.h, r.doc_id))
+    want, slots, n = {}, Counter(), len(rows)
+    for g, (_, _, _, doc_id) in enumerate(sorted(placed)):
+        shard = g * 24 // n
+        want[doc_id] = (shard, slots[shard])
+        slots[shard] += 1
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(docs, 24).collect()} == want
+
+
+def test_equal_rows_part(spark):
+    docs = spark.range(0, 20_000, 1, 4).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"), F.lit("one").alias("source"))
+    rows = sharding.interleave(docs, 24)
+    assert sorted(r.n for r in rows.groupBy("shard").agg(F.countDistinct("slot").alias("n")).collect()) == [833] * 16 + [834] * 8
