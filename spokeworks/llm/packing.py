@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spokeworks.llm.ranks import STRETCH_ROWS, hash_stretch, rank_by_stretch
 from spokeworks.llm.tables import written
+from spokeworks.operators.ordinal import number_rows
 
 WINDOW = 2048
 # Lengths that differ by less share a class.
@@ -37,6 +37,8 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
     A `.json` file is read by tokenizers. A `.tiktoken` file holds the same
     byte-level vocabulary as ranks and gives the same ids several times faster;
     the id after the last rank is the end-of-text mark, which both recognise.
+    Its pattern gives up on very long blank runs: such texts go to the `.json`
+    file beside it.
     """
     if path.endswith(".tiktoken"):
         import public_tokenizers
@@ -46,7 +48,17 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         special = {"<|endoftext|>": len(ranks)}
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: own.encode(text, allowed_special="all")
+        whole: list[Callable[[str], list[int]]] = []
+
+        def encode(text: str) -> list[int]:
+            try:
+                return own.encode(text, allowed_special="all")
+            except ValueError:
+                if not whole:
+                    whole.append(load_encoder(path.removesuffix(".tiktoken") + ".json"))
+                return whole[0](text)
+
+        return encode
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -198,7 +210,7 @@ def pack(
     text: str = "text",
     with_ids: bool = False,
     window: int = WINDOW,
-    stretch_rows: int = STRETCH_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for every piece.
 
@@ -208,7 +220,7 @@ def pack(
     table has no pieces.
     """
     top = window // GRAIN
-    pieces = written(cut_pieces(docs, path, doc_id, text, with_ids, window), "pieces")
+    pieces = written(cut_pieces(docs, path, doc_id, text, with_ids, window).withColumn("copy", F.monotonically_increasing_id()), "pieces")
     kinds = pieces.withColumn("cls", F.ceil(F.col("length") / GRAIN).cast("int"))
     counts = kinds.groupBy("cls").agg(F.count("*").alias("total"))
     histogram = np.zeros(top + 1, np.int64)
@@ -216,10 +228,10 @@ def pack(
         histogram[row["cls"]] = row["total"]
     places = _places(plan_windows(histogram), top)
 
-    parts = F.greatest(F.ceil(F.col("total") / stretch_rows), F.lit(1)).cast("bigint")
-    sized = kinds.join(F.broadcast(counts.select("cls", parts.alias("parts"))), "cls")
-    hashed = sized.withColumn("h", F.xxhash64(F.lit(7), "id", "start", "ids_crc32", "length"))
-    ranked = rank_by_stretch(hashed.withColumn("part", hash_stretch("h", "parts")), ["cls"], "part", ["h", "id", "start", "ids_crc32"], "rank").drop("h", "parts", "part")
+    # Equal pieces differ in the number they were written under, so no order is too even to be cut.
+    hashed = kinds.withColumn("h", F.xxhash64(F.lit(7), "id", "start", "ids_crc32", "length"))
+    ranked = number_rows(hashed, ["h", "id", "start", "ids_crc32", "copy"], ["cls"], "rank", buckets=buckets).drop("h", "copy")
+    ranked = ranked.withColumn("rank", F.col("rank") - 1)
     names = ranked.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema) + ", sequence_id bigint, turn bigint"
 

@@ -3,10 +3,14 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spokeworks.llm import packing
 from spokeworks.llm.queries import tokenizer_path
+from spokeworks.operators import ordinal
+
+from session_settings import settings
 
 
 def check(docs, pieces, encode):
@@ -43,7 +47,7 @@ def encode():
 
 def test_all_tokens_once_with_little_padding(small, encode):
     docs = small("documents", "0.01")
-    pieces = packing.pack(docs, tokenizer_path(), stretch_rows=50).collect()
+    pieces = packing.pack(docs, tokenizer_path(), buckets=50).collect()
     assert check(docs.collect(), pieces, encode) < 0.02
 
 
@@ -59,10 +63,37 @@ def test_hard_rows(hard_docs, encode):
 def test_both_vocabulary_files_give_the_same_ids(small, encode):
     quick = packing.load_encoder(tokenizer_path())
     texts = ["a <|endoftext|> b<|endoftext|>", "don't I'LL we've", "  \n\n\t x  ", "x́ \U0001f600 中文 ١٢٣ ²", "   ", "ſ'S" * 3, "a" * 5000]
-    for text in texts + [r.text for r in small("documents").limit(40).collect()]:
+    for text in texts + [r.text or "" for r in small("documents", "0.01").collect()]:
         assert quick(text) == encode(text)
 
 
+RUNS = {"blanks": " " * 1_500_000, "lines": "\n" * 1_500_000, "both": " \n" * 600_000 + "x", "letters": "ab" * 600_000, "marks": "!?" * 600_000, "digits": "12" * 600_000}
+
+
+@pytest.mark.parametrize("kind", list(RUNS))
+def test_long_runs_are_packed(spark, encode, kind):
+    """The quick tokenizer gives up on some of these, the named one does not."""
+    text = f"a {RUNS[kind]} b"
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string")
+    check(docs.collect(), packing.pack(docs, tokenizer_path()).collect(), encode)
+
+
+def test_equal_rows_part(spark, encode):
+    """A table of one row, repeated, is ranked in many tasks."""
+    docs = spark.range(0, 20_000, 1, 4).select(F.lit(7).alias("doc_id"), F.lit("the same text").alias("text"))
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        packed = packing.pack(docs, tokenizer_path()).persist()
+        assert check([docs.first()], packed.limit(300).collect(), encode) >= 0
+        size = len(encode("the same text")) + 1
+        full = packed.groupBy("sequence_id").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("places"), F.max("offset").alias("last"))
+        assert packed.count() == 20_000 and full.filter(f"n <> places or last <> (n - 1) * {size}").isEmpty()
+        packed.unpersist()
+        rows = docs.withColumns({"h": F.lit(1), "copy": F.monotonically_increasing_id()})
+        runs = ordinal.bucket_runs(rows, ordinal.fit_splitters(rows, ["h", "copy"]))
+        sizes = [r.n for r in runs.collect()]
+        assert len(sizes) > 16 and max(sizes) < 4_000
+
+
 def test_ids_on_request(spark, encode):
     docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id bigint, text string")
     rows = packing.pack(docs, tokenizer_path(), with_ids=True).collect()
