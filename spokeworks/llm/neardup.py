@@ -9,9 +9,12 @@ similarity discards most of the rest, and the full sets decide.
 
 Equal sets are one node from the start. A bucket of a band never emits its
 pairs: its members are first compared with one pivot, and members still apart
-from each other are then compared exactly inside tasks over blocks of bounded
-size, which return a spanning set of the links found. So no link that the bands
-reach is lost, and rows stay in proportion to memberships.
+from each other are then compared exactly inside tasks. A large bucket of texts
+that are alike, but not alike enough, is first dealt into smaller ones by their rarest
+shingles: two sets that are similar share one of the first shingles of
+either, in the order of how many members have them. What is still large is cut into
+blocks of bounded size. Tasks return a spanning set of the links found. So no
+link that the bands reach is lost, and rows stay in proportion to memberships.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spokeworks.llm.components import component_labels
@@ -39,8 +42,9 @@ MISS, RULED_OUT = 1e-6, 1e-8
 
 # Ids that may be sent to all tasks instead of being joined: 8 MB.
 BROADCAST_IDS = 1_000_000
-# Members of a bucket that one task compares with as many others.
+# Members of a bucket, and bytes of their sets, that one task compares with as many others.
 BLOCK = 1024
+BLOCK_BYTES = 16 << 20
 
 _MULTIPLIERS = np.random.default_rng(85).integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -264,6 +268,53 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, shingle: int, ids: DataFra
     return written(wanted.mapInArrow(run, f"id {id_type}, n bigint, regs binary, set binary"), "sets")
 
 
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """(key, size, bytes) of the buckets whose members lie in several components; buckets of the same members are one."""
+    found = (
+        members.groupBy("key")
+        .agg(
+            F.min("label").alias("lo"),
+            F.max("label").alias("hi"),
+            F.count("*").alias("size"),
+            F.sum(8 * F.col("n")).alias("bytes"),
+            F.bit_xor(F.xxhash64("rep")).alias("sum"),
+        )
+        .filter("lo <> hi")
+    )
+    return found.groupBy("size", "bytes", "sum").agg(F.min("key").alias("key")).select("key", "size", "bytes")
+
+
+def _blocks() -> Column:
+    return F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int")
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, shingle) of every shingle of every set."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            own = np.frombuffer(batch.column(2)[at].as_py(), np.int64)
+            repeated = batch.slice(at, 1).select([0, 1]).take(pa.array(np.zeros(len(own), np.int64)))
+            yield pa.RecordBatch.from_arrays([*repeated.columns, pa.array(own)], ["id", "n", "shingle"])
+
+
+def rare_shingle_buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id): the first shingles of each set, rarest first, of which two similar sets share one.
+
+    A set of n that shares k or more with another, k being `percent` of n
+    rounded up, has one of those among its first n - k + 1. Shingles of one
+    set alone come first and lead to no other, so they need no row.
+    """
+    id_type = sets.schema["id"].dataType.simpleString()
+    rows = sets.select("id", "n", "set").mapInArrow(_shingle_rows, f"id {id_type}, n bigint, shingle bigint")
+    rows = written(rows, "shingles")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    shared = lookup_join(rows, common, ["shingle"], "inner")
+    listed = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("rare"))
+    least = F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
+    first = F.slice("rare", 1, F.greatest(F.size("rare") - least + 1, F.lit(0)))
+    return listed.select("id", F.explode(first).alias("one")).select("id", F.col("one.shingle").alias("key"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -283,11 +334,11 @@ def near_duplicates(
     full = sketches.filter("n > 0 and id is not null")
     # Equal sets are one node, named by the smallest id.
     nodes = full.groupBy("digest", "n").agg(F.min_by(F.struct("regs", "bands"), "id").alias("s"), F.min("id").alias("rep"))
-    bands = nodes.select("rep", F.explode("s.bands").alias("key"))
+    bands = nodes.select("rep", "n", F.explode("s.bands").alias("key"))
     # The pivot is the same random choice in every band, so that bands find the same pairs.
     turn = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("pivot"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.min(turn)["pivot"].alias("pivot")).filter("size > 1")
-    members = written(lookup_join(bands, buckets, ["key"], "inner").select("key", "rep", "pivot"), "members")
+    members = written(lookup_join(bands, buckets, ["key"], "inner").select("key", "rep", "n", "pivot"), "members")
     sets = _sets_of(docs, doc_id, text, shingle, members.select(F.col("rep").alias("id")).distinct(), sketches)
     if not full.groupBy("id").count().filter("count > 1").isEmpty():
         sets = sets.dropDuplicates(["id"])
@@ -302,15 +353,19 @@ def near_duplicates(
     # Members that are not the pivot and lie in several components have not been compared.
     rest = members.filter("rep <> pivot").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     rest = rest.withColumn("label", F.coalesce("label", "rep"))
-    open_buckets = (
-        rest.groupBy("key")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("sum"))
-        .filter("lo <> hi")
-    )
-    # Bands that put the same members together are one bucket.
-    open_buckets = open_buckets.groupBy("size", "sum").agg(F.min("key").alias("key")).select("key", "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    spread = lookup_join(rest, open_buckets, ["key"], "inner").withColumn("blocks", blocks)
+    rest = written(rest.select("key", "rep", "n", "label"), "open-members")
+    buckets = _open_buckets(rest).withColumn("blocks", _blocks())
+    buckets = written(buckets, "open-buckets")
+    small = lookup_join(rest, buckets.filter("blocks = 1"), ["key"], "inner").select("key", "rep", "n", "label")
+    large = lookup_join(rest, buckets.filter("blocks > 1"), ["key"], "inner").select(F.col("rep").alias("id"), "label").distinct()
+    large = written(large, "large-members")
+    if not large.isEmpty():
+        many = sets.join(large.select("id"), "id", "left_semi")
+        rare = rare_shingle_buckets(many, percent).join(large, "id").join(many.select("id", "n"), "id")
+        small = small.unionByName(rare.select("key", F.col("id").alias("rep"), "n", "label"))
+    small = written(small, "small-buckets")
+    final = _open_buckets(small).withColumn("blocks", _blocks()).select("key", "blocks")
+    spread = lookup_join(small, final, ["key"], "inner")
     spread = spread.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key",

@@ -62,6 +62,72 @@ def test_classes_against_brute_force(spark, hard_docs, small, n, percent, block,
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute_force(sorted(plain), n, percent)
 
 
+def template(count, shared, own, seed=3):
+    """Texts that share `shared` of their `own` + `shared` words: alike, but not enough."""
+    draw = random.Random(seed)
+    base = [f"t{draw.randrange(10**6)}" for _ in range(shared)]
+    out = []
+    for i in range(count):
+        words = base + [f"o{i}x{k}" for k in range(own)]
+        out.append(" ".join(words))
+    return out
+
+
+def test_rare_shingles_lead_to_every_similar_pair():
+    """The rule by itself: similar sets share one of their first shingles, near misses of one template none."""
+    draw = np.random.default_rng(11)
+    pools = [draw.integers(0, 2**63, 200, dtype=np.int64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([p[draw.random(200) < 0.96], draw.integers(0, 2**63, draw.integers(0, 30), dtype=np.int64)])) for p in pools for _ in range(25)]
+    held = {}
+    for s in sets:
+        for x in s.tolist():
+            held[x] = held.get(x, 0) + 1
+    firsts = []
+    for s in sets:
+        rare = sorted((held[x], x) for x in s.tolist() if held[x] > 1)
+        least = -(-85 * len(s) // 100)
+        firsts.append({x for _, x in rare[: max(len(rare) - least + 1, 0)]})
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                assert firsts[i] & firsts[j]
+    assert links > 100
+
+
+def test_rare_shingles_of_a_table(spark):
+    rows = [(i, np.array(s, np.uint64)) for i, s in enumerate([[1, 2, 3, 4, 5, 6, 7], [1, 2, 3, 4, 5, 6, 8], [1, 2, 3, 4, 9, 10, 11], [20]])]
+    frame = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in rows], "id int, n bigint, set binary")
+    got = sorted((r.id, r.key) for r in neardup.rare_shingle_buckets(frame, 70).collect())
+    # Sets of seven need five in common: of the first three, rarest first, those that others have.
+    assert got == [(0, 5), (0, 6), (1, 5), (1, 6)]
+
+
+@pytest.mark.parametrize("block, size", [(8, 16 << 20), (1024, 20_000)])
+def test_large_buckets_against_brute_force(spark, monkeypatch, block, size):
+    """Near misses of a template among which some are similar: large by number, or by bytes."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
+    texts = template(90, 100, 12) + near_copies(70, 120, 5) + template(40, 60, 4, 9)
+    pairs = [t + " z" for t in texts[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts + pairs)), "doc_id bigint, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in neardup.near_duplicates(docs, shingle=3, percent=85).collect()}
+    assert got == brute_force(list(enumerate(texts + pairs)), 3, 85)
+
+
+def test_many_near_misses_make_few_rows(spark, monkeypatch):
+    """Of a template's 3,000 texts none is similar to another: hardly a set is sent anywhere."""
+    monkeypatch.setattr(neardup, "BLOCK", 128)
+    kept, write = {}, neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, label: kept.setdefault(label, write(df, label)))
+    docs = spark.createDataFrame(list(enumerate(template(3_000, 80, 20))), "doc_id bigint, text string")
+    assert neardup.near_duplicates(docs, shingle=3, percent=85).filter("kept").count() == 3_000
+    assert kept["large-members"].count() > 1_000
+    assert kept["small-buckets"].count() < 3_000
+
+
 def test_rows_without_id_or_text(hard_docs):
     rows = neardup.near_duplicates(hard_docs.filter("doc_id is null or text is null")).collect()
     assert len(rows) == 3 and all(r.kept and r.n_shingles == 0 for r in rows)
@@ -102,6 +168,20 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 100 for i in path}, **{i: 5 for i in [5, *range(200, 230)]}, 300: 300, 301: 300}
 
 
+@pytest.mark.parametrize("kind", ["ascending", "descending", "star", "none"])
+def test_components_take_few_rounds(spark, monkeypatch, kind):
+    """Revisions that each resemble the one before: a chain of 2,000 in the order of their ids."""
+    from spokeworks.llm import components
+
+    rounds, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, label: rounds.append(label) or write(df, label))
+    ids = range(10, 2011) if kind != "descending" else range(2010, 9, -1)
+    links = [] if kind == "none" else [(11, i) for i in ids] if kind == "star" else list(zip(ids, ids[1:]))
+    labels = component_labels(spark.createDataFrame(links, "a bigint, b bigint"))
+    assert {(r.node, r.label) for r in labels.collect()} == ({(i, 10) for i in range(10, 2011)} if links else set())
+    assert rounds.count("steps") <= (3 if kind == "star" else 20)
+
+
 @pytest.mark.parametrize("percent", [6, 30, 50, 70, 80, 85, 95, 99, 100])
 def test_bands_serve_the_threshold(percent):
     bands, rows = neardup.banding(percent)
