@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from spokeworks.llm.tables import free_name, written
 from spokeworks.llm.textbytes import ALNUM, lowered, text_slices, utf8_bytes, word_hashes, word_spans
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -244,6 +246,7 @@ def find_matches(
     spark = docs.sparkSession
     id_type = docs.schema[doc_id].dataType
     item_type = benchmark.schema[item_id].dataType.simpleString()
+    item_arrow = benchmark.select(item_id).limit(0).toArrow().schema.field(0).type
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     schema = f"_id {id_type.simpleString()}, n_words bigint, hits array<int>, items array<{item_type}>"
 
@@ -260,7 +263,7 @@ def find_matches(
                         part.column(0),
                         pa.array([n for n, _, _ in found], pa.int64()),
                         pa.array([h for _, h, _ in found], pa.list_(pa.int32())),
-                        pa.array([i for _, _, i in found]).cast(pa.list_(_arrow_type(item_type))),
+                        pa.array([i for _, _, i in found], pa.list_(item_arrow)),
                         *part.columns[2:],
                     ]
                     yield pa.RecordBatch.from_arrays(columns, ["_id", "n_words", "hits", "items", *part.schema.names[2:]])
@@ -290,8 +293,60 @@ def find_matches(
     return found.select(F.col("_id").alias(doc_id), "n_words", F.sort_array("hits").alias("hits"), "items")
 
 
-def _arrow_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+def keep_clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = 13,
+    percent: int = 5,
+    cut_longer_than: int | None = None,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with the columns they have.
+
+    A row is contaminated if it has a hit word and hit words make up at least
+    `percent` of 100 of its words; each row is judged where it lies, whatever its
+    id. With `cut_longer_than`, runs of more hit words than that are cut from the
+    texts that stay. A benchmark of several blocks takes a pass for each, over
+    rows that carry their hits along; nothing is shuffled.
+    """
+    spark = docs.sparkSession
+    at, schema = docs.columns.index(text), docs.schema
+    marked_schema = StructType([*schema.fields, StructField(free_name(docs, "hits"), ArrayType(IntegerType()))])
+
+    def scan(block: list, last: bool):
+        sent = spark.sparkContext.broadcast(build_automaton([(i, body) for i, (_, body) in enumerate(block)], window))
+        names = [None] * len(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in text_slices(batch, at):
+                    texts = pa.RecordBatch.from_arrays([part.column(at), part.column(at)], ["id", "text"])
+                    found = list(_matches(sent.value, names, texts))
+                    hits = [h for _, h, _ in found]
+                    if part.num_columns > len(schema):
+                        before = part.column(len(schema)).to_pylist()
+                        hits = [np.union1d(h, np.array(b or [], np.int64)).astype(np.int64) for h, b in zip(hits, before, strict=True)]
+                    rows = part.select(range(len(schema)))
+                    if not last:
+                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits, pa.list_(pa.int32()))], marked_schema.names)
+                        continue
+                    if cut_longer_than is not None:
+                        bodies = [remove_spans(t.as_py(), h, cut_longer_than) for t, h in zip(rows.column(at), hits, strict=True)]
+                        rows = rows.set_column(at, rows.schema.field(at), pa.array(bodies, rows.schema.field(at).type))
+                    clean = [not len(h) or 100 * len(h) < percent * n for (n, _, _), h in zip(found, hits, strict=True)]
+                    yield rows.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    block, rows = next(blocks), docs
+    for following in blocks:
+        rows = written(rows.mapInArrow(scan(block, False), marked_schema), "marked")
+        block = following
+    return rows.mapInArrow(scan(block, True), schema)
 
 
 def contamination_report(matches: DataFrame, doc_id: str = "doc_id", percent: int = 5) -> DataFrame:

@@ -23,6 +23,9 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % 5 == 0, F.lit(False))
 
 
-def input_mb(df: DataFrame) -> float:
-    """Spark's estimate of a plan's bytes, in MB; it reads no data."""
-    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / 1e6
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as keep it apart from all columns."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
