@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from spokeworks.llm import attention, decontaminate, neardup, packing, severity
 from spokeworks.llm.queries import tokenizer_path
-from spokeworks.llm.tables import table, written
+from spokeworks.llm.tables import free_name, table, written
 from spokeworks.operators.joins import lookup_join
 from spokeworks.workspace import job, release, scratch_path
 
+# Benchmark passages of more words are cut from documents that stay; None leaves texts as they are.
+CUT_LONGER_THAN: int | None = None
+
 
 def _chosen(docs: DataFrame, verdicts: DataFrame, condition: str, doc_id: str = "doc_id") -> DataFrame:
     """Rows of `docs` whose id has no verdict, or one that meets the condition; null ids stay.
@@ -29,9 +32,6 @@ def _chosen(docs: DataFrame, verdicts: DataFrame, condition: str, doc_id: str =
     return docs.join(out, doc_id, "left_anti").select(*docs.columns)
 
 
-_COPY = "__copy"
-
-
 def _single(docs: DataFrame) -> DataFrame:
     """`docs` with one row of those that agree in id and text; which one, if other columns differ, is open.
 
@@ -39,24 +39,25 @@ def _single(docs: DataFrame) -> DataFrame:
     that text. Rows without id and words are copies of nothing, and all stay.
     Only the rows of repeated texts are shuffled whole.
     """
+    copy = free_name(docs, "copy")
     no_id = F.col("doc_id").isNull()
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     digest = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("-" * 64))
     bare = F.concat(F.lit("?"), digest)  # no id
     named = F.concat(F.col("doc_id").cast("string"), F.lit("="), digest)
-    keyed = docs.withColumn(_COPY, F.when(~no_id, named).when(words, bare))
-    groups = keyed.filter(F.col(_COPY).isNotNull()).groupBy(_COPY).agg(F.count("*").alias("n"))
-    again = written(groups.filter("n > 1").select(_COPY), "repeated")
-    loose = written(docs.filter(no_id & words).select(bare.alias(_COPY)).distinct(), "without-id")
+    keyed = docs.withColumn(copy, F.when(~no_id, named).when(words, bare))
+    groups = keyed.filter(F.col(copy).isNotNull()).groupBy(copy).agg(F.count("*").alias("n"))
+    again = written(groups.filter("n > 1").select(copy), "repeated")
+    loose = written(docs.filter(no_id & words).select(bare.alias(copy)).distinct(), "without-id")
     taken = loose.limit(0)
     if not loose.isEmpty():
-        owned = docs.filter(~no_id).select(bare.alias(_COPY)).distinct()
-        taken = written(loose.join(owned, _COPY, "left_semi"), "taken")
+        owned = docs.filter(~no_id).select(bare.alias(copy)).distinct()
+        taken = written(loose.join(owned, copy, "left_semi"), "taken")
     if again.isEmpty() and taken.isEmpty():
         return docs
-    several = written(again.join(taken, _COPY, "left_anti"), "several")
-    rest = lookup_join(keyed, again.unionByName(taken).distinct(), [_COPY], "left_anti")
-    once = lookup_join(keyed, several, [_COPY], "left_semi").dropDuplicates([_COPY])
+    several = written(again.join(taken, copy, "left_anti"), "several")
+    rest = lookup_join(keyed, again.unionByName(taken).distinct(), [copy], "left_anti")
+    once = lookup_join(keyed, several, [copy], "left_semi").dropDuplicates([copy])
     return rest.unionByName(once).select(*docs.columns)
 
 
@@ -75,10 +76,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     return _chosen(_single(docs), neardup.near_duplicates(docs, shingle=3, percent=85), "kept")
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents of whose words less than one in twenty lies in a benchmark passage."""
-    matches = decontaminate.find_matches(docs, table(spark, folder, "benchmark"))
-    return _chosen(docs, decontaminate.contamination_report(matches), "NOT contaminated")
+def decontamination(spark: SparkSession, docs: DataFrame, folder: str, cut_longer_than: int | None = CUT_LONGER_THAN) -> DataFrame:
+    """Documents of whose words less than one in twenty lies in a benchmark passage, each judged by its own text.
+
+    With `cut_longer_than` passages of more words than that are cut from the documents that stay.
+    """
+    return decontaminate.keep_clean(docs, table(spark, folder, "benchmark"), cut_longer_than=cut_longer_than)
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
