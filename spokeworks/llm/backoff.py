@@ -11,13 +11,19 @@ hashes. Rows are packed: documents are dealt into blocks of bounded size; a
 block's distinct n-grams of one hash range are one row of the count relation,
 partitioned by that range. Every range sums its n-grams over all blocks and
 answers each block's row with the totals, which are joined back to the block
-and summed per document. The texts are shuffled once, for both uses. As a block sends an n-gram once, however often it
-holds it, no n-gram is hot.
+and summed per document. The texts are shuffled once, for both uses. As a block
+sends an n-gram once, however often it holds it, no n-gram is hot.
+
+A block has a row for each range that it has n-grams of: at most as many as
+ranges, and never more than its n-grams. So while the corpus is small next to
+BLOCK_BYTES * n-grams of a block, rows grow with the square of it, each of them
+shorter; from there on they grow in proportion, as rows of single n-grams would.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -122,10 +128,16 @@ def _gather(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return ids, np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of `ranges` equal ranges of hashes begins, and the end."""
-    edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of `ranges` equal ranges the high half of each hash lies in, ascending with the hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def _cuts(hashes: np.ndarray, ranges: int) -> tuple[list[int], np.ndarray]:
+    """The ranges that sorted hashes lie in, and where each begins, and the end; the work follows the hashes."""
+    own = _range_of(hashes, ranges)
+    begins = np.flatnonzero(np.diff(own, prepend=np.uint64(2**64 - 1)) != 0) if len(own) else np.zeros(0, np.int64)
+    return own[begins].astype(np.int64).tolist(), np.append(begins, len(hashes))
 
 
 def lm_scores(
@@ -149,22 +161,22 @@ def lm_scores(
     size, corpus = measured[0] or 0, measured[1] or 0
     blocks = max(-(-size // block_bytes), 1)
     ranges = max(-(-size * order // range_bytes), 1)
-    dealt = body.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+    # The row's own number parts equal rows, which would fill one block.
+    dealt = body.withColumn("block", F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(blocks)))
     dealt = dealt.mapInArrow(_deal, f"block bigint, ids array<{id_type}>, sizes array<bigint>, data binary")
 
     def extract(table: pa.Table) -> pa.Table:
         _, data, offsets = _gather(table)
         keys = _all_grams(*document_words(data, offsets), order)
         hashes, n = np.unique(keys, return_counts=True)
-        cuts = _cuts(hashes, ranges)
-        rows = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
+        rows, cuts = _cuts(hashes, ranges)
         block = table.column("block")[0].as_py()
         return pa.table(
             {
                 "block": pa.array([block] * len(rows), pa.int64()),
                 "range": pa.array(rows, pa.int64()),
-                "grams": pa.array([_pack(hashes[cuts[r] : cuts[r + 1]]) for r in rows], pa.binary()),
-                "counts": pa.array([_squeeze(n[cuts[r] : cuts[r + 1]]) for r in rows], pa.binary()),
+                "grams": pa.array([_pack(hashes[a:b]) for a, b in pairwise(cuts)], pa.binary()),
+                "counts": pa.array([_squeeze(n[a:b]) for a, b in pairwise(cuts)], pa.binary()),
             }
         )
 

@@ -2,7 +2,9 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spokeworks.llm import backoff
 
@@ -45,6 +47,25 @@ def test_against_brute_force(small, hard_docs, sizes):
         assert (r.mean_log_score is None) == (r.n_words == 0)
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 1000, 10**6])
+def test_rows_follow_the_grams(ranges):
+    """A block has no more rows than n-grams, however many ranges there are."""
+    hashes = np.unique(np.random.default_rng(ranges).integers(0, 2**64, 300, dtype=np.uint64))
+    rows, cuts = backoff._cuts(hashes, ranges)
+    assert len(rows) == len(cuts) - 1 <= min(ranges, 300) and rows == sorted(set(rows)) and cuts[-1] == len(hashes)
+    for r, a, b in zip(rows, cuts, cuts[1:]):
+        assert a < b and {(int(h) >> 32) * ranges >> 32 for h in hashes[a:b]} == {r}
+    assert backoff._cuts(hashes[:0], ranges)[0] == []
+
+
+def test_equal_rows_part_into_blocks(spark):
+    docs = spark.range(0, 6_000, 1, 4).select(F.lit(1).alias("doc_id"), F.lit("one row again").alias("text"))
+    frame = backoff.lm_scores(docs, block_bytes=3_000)
+    assert frame.count() == 6_000 and frame.select("log_score").distinct().count() == 1
+    keyed = docs.withColumn("b", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(26)))
+    assert max(r["count"] for r in keyed.groupBy("b").count().collect()) < 400
+
+
 def test_empty_and_long(hard_docs):
     assert backoff.lm_scores(hard_docs.limit(0)).count() == 0
     assert max(r.n_words for r in backoff.lm_scores(hard_docs).collect()) == 120_000
