@@ -212,14 +212,17 @@ def _block_results(vectors: DataFrame, cells: Cells, block: pa.Table, k: int, ki
     ranked = reaching(found, kth(found.filter("not own"), "lower")).withColumn("turn", F.row_number().over(order))
     ranked = written(ranked.select("query", "row", "own", "upper", "turn"), "ranked")
 
-    def exact(rows: DataFrame) -> DataFrame:
-        pairs = lookup_join(rows.select("query", "row", "own"), vectors.select("row", "id", "vec"), ["row"], "inner")
+    def exact(rows: DataFrame, bounded: bool = False) -> DataFrame:
+        wanted, held = rows.select("query", "row"), vectors.select("row", "id", "vec")
+        # A bounded list goes to the vectors; a longer one is joined as its size suggests.
+        pairs = held.join(F.broadcast(wanted), "row") if bounded else lookup_join(wanted, held, ["row"], "inner")
         scored = pairs.select("query", "row", "id", "vec").mapInArrow(
             _score(queries, ids, numbers, kind), f"query bigint, row bigint, id {id_type}, score bigint, same boolean"
         )
         return written(scored, "scored")
 
-    first = exact(ranked.filter(f"turn <= {FIRST_READ * k}"))
+    # At most FIRST_READ * k rows for each query of the block.
+    first = exact(ranked.filter(f"turn <= {FIRST_READ * k}"), bounded=True)
     own = ranked.filter("own").select("query", "row")
     certain = kth(first.join(own, ["query", "row"], "left_anti"), "score")
     rest = exact(reaching(ranked.filter(f"turn > {FIRST_READ * k}"), certain))
