@@ -144,6 +144,26 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, passages: np.ndarray):
     return bag @ w["o"] + w["b"][0], (starts, code, value, gate, weight, bag)
 
 
+def _gradients(w: dict[str, np.ndarray], x: np.ndarray, n: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean cross-entropy of documents, with a small penalty on the encoder's weights."""
+    logit, (starts, code, value, gate, weight, bag) = _forward(w, x, n)
+    d_logit = (1 / (1 + np.exp(-logit)) - labels) / len(labels)
+    grads = {"o": bag.T @ d_logit, "b": np.array([d_logit.sum()])}
+    d_bag = np.repeat(d_logit, n)[:, None] * w["o"]
+    d_code = weight[:, None] * d_bag
+    pull = (d_bag * code).sum(axis=1)
+    d_raw = weight * (pull - np.repeat(np.add.reduceat(weight * pull, starts), n))
+    both = value * gate
+    grads["a"] = both.T @ d_raw
+    d_both = d_raw[:, None] * w["a"]
+    d_value, d_gate = d_both * gate * (1 - value**2), d_both * value * gate * (1 - gate)
+    grads["V"], grads["U"] = code.T @ d_value, code.T @ d_gate
+    d_code += d_value @ w["V"].T + d_gate @ w["U"].T
+    d_in = d_code * (1 - code**2)
+    grads["E"], grads["e"] = x.T @ d_in + 1e-4 * w["E"], d_in.sum(axis=0)
+    return grads
+
+
 def _moments(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and spread of every feature, from slices."""
     n, total, squares = max(len(features), 1), np.zeros(WIDTH), np.zeros(WIDTH)
@@ -184,21 +204,7 @@ def fit(features: np.ndarray, passages: np.ndarray, labels: np.ndarray, epochs:
             n = passages[docs]
             own = np.concatenate([np.arange(begins[d], begins[d + 1]) for d in docs])
             part = (features[own].astype(np.float32) - model.mean) / model.scale
-            logit, (starts, code, value, gate, weight, bag) = _forward(w, part, n)
-            d_logit = (1 / (1 + np.exp(-logit)) - labels[docs]) / len(docs)
-            grads = {"o": bag.T @ d_logit, "b": np.array([d_logit.sum()])}
-            d_bag = np.repeat(d_logit, n)[:, None] * w["o"]
-            d_code = weight[:, None] * d_bag
-            pull = (d_bag * code).sum(axis=1)
-            d_raw = weight * (pull - np.repeat(np.add.reduceat(weight * pull, starts), n))
-            both = value * gate
-            grads["a"] = both.T @ d_raw
-            d_both = d_raw[:, None] * w["a"]
-            d_value, d_gate = d_both * gate * (1 - value**2), d_both * value * gate * (1 - gate)
-            grads["V"], grads["U"] = code.T @ d_value, code.T @ d_gate
-            d_code += d_value @ w["V"].T + d_gate @ w["U"].T
-            d_in = d_code * (1 - code**2)
-            grads["E"], grads["e"] = part.T @ d_in + 1e-4 * w["E"], d_in.sum(axis=0)
+            grads = _gradients(w, part, n, labels[docs])
             step += 1
             for k, g in grads.items():
                 m, v = moment[k]

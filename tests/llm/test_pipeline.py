@@ -1,0 +1,79 @@
+"""What every stage keeps, against plain rules over its own input."""
+
+import corpus_pipeline
+from spokeworks.llm import attention, severity
+
+from test_decontaminate import words
+from test_neardup import brute_force
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_stages_against_brute_force(spark, small):
+    """Models score each text alone; links and windows are found by looking at all."""
+    docs, labels = small("documents", "0.01"), small("labels", "0.01")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda frame: {r.doc_id for r in frame.select("doc_id").collect()}
+
+    model = attention.train(docs, labels)
+    good = stages["quality"](spark, docs, FOLDER).persist()
+    want = set()
+    for r in docs.collect():
+        features, n = attention.encode_passages(_array(r.text))
+        if float(model.scores(features, n)[0]) >= 0.3:
+            want.add(r.doc_id)
+    assert ids(good) == want and len(want) < docs.count()
+
+    judge = severity.train(good, labels)
+    mild = stages["toxicity"](spark, good, FOLDER).persist()
+    chance = lambda t: judge.above(_signal(judge, t))[0, 0]
+    assert ids(mild) == {r.doc_id for r in good.collect() if chance(r.text) < 0.25}
+
+    single = stages["near_duplicates"](spark, mild, FOLDER).persist()
+    links = brute_force([(r.doc_id, r.text) for r in mild.collect()], 3, 85)
+    assert ids(single) == {i for i, found in links.items() if found[-1]}
+
+    clean = stages["decontamination"](spark, single, FOLDER)
+    judged = contaminated([r.text for r in small("benchmark", "0.01").collect()])
+    assert ids(clean) == {r.doc_id for r in single.collect() if not judged(r.text)} != ids(single)
+    assert clean.columns == docs.columns
+
+
+def contaminated(items):
+    """Whether words in windows of 13 of any item, or in whole shorter ones, make up a twentieth of a text."""
+    windows = set()
+    for w in map(words, items):
+        size = min(13, len(w))
+        windows |= {tuple(w[i : i + size]) for i in range(len(w) - size + 1) if size}
+    sizes = {len(w) for w in windows}
+
+    def judge(text):
+        w, hit = words(text), set()
+        for size in sizes:
+            for i in range(len(w) - size + 1):
+                if tuple(w[i : i + size]) in windows:
+                    hit.update(range(i, i + size))
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    return judge
+
+
+def _array(text):
+    import pyarrow as pa
+
+    return pa.array([text], pa.string())
+
+
+def _signal(model, text):
+    import numpy as np
+
+    return np.array([sum(model.weights.get(f, 0.0) for f in severity.features(text))])
+
+
+def test_a_contaminated_row_without_id_goes(spark, small):
+    docs = small("documents")
+    item = small("benchmark", "0.01").first().text
+    rows = [(None, item), (None, "words of no benchmark at all " * 3)]
+    more = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.decontamination(spark, docs.unionByName(more, allowMissingColumns=True), FOLDER)
+    assert [r.text for r in kept.filter("doc_id is null").collect()] == [rows[1][1]]
