@@ -25,8 +25,6 @@ from spokeworks.llm.textbytes import text_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
-# Features a model has at most, so that it can be sent to every task.
-MOST_FEATURES = 20_000
 
 
 @dataclass
@@ -63,7 +61,7 @@ def select_features(sample: DataFrame, ratio: float = 4.0) -> list[str]:
     """Features `ratio` times as frequent in toxic texts, and more so than chance makes the best of all of them.
 
     That is a log-likelihood ratio above 2 ln(features) + 2. Counted in tasks;
-    the driver gets the chosen ones, `MOST_FEATURES` at most.
+    the driver gets the chosen ones, of which a bounded sample has few.
     """
     toxic = F.col("label") > 0.5
     n_yes, n_no = sample.agg(F.sum(toxic.cast("bigint")), F.sum((~toxic).cast("bigint"))).first()
@@ -77,7 +75,31 @@ def select_features(sample: DataFrame, ratio: float = 4.0) -> list[str]:
     gain = 2 * (part(F.col("yes"), both * share) + part(F.col("no"), both * (1 - share)))
     frequent = F.col("yes") / n_yes >= ratio * (F.col("no") + 0.5) / n_no
     chosen = counts.withColumn("gain", gain).filter(frequent & (F.col("gain") >= surprise))
-    return [row["feature"] for row in chosen.orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).collect()]
+    return [row["feature"] for row in chosen.orderBy(F.desc("gain"), "feature").collect()]
+
+
+def _gradients(
+    entries: tuple[np.ndarray, np.ndarray, int], grades: np.ndarray, w: np.ndarray, first: np.ndarray, gaps: np.ndarray, lasso: float
+) -> list[np.ndarray]:
+    """Gradients of the mean negative log-likelihood, with the penalty, for weights, first threshold and log gaps.
+
+    `entries` are the texts and features of all entries that are one, and the number of texts.
+    """
+    of, at, size = entries
+    n = max(size, 1)
+    t = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
+    signal = np.bincount(of, w[at], size)
+    p = 1 / (1 + np.exp(-np.clip(signal[:, None] - t, -50, 50)))
+    edges = np.concatenate([np.ones((size, 1)), p, np.zeros((size, 1))], axis=1)
+    chosen = np.take_along_axis(edges, grades[:, None], 1) - np.take_along_axis(edges, grades[:, None] + 1, 1)
+    chosen = np.maximum(chosen, 1e-9)[:, 0]
+    slope = p * (1 - p)
+    d = np.zeros_like(p)  # d(-log likelihood) / d(signal - t_k)
+    for k in range(len(gaps) + 1):
+        d[:, k] = (-(grades == k + 1).astype(float) + (grades == k)) * slope[:, k] / chosen
+    d_signal = d.sum(axis=1)
+    tail = -np.cumsum(d.sum(axis=0)[::-1])[::-1]
+    return [np.bincount(at, d_signal[of], len(w)) / n + lasso, tail[:1] / n, tail[1:] * np.exp(gaps) / n]
 
 
 def fit(rows: list[np.ndarray], names: list[str], grades: np.ndarray, top: int, steps: int = 1000, lasso: float = 3e-4) -> Model:
@@ -94,21 +116,8 @@ def fit(rows: list[np.ndarray], names: list[str], grades: np.ndarray, top: int,
     limits = np.maximum.accumulate(-np.log(shares / (1 - shares)) + 1e-3 * np.arange(top))
     w, first, gaps = np.zeros(len(names)), limits[:1].copy(), np.log(np.maximum(np.diff(limits), 1e-2))
     state = [(np.zeros_like(v), np.zeros_like(v)) for v in (w, first, gaps)]
-    n = max(len(grades), 1)
     for step in range(1, steps + 1 if len(at) else 1):
-        t = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        signal = np.bincount(of, w[at], len(rows))
-        p = 1 / (1 + np.exp(-np.clip(signal[:, None] - t, -50, 50)))
-        edges = np.concatenate([np.ones((len(rows), 1)), p, np.zeros((len(rows), 1))], axis=1)
-        chosen = np.take_along_axis(edges, grades[:, None], 1) - np.take_along_axis(edges, grades[:, None] + 1, 1)
-        chosen = np.maximum(chosen, 1e-9)[:, 0]
-        slope = p * (1 - p)
-        d = np.zeros_like(p)  # d(-log likelihood) / d(signal - t_k)
-        for k in range(top):
-            d[:, k] = (-(grades == k + 1).astype(float) + (grades == k)) * slope[:, k] / chosen
-        d_signal = d.sum(axis=1)
-        tail = -np.cumsum(d.sum(axis=0)[::-1])[::-1]
-        grads = [np.bincount(at, d_signal[of], len(w)) / n + lasso, tail[:1] / n, tail[1:] * np.exp(gaps) / n]
+        grads = _gradients((of, at, len(rows)), grades, w, first, gaps, lasso)
         for value, g, (m, v) in zip((w, first, gaps), grads, state):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
